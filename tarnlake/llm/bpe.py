@@ -13,20 +13,14 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tarnlake.llm.common import arrow_schema, as_batch, documents, slices
 from tarnlake.llm.packing import default_vocabulary
+from tarnlake.llm.pieces import PLAIN_BELOW, RankedMerges, byte_alphabet, le32
 
-#: Two white-space characters in a row: there, a space may belong to the token before it.
-DOUBLE_SPACE = re.compile(r"\s\s")
+#: How the vocabulary's own pre-tokenizer splits text before merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A space between two ASCII non-spaces always begins a token of the vocabulary's pattern, so a cut before it is safe.
 SAFE_CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The printable stand-in of each byte in byte-level vocabularies: printable bytes stand for themselves, others follow from 256."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class ChunkEncoder:
     """Encodes and decodes texts exactly as the tokenizer does on whole texts.
 
@@ -38,7 +32,7 @@ class ChunkEncoder:
 
     WINDOW, MASK = 16, 31
 
-    def __init__(self, path: str, max_kept: int = 300_000, max_chunk: int = 65_536):
+    def __init__(self, path: str, max_kept: int = 40_000, max_chunk: int = 65_536):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -46,7 +40,7 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.max_kept, self.max_chunk = max_kept, max_chunk
-        self.words: dict[str, bytes] = {}
+        self.merges = RankedMerges(path, PATTERN) if self._plain_setup() else None
         self.chunks: dict[bytes, bytes] = {}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         alphabet = byte_alphabet()
@@ -56,6 +50,15 @@ class ChunkEncoder:
             self.bytes_of[i] = t.content.encode()
         self.name_of = [str(i) for i in range(size)]
 
+    def _plain_setup(self) -> bool:
+        """Whether the tokenizer is byte-level BPE with PATTERN and nothing else, so that the rank table may stand in."""
+        import json
+
+        t = json.loads(self.tokenizer.to_str())
+        pre, model = t["pre_tokenizer"] or {}, t["model"]
+        plain = not (t["normalizer"] or model["dropout"] or model["end_of_word_suffix"] or model["continuing_subword_prefix"] or model["byte_fallback"] or model["ignore_merges"])
+        return plain and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
+
     def boundaries(self, data: np.ndarray) -> np.ndarray:
         """Places in the bytes, before a safe space, that the rolling hash chooses."""
         n = len(data)
@@ -102,7 +105,7 @@ class ChunkEncoder:
         out = []
         for text, cut, hard in zip(texts, pieces, forced, strict=True):
             if cut is None:
-                out.append(_le32(self.tokenizer.encode(text, add_special_tokens=False).ids))
+                out.append(le32(self.tokenizer.encode(text, add_special_tokens=False).ids))
             elif hard:
                 out.append(self._joined(cut))
             else:
@@ -114,26 +117,16 @@ class ChunkEncoder:
         if len(self.chunks) + len(fresh) > self.max_kept:
             self.chunks.clear()
             fresh = wanted
-        split: dict[bytes, list[str]] = {}
+        quick, ranks = [], []
         for chunk in fresh:
             text = chunk.decode()
-            if DOUBLE_SPACE.search(text):
-                split[chunk] = [text]
+            if self.merges and max(text) < PLAIN_BELOW:
+                quick.append(chunk)
+                ranks.append(self.merges.core.encode_ordinary(text))
             else:
-                first, *rest = text.split(" ")
-                split[chunk] = ([first] if first else []) + [f" {w}" for w in rest]
-        words = {w for ws in split.values() for w in ws}
-        new = list(words - self.words.keys())
-        if len(self.words) + len(new) > self.max_kept:
-            self.words.clear()
-            new = list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.words[w] = _le32(e.ids)
-        get = self.words.__getitem__
-        for chunk, ws in split.items():
-            self.chunks[chunk] = b"".join(map(get, ws))
+                self.chunks[chunk] = le32(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if quick:
+            self.chunks.update(zip(quick, self.merges.gathered(ranks), strict=True))
 
     def _joined(self, cut: list[bytes]) -> bytes:
         """The ids of chunks in a row of which some joins aren't at safe places."""
@@ -141,7 +134,7 @@ class ChunkEncoder:
         for i, chunk in enumerate(cut):
             text = left + chunk.decode(errors="strict")
             if i + 1 == len(cut):
-                done.append(_le32(self.tokenizer.encode(text, add_special_tokens=False).ids))
+                done.append(le32(self.tokenizer.encode(text, add_special_tokens=False).ids))
                 break
             last = None
             for last in SAFE_CUT.finditer(text):
@@ -150,7 +143,7 @@ class ChunkEncoder:
                 left = text  # no place where tokens must agree: widen into the next chunk
                 continue
             at = last.start()
-            done.append(_le32(self.tokenizer.encode(text[:at], add_special_tokens=False).ids))
+            done.append(le32(self.tokenizer.encode(text[:at], add_special_tokens=False).ids))
             left = text[at:]
         return b"".join(done)
 
@@ -158,10 +151,6 @@ class ChunkEncoder:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode(errors="replace")
 
 
-def _le32(ids: list[int]) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
-
-
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 

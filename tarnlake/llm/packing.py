@@ -6,28 +6,36 @@ import re
 import zlib
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tarnlake.llm.common import arrow_schema, as_batch, documents, row_count, slices
+from tarnlake.llm.pieces import PLAIN_BELOW, RankedMerges, le32
 
 #: Characters that Python counts as white space and the vocabulary's own pattern may not.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
 
 
+#: How the vocabulary's own pre-tokenizer splits lower-cased text; what lies between is dropped.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class WordEncoder:
     """Token ids of texts for a vocabulary that never joins characters across white space.
 
     Each distinct word is encoded once and kept, up to max_words words, then the memory is emptied and fills again.
     """
 
-    def __init__(self, path: str, max_words: int = 300_000):
+    def __init__(self, path: str, max_words: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.merges = RankedMerges(path, WORD_PATTERN)
+        self.bpe, self.split = self.merges.core._encode_single_piece, regex.compile(WORD_PATTERN).findall
         self.known: dict[str, bytes] = {}
         self.max_words = max_words
 
@@ -42,24 +50,22 @@ class WordEncoder:
         if len(self.known) + len(fresh) > self.max_words:
             self.known.clear()
             fresh = {w for words in split if words for w in words}
-        todo = list(fresh)
-        for at in range(0, len(todo), 4096):
-            part = todo[at : at + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = _le32(e.ids)
+        quick, ranks = [], []
+        for word in fresh:
+            if "<|" in word or max(word) >= PLAIN_BELOW:
+                self.known[word] = le32(self.tokenizer.encode(word, add_special_tokens=False).ids)
+            else:
+                quick.append(word)
+                ranks.append([r for part in self.split(word.lower()) for r in self.bpe(part.encode() + self.merges.end)])
+        if quick:
+            self.known.update(zip(quick, self.merges.gathered(ranks), strict=True))
         get = self.known.__getitem__
         return [
-            _le32(self.tokenizer.encode(t, add_special_tokens=False).ids) if words is None else b"".join(map(get, words))
+            le32(self.tokenizer.encode(t, add_special_tokens=False).ids) if words is None else b"".join(map(get, words))
             for t, words in zip(texts, split, strict=True)
         ]
 
 
-def _le32(ids: list[int]) -> bytes:
-    import numpy as np
-
-    return np.asarray(ids, "<u4").tobytes()
-
-
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -113,7 +119,7 @@ def pack(docs: DataFrame, tokenizer_path: str, text_col: str = "text", id_col: s
     names = ("start", "length", "ids_crc32", "doc_tokens", "mark")
     schema = StructType([d.schema["doc_id"], *(StructField(n, LongType()) for n in names)])
     target = arrow_schema(schema)
-    end = _le32([end_id])
+    end = le32([end_id])
 
     def pieces(batches):
         for batch in slices(batches, 1):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tarnlake.llm import bpe, exact_dedup, packing
+from tarnlake.llm import bpe, exact_dedup, packing, pii, substring_dedup, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_pii": pii.op1_pii,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_bpe": bpe.op9_bpe,
         "op10_packing": packing.op10_packing,
     }
