@@ -19,15 +19,20 @@ from tarnlake.llm.vec import rolling, text_bytes, word_hashes, words
 TOKEN = re.compile(r"\w+")
 #: Smallest 5-word hashes by which near copies among the labelled rows are found.
 SKETCHES = 6
+#: Lengths of the first letters that are features too.
+PREFIXES = (5, 6, 7)
+#: Tokens whose scores a worker keeps.
+MEMO = 300_000
 SEGMENT = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("evalue", pa.float64())])
 
 
 @dataclass
 class Model:
-    """weights: positive log-odds by token; all other tokens score -drift. rate: the extreme-value law's scale
+    """weights: positive log-odds by feature; a token scores the largest of its features', or -drift if it has none. rate: the extreme-value law's scale
     (lambda), size: its K. pivot: the p-value that gets a score of 0.5."""
 
     weights: dict[str, float] = field(default_factory=dict)
+    memo: dict[str, float] = field(default_factory=dict, repr=False)
     drift: float = 0.05
     rate: float = 1.0
     size: float = 1.0
@@ -38,6 +43,23 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
+def features(token: str) -> list[str]:
+    """The token, and its first letters if it has more: a marked stem also counts in words never seen."""
+    return [token, *(f"^{token[:k]}" for k in PREFIXES if len(token) > k)]
+
+
+def hits_of(model: Model, toks: list[str]) -> list[tuple[int, float]]:
+    """Place and score of the tokens with a weight."""
+    memo, weights = model.memo, model.weights
+    fresh = set(toks) - memo.keys()
+    if len(memo) + len(fresh) > MEMO:
+        memo.clear()
+        fresh = set(toks)
+    for t in fresh:
+        memo[t] = max((weights[f] for f in features(t) if f in weights), default=0.0)
+    return [(i, x) for i, x in enumerate(map(memo.__getitem__, toks)) if x]
+
+
 def maximal_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (start, end, score) of a sequence that scores -drift but at hits (place, score > 0),
     by Ruzzo and Tompa's method: one pass over the hits, each of which is merged away at most once."""
@@ -76,8 +98,7 @@ def p_value(model: Model, best: float, length: int) -> float:
 def scored(model: Model, text: str) -> tuple[float, list[tuple[int, int, float, float]]]:
     """Score from 0 to 1, and the segments with E-values."""
     toks = tokens(text)
-    hits = [] if model.weights.keys().isdisjoint(toks) else [(i, model.weights[t]) for i, t in enumerate(toks) if t in model.weights]
-    segments = maximal_segments(hits, model.drift)
+    segments = maximal_segments(hits_of(model, toks), model.drift)
     p = p_value(model, max((s[2] for s in segments), default=0.0), len(toks))
     return model.pivot / (model.pivot + p), [(s, e, x, model.size * len(toks) * math.exp(-model.rate * x)) for s, e, x in segments]
 
@@ -122,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, max_terms: i
             by = {0: Counter(), 1: Counter()}
             docs_by: Counter = Counter()
             for toxic, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                by[int(toxic == 1)].update(set(tokens(text)))
+                by[int(toxic == 1)].update({f for t in set(tokens(text)) for f in features(t)})
                 docs_by[int(toxic == 1)] += 1
             keys = [*(by[0].keys() | by[1].keys())]
             yield pa.RecordBatch.from_arrays([pa.array(["", *keys], pa.string()), pa.array([docs_by[1], *(by[1][k] for k in keys)], pa.int64()), pa.array([docs_by[0], *(by[0][k] for k in keys)], pa.int64())], ["token", "toxic", "clean"])
@@ -157,7 +178,7 @@ def _calibrated(model: Model, sample: DataFrame) -> Model:
 
     def best(batches):
         for batch in slices(batches, 2):
-            rows = [(int(t == 1), max((s[2] for s in maximal_segments([(i, shared.value.weights[w]) for i, w in enumerate(toks) if w in shared.value.weights], shared.value.drift)), default=0.0), len(toks)) for t, toks in zip(batch.column(1).to_pylist(), map(tokens, batch.column(2).to_pylist()), strict=True)]
+            rows = [(int(t == 1), max((s[2] for s in maximal_segments(hits_of(shared.value, toks), shared.value.drift)), default=0.0), len(toks)) for t, toks in zip(batch.column(1).to_pylist(), map(tokens, batch.column(2).to_pylist()), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.float64(), pa.int64()))], ["toxic", "best", "length"])
 
     rows = sample.mapInArrow(best, "toxic bigint, best double, length bigint").toPandas()  # as many short rows as the sample has
