@@ -6,12 +6,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
-from tarnlake.llm.common import arrow_schema, as_batch, attach, documents, row_count, slices, stored
-from tarnlake.llm.vec import Bits, range_hashes, rolling, sliding_argmin, text_bytes, word_hashes, words
+from tarnlake.llm.common import arrow_schema, as_batch, documents, row_count, slices, stored
+from tarnlake.llm.vec import Bits, mix, range_hashes, rolling, sliding_argmin, text_bytes, word_hashes, words
+
+#: Spreads a word's place over the bits of its text's hash; a place below 2^33 times this fits 64 bits.
+SPOT = 1_000_000_007
 
 
 def edges_of(column: pa.Array, window: int, k: int) -> dict[str, np.ndarray]:
@@ -19,8 +24,10 @@ def edges_of(column: pa.Array, window: int, k: int) -> dict[str, np.ndarray]:
 
     Of the k-mers in each window of `window` words, the one with the smallest hash (the first, if equal) is the
     window's node. Windows in a row that share a node are one edge: `node`, the row `doc` of the text, the word
-    `start` in the text where its first window starts, the number of `windows`, and hashes h1 and h2 of all words it
-    spans with the node's place among them. Equal windows have equal nodes, wherever they stand.
+    `start` in the text where its first window starts, the number of `windows`, hashes h1 and h2 of all words it
+    spans with the node's place among them, and `around`, a hash of the edge with the nodes before and after it.
+    Equal windows have equal nodes, wherever they stand. `first` is the start counted in the batch, whose words have
+    the hashes w1 and w2.
     """
     data, offsets = text_bytes(column)
     first, last, doc = words(data, offsets)
@@ -34,12 +41,31 @@ def edges_of(column: pa.Array, window: int, k: int) -> dict[str, np.ndarray]:
     begin = np.flatnonzero(new)
     count = np.diff(np.append(begin, len(whole)))
     start = whole[begin]
-    node = at[start]
+    place = at[start] if len(start) else start
+    node = mers[place] if len(start) else np.empty(0, np.uint64)
     end = start + count + window - 1
-    shift = (node - start).astype(np.uint64)
+    shift = (place - start).astype(np.uint64)
+    doc = doc[start] if len(start) else start
+    same = doc[1:] == doc[:-1]
+    before, after = np.zeros_like(node), np.zeros_like(node)
+    before[1:][same], after[:-1][same] = node[:-1][same], node[1:][same]
+    e1, e2 = range_hashes(h1, start, end, 5) + shift, range_hashes(h2, start, end, 6) ^ shift
+    return {
+        "node": node, "doc": doc, "start": start - base[doc] if len(start) else start, "windows": count, "h1": e1, "h2": e2,
+        "around": mix(e1 ^ mix(before ^ mix(after))), "first": start, "w1": h1, "w2": h2,
+    }
+
+
+def paths_of(e: dict[str, np.ndarray], inner: np.ndarray, window: int) -> dict[str, np.ndarray]:
+    """Longest runs of inner edges in a text, compacted: doc, start, windows, and hashes k1 and k2 of all words spanned."""
+    edges = np.flatnonzero(inner)
+    new = np.ones(len(edges), bool)
+    new[1:] = (edges[1:] != edges[:-1] + 1) | (e["doc"][edges[1:]] != e["doc"][edges[:-1]])
+    begin, stop = edges[new], edges[np.append(np.flatnonzero(new)[1:] - 1, len(edges) - 1)] if len(edges) else edges
+    first, end = e["first"][begin], e["first"][stop] + e["windows"][stop]
     return {
-        "node": mers[node] if len(node) else np.empty(0, np.uint64), "doc": doc[start] if len(start) else start, "start": start - base[doc[start]] if len(start) else start, "windows": count,
-        "h1": range_hashes(h1, start, end, 5) + shift, "h2": range_hashes(h2, start, end, 6) ^ shift, "first": start, "w1": h1, "w2": h2,
+        "doc": e["doc"][begin], "start": e["start"][begin], "windows": end - first,
+        "k1": range_hashes(e["w1"], first, end + window - 1, 9), "k2": range_hashes(e["w2"], first, end + window - 1, 10),
     }
 
 
@@ -47,17 +73,74 @@ def _int64(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
+def mark_repeats(rows: DataFrame, name: str) -> DataFrame:
+    """rows with `repeat`: whether a row with the same (k1, k2) has an earlier place (doc_id, null last; start).
+
+    Rows are sorted by key and place over ranges of both, so a key with any share of the rows is spread over as many
+    tasks as its rows need; each task reads its rows once, in order. Only of the rows with a task's first key and place
+    it can't tell; the last key of the task before settles that: two keys a task go to the driver.
+    """
+    spark = rows.sparkSession
+    order = ["k1", "k2", "none", "doc_id", "start"]
+    dealt = rows.withColumn("none", F.col("doc_id").isNull()).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = dealt.select("k1", "k2", *[c for c in rows.columns if c not in ("k1", "k2")])
+    schema = StructType([*dealt.schema.fields[2:], StructField("repeat", BooleanType()), StructField("task", LongType()), StructField("edge", ArrayType(LongType()))])
+    target, at = arrow_schema(schema), {c: i for i, c in enumerate(dealt.columns)}
+
+    def run(batches):
+        task = TaskContext.get().partitionId()
+        before, first_run, moved = None, True, False  # the row before, whether its key is the task's first, whether the place has changed since the key began
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            place = [batch.column(at[c]) for c in ("k1", "k2", "doc_id", "start")]
+            if before is not None:
+                place = [pa.concat_arrays([x, y]) for x, y in zip(before, place, strict=True)]
+            else:
+                place = [pa.concat_arrays([x.slice(0, 1), x]) for x in place]
+            k1, k2, start = (place[i].to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+            ids = pc.equal(place[2].slice(1), place[2].slice(0, n)).fill_null(False).to_numpy(zero_copy_only=False)
+            ids |= pc.and_(place[2].slice(1).is_null(), place[2].slice(0, n).is_null()).to_numpy(zero_copy_only=False)
+            new_key = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+            changes = np.cumsum(~new_key & ~(ids & (start[1:] == start[:-1]))) + int(moved)
+            at_key = np.flatnonzero(new_key)
+            base = np.zeros(n, np.int64)
+            if len(at_key):
+                base = np.where(np.cumsum(new_key) > 0, changes[at_key[np.maximum(np.cumsum(new_key) - 1, 0)]], 0)
+            repeat = changes > base
+            open_ = ~repeat & (np.cumsum(new_key) == 0) & first_run
+            edge: list = [None] * n
+            if before is None:
+                edge[0] = [int(k1[1]), int(k2[1])]
+            first_run &= not len(at_key)
+            moved = bool(repeat[-1])
+            before = [x.slice(n, 1) for x in place]
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(repeat, mask=open_), pa.array(np.full(n, task)), pa.array(edge, pa.list_(pa.int64()))], schema=target)
+        if before is not None:
+            last = {f.name: None for f in target} | {"task": task, "edge": [before[0][0].as_py(), before[1][0].as_py(), 1]}
+            yield pa.RecordBatch.from_pylist([last], schema=target)
+
+    marked = stored(dealt.mapInArrow(run, schema), name)
+    edges = {(r.task, len(r.edge)): r.edge[:2] for r in marked.filter("edge is not null").select("task", "edge").collect()}
+    tasks = sorted({t for t, _ in edges})
+    continued = [t for last, t in zip(tasks, tasks[1:], strict=False) if edges[last, 3] == edges[t, 2]]
+    known = marked.filter("edge is null or size(edge) = 2").drop("edge")
+    return known.withColumn("repeat", F.coalesce("repeat", F.col("task").isin(continued))).drop("task")
+
+
 def repeated_spans(docs: DataFrame, window: int = 20, k: int = 8) -> DataFrame:
-    """Maximal spans of words, all of whose windows also start earlier: uid, start, end, source_id, source_start.
-
-    docs has doc_id, uid (a hash of id and text) and text without nulls. Rows are joined in these steps:
-    1. k-mer nodes and edge hashes of all texts; per node (aggregated before the shuffle) whether it repeats and
-       whether it branches, that is, has edges that differ. What repeats and what branches goes into two Bits.
-    2. Texts are read again. Repeated nodes give one row per edge if they don't branch, which stands for all windows
-       on it, or one row per window if they do. All other text, usually most of it, gives no row at all.
-    3. Rows with equal 128-bit hashes are grouped, the earliest is their source; `attach` joins it back to the rows,
-       and those that aren't the source are repeats of it.
-    4. Edges that follow each other in a text and in the source too are compacted into one path.
+    """Spans of words, all of whose windows also start earlier: uid, start, end.
+
+    docs has doc_id, uid (a hash of id and text) and text without nulls. The steps:
+    1. The nodes of all texts are joined by hash (aggregated before the shuffle): which repeat, and which have the same
+       edge and the same neighbours wherever they occur, so that the graph doesn't branch there. Both go into Bits.
+    2. Texts are read again. Runs of nodes that don't branch are compacted into one path each, with one row; nodes that
+       repeat and branch give one row per edge; all other text, usually most of it, none. mark_repeats joins equal
+       paths and edges by 128-bit hashes of all their words: all but the earliest, by source coordinates, are repeats
+       as a whole.
+    3. Edges at one branching node may share windows though they differ. Of each such edge the earliest place is read
+       a third time and gives one row per window, and mark_repeats finds the windows that also start earlier.
     """
     spark = docs.sparkSession
     d = docs.select("doc_id", "uid", "text")
@@ -65,50 +148,52 @@ def repeated_spans(docs: DataFrame, window: int = 20, k: int = 8) -> DataFrame:
     def nodes(batches):
         for batch in slices(batches, 0):
             e = edges_of(batch.column(0), window, k)
-            yield pa.RecordBatch.from_arrays([_int64(e["node"]), _int64(e["h1"])], ["node", "h1"])
+            yield pa.RecordBatch.from_arrays([_int64(e["node"]), _int64(e["around"])], ["node", "around"])
 
-    seen = d.select("text").mapInArrow(nodes, "node bigint, h1 bigint").groupBy("node")
-    seen = seen.agg(F.count("*").alias("n"), F.min("h1").alias("low"), F.max("h1").alias("high")).filter("n > 1")
+    seen = d.select("text").mapInArrow(nodes, "node bigint, around bigint").groupBy("node")
+    seen = seen.agg(F.count("*").alias("n"), F.min("around").alias("low"), F.max("around").alias("high")).filter("n > 1")
     seen = stored(seen.select("node", (F.col("low") != F.col("high")).alias("branches")), "debruijn-nodes")
     counts = {r.branches: r["count"] for r in seen.groupBy("branches").count().collect()}
-    sets = {b: Bits.collected(seen.filter(F.col("branches") == b), "node", counts.get(b, 0)) for b in (True, False)}
-    shared = spark.sparkContext.broadcast((sets[True], sets[False]))
-    schema = StructType([StructField("k1", LongType()), StructField("k2", LongType()), d.schema["doc_id"], *(StructField(n, LongType()) for n in ("uid", "start", "windows"))])
+    branching, inner = (Bits.collected(seen.filter(F.col("branches") == b), "node", counts.get(b, 0)) for b in (True, False))
+    shared = spark.sparkContext.broadcast((branching, inner))
+    fields = [StructField("k1", LongType()), StructField("k2", LongType()), d.schema["doc_id"], *(StructField(n, LongType()) for n in ("uid", "start", "windows")), StructField("branches", BooleanType())]
+    schema = StructType(fields)
     target = arrow_schema(schema)
 
-    def rows(batches):
-        branching, repeating = shared.value
+    def rows_of(batch, k1, k2, doc, start, width, branches):
+        take = pa.array(doc)
+        arrays = [_int64(k1), _int64(k2), batch.column(0).take(take), batch.column(1).take(take), _int64(start), _int64(width), pa.array(branches)]
+        return pa.RecordBatch.from_arrays(arrays, schema=target)
+
+    def paths_and_edges(batches):
+        branching, inner = shared.value
         for batch in slices(batches, 2):
             e = edges_of(batch.column(2), window, k)
             many = branching.has(e["node"])
-            plain = repeating.has(e["node"]) & ~many
-            each = np.repeat(np.flatnonzero(many), e["windows"][many])
-            within = np.arange(len(each)) - np.repeat(np.cumsum(e["windows"][many]) - e["windows"][many], e["windows"][many])
-            k1, k2 = e["h1"][plain], e["h2"][plain]
-            if len(each):
-                at = e["first"][each] + within
-                k1, k2 = np.concatenate([k1, rolling(e["w1"], window, 7)[at]]), np.concatenate([k2, rolling(e["w2"], window, 8)[at]])
-            doc = np.concatenate([e["doc"][plain], e["doc"][each]])
-            start = np.concatenate([e["start"][plain], e["start"][each] + within])
-            width = np.concatenate([e["windows"][plain], np.ones(len(each), np.int64)])
-            take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([_int64(k1), _int64(k2), batch.column(0).take(take), batch.column(1).take(take), _int64(start), _int64(width)], schema=target)
-
-    found = stored(d.mapInArrow(rows, schema), "debruijn-edges")
-    total = row_count(found)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("start").alias("start"))
-    sources = found.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("source")).filter("n > 1")
-    repeats = attach(found, sources, ["k1", "k2"], "n", total).filter(F.col("source").isNotNull() & (place > F.col("source")))
-    repeats = repeats.select("uid", "start", "windows", F.col("source.id").alias("source_id"), F.col("source.start").alias("source_start")).distinct()
-    # Paths: in a text, edges that adjoin and whose sources adjoin likewise.
-    way = Window.partitionBy("uid").orderBy("start", "source_id", "source_start")
-    next_start = F.col("start") + F.col("windows")
-    shift = F.col("source_start") - F.col("start")
-    follows = (F.lag(next_start).over(way) == F.col("start")) & F.lag("source_id").over(way).eqNullSafe(F.col("source_id")) & (F.lag(shift).over(way) == shift)
-    paths = repeats.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("path", F.sum("new").over(way.rowsBetween(Window.unboundedPreceding, 0)))
-    return paths.groupBy("uid", "path").agg(
-        F.min("start").alias("start"), (F.max(next_start) + window - 1).alias("end"), F.first("source_id").alias("source_id"), F.min("source_start").alias("source_start")
-    ).drop("path")
+            p = paths_of(e, inner.has(e["node"]) & ~many, window)
+            join = lambda x, y: np.concatenate([p[x], e[y][many]])
+            branches = np.repeat([False, True], [len(p["doc"]), int(many.sum())])
+            yield rows_of(batch, join("k1", "h1"), join("k2", "h2"), join("doc", "doc"), join("start", "start"), join("windows", "windows"), branches)
+
+    edges = mark_repeats(stored(d.mapInArrow(paths_and_edges, schema), "debruijn-edges"), "debruijn-marked")
+    spot = F.col("uid").bitwiseXOR(F.col("start") * F.lit(SPOT)).alias("spot")
+    firsts = edges.filter("branches and not repeat").select(spot)
+    read_again = spark.sparkContext.broadcast(Bits.collected(firsts, "spot", row_count(firsts)))
+
+    def windows(batches):
+        for batch in slices(batches, 2):
+            e = edges_of(batch.column(2), window, k)
+            uid = batch.column(1).to_numpy().view(np.uint64)[e["doc"]]
+            on = np.flatnonzero(shared.value[0].has(e["node"]) & read_again.value.has(uid ^ (e["start"].astype(np.uint64) * np.uint64(SPOT))))
+            width = e["windows"][on]
+            each = np.repeat(on, width)
+            within = np.arange(len(each)) - np.repeat(np.cumsum(width) - width, width)
+            at = e["first"][each] + within
+            k1, k2 = (rolling(e[w], window, s)[at] if len(at) else np.empty(0, np.uint64) for w, s in (("w1", 7), ("w2", 8)))
+            yield rows_of(batch, k1, k2, e["doc"][each], e["start"][each] + within, np.ones(len(each), np.int64), np.ones(len(each), bool))
+
+    single = mark_repeats(stored(d.mapInArrow(windows, schema), "debruijn-windows"), "debruijn-windows-marked")
+    return edges.unionByName(single).filter("repeat").select("uid", "start", (F.col("start") + F.col("windows") + window - 1).alias("end"))
 
 
 def kept_words(text: bytes, ranges: list[tuple[int, int]]) -> tuple[int, list[bytes]]:
@@ -131,7 +216,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(d, window, k)
-    gone = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    gone = spans.distinct().groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     gone = stored(gone, "substring-ranges")
     some = d.sparkSession.sparkContext.broadcast(Bits.collected(gone, "uid", row_count(gone)))
     result = "kept_sha256" if digests else "kept"

@@ -121,7 +121,7 @@ class Bits:
         """Of the column's values; tasks join bits by word, so the driver gets 2^MOST / 64 words at most."""
         from pyspark.sql import functions as F
 
-        out = cls(min(cls.MOST, max(10, (8 * count).bit_length())))
+        out = cls(min(cls.MOST, max(10, (16 * count).bit_length())))
         place = F.col(hash_col).bitwiseAND(F.lit(int(out.mask)))
         word = F.shiftright(place, 6).alias("word")
         bit = F.expr(f"shiftleft(1L, cast(`{hash_col}` & 63 as int))").alias("bit")
