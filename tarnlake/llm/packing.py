@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import pandas as pd
@@ -15,55 +14,50 @@ from tarnlake.llm.common import arrow_schema, as_batch, documents, row_count, sl
 from tarnlake.llm.pieces import PLAIN_BELOW, RankedMerges, le32
 
 #: Characters that Python counts as white space and the vocabulary's own pattern may not.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
+ODD_SPACES = "\x1c\x1d\x1e\x1f\x85"
 
 
 #: How the vocabulary's own pre-tokenizer splits lower-cased text; what lies between is dropped.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-class WordEncoder:
-    """Token ids of texts for a vocabulary that never joins characters across white space.
+class WordEncoder(dict):
+    """Token ids of texts, as little-endian unsigned 32-bit numbers, for a vocabulary that never joins characters
+    across white space.
 
-    Each distinct word is encoded once and kept, up to max_words words, then the memory is emptied and fills again.
+    Holds the ids of each distinct word, which is encoded when it is first asked for; emptied when it has max_words.
     """
 
     def __init__(self, path: str, max_words: int = 500_000):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.merges = RankedMerges(path, WORD_PATTERN)
-        self.bpe, self.split = self.merges.core._encode_single_piece, regex.compile(WORD_PATTERN).findall
-        self.known: dict[str, bytes] = {}
+        merges = RankedMerges(path, WORD_PATTERN)
+        self.bpe, self.split, self.end = merges.core._encode_single_piece, regex.compile(WORD_PATTERN).findall, merges.end
+        self.id_bytes = [le32([i]) for i in merges.ids.tolist()]
         self.max_words = max_words
 
+    def __missing__(self, word: str) -> bytes:
+        if "<|" in word or max(word) >= PLAIN_BELOW:
+            ids = le32(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        else:
+            ids = b"".join([self.id_bytes[r] for part in self.split(word.lower()) for r in self.bpe(part.encode() + self.end)])
+        self[word] = ids
+        return ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if ODD_SPACE.search(t) else t.split() for t in texts]
-        fresh: set[str] = set()
-        for words in split:
-            if words:
-                fresh.update(words)
-        fresh -= self.known.keys()
-        if len(self.known) + len(fresh) > self.max_words:
-            self.known.clear()
-            fresh = {w for words in split if words for w in words}
-        quick, ranks = [], []
-        for word in fresh:
-            if "<|" in word or max(word) >= PLAIN_BELOW:
-                self.known[word] = le32(self.tokenizer.encode(word, add_special_tokens=False).ids)
-            else:
-                quick.append(word)
-                ranks.append([r for part in self.split(word.lower()) for r in self.bpe(part.encode() + self.merges.end)])
-        if quick:
-            self.known.update(zip(quick, self.merges.gathered(ranks), strict=True))
-        get = self.known.__getitem__
-        return [
-            le32(self.tokenizer.encode(t, add_special_tokens=False).ids) if words is None else b"".join(map(get, words))
-            for t, words in zip(texts, split, strict=True)
-        ]
+        out = []
+        for text in texts:
+            if any(c in text for c in ODD_SPACES):
+                out.append(le32(self.tokenizer.encode(text, add_special_tokens=False).ids))
+                continue
+            if len(self) > self.max_words:
+                self.clear()
+            out.append(b"".join(map(self.__getitem__, text.split())))
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
