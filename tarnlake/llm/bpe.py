@@ -113,7 +113,7 @@ class ChunkEncoder:
         return out
 
     def _learn(self, wanted: set[bytes]) -> None:
-        fresh = wanted - self.chunks.keys()
+        fresh = {c for c in wanted if c not in self.chunks}
         if len(self.chunks) + len(fresh) > self.max_kept:
             self.chunks.clear()
             fresh = wanted

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from tarnlake.llm import bpe, exact_dedup, packing, pii, substring_dedup, toxicity
+from tarnlake.llm import bpe, exact_dedup, fingerprints, licenses, line_dedup, near_dedup, packing, pii, substring_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_pii": pii.op1_pii,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_licenses": licenses.op3_licenses,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_fingerprints": fingerprints.op5_fingerprints,
+        "op6_line_dedup": line_dedup.op6_line_dedup,
+        "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_bpe": bpe.op9_bpe,
         "op10_packing": packing.op10_packing,
@@ -17,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE}
+    return {"op4_exact_dedup": exact_dedup.ORACLE, "op6_line_dedup": line_dedup.ORACLE}

@@ -32,7 +32,7 @@ class Model:
     (lambda), size: its K. pivot: the p-value that gets a score of 0.5."""
 
     weights: dict[str, float] = field(default_factory=dict)
-    memo: dict[str, float] = field(default_factory=dict, repr=False)
+    memo: dict[str, float] | None = field(default=None, repr=False, compare=False)
     drift: float = 0.05
     rate: float = 1.0
     size: float = 1.0
@@ -48,16 +48,27 @@ def features(token: str) -> list[str]:
     return [token, *(f"^{token[:k]}" for k in PREFIXES if len(token) > k)]
 
 
+class Scores(dict):
+    """The score of each token met so far, 0 without a weight; emptied by hits_of when it has MEMO tokens."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, token: str) -> float:
+        weights = self.weights
+        self[token] = best = max((weights[f] for f in features(token) if f in weights), default=0.0)
+        return best
+
+    def __reduce__(self):
+        return Scores, (self.weights,)
+
+
 def hits_of(model: Model, toks: list[str]) -> list[tuple[int, float]]:
     """Place and score of the tokens with a weight."""
-    memo, weights = model.memo, model.weights
-    fresh = set(toks) - memo.keys()
-    if len(memo) + len(fresh) > MEMO:
-        memo.clear()
-        fresh = set(toks)
-    for t in fresh:
-        memo[t] = max((weights[f] for f in features(t) if f in weights), default=0.0)
-    return [(i, x) for i, x in enumerate(map(memo.__getitem__, toks)) if x]
+    if model.memo is None or len(model.memo) > MEMO:
+        model.memo = Scores(model.weights)
+    return [(i, x) for i, x in enumerate(map(model.memo.__getitem__, toks)) if x]
 
 
 def maximal_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
