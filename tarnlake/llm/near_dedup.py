@@ -142,27 +142,46 @@ def _elements(d: DataFrame, wanted: Bits) -> DataFrame:
     return d.select("text").mapInArrow(run, "node binary, elements binary")
 
 
-def verified(pairs: DataFrame, elements: DataFrame, threshold: float, per_task: int = 500) -> DataFrame:
-    """The pairs (a, b) whose elements' Jaccard similarity reaches the threshold. A node in many pairs is copied for
-    every per_task of them, so that no task gets all pairs of one node."""
-    total = row_count(pairs)
+def compared(pairs: DataFrame, elements: DataFrame, threshold: float, per_task: int = 500) -> DataFrame:
+    """Each pair (a, b, size of b) with linked (their elements' Jaccard similarity reaches the threshold) and outside
+    (a hash of a with each element that b has and a hasn't). A node in many pairs is copied for every per_task of
+    them, so that no task gets all pairs of one node."""
     counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    salted = attach(pairs, counts, ["a"], "n", total).withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / per_task)))
+    salted = attach(pairs, counts, ["a"], "n", row_count(pairs)).withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / per_task)))
     left = elements.join(counts, F.col("node") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / per_task) - 1)).alias("salt"), F.col("elements").alias("ea"))
-    right = salted.join(elements.select(F.col("node").alias("_b"), F.col("elements").alias("eb")), F.col("b") == F.col("_b")).select("a", "b", "salt", "eb")
-    both = right.join(left, ["a", "salt"]).select("a", "b", "ea", "eb")
+    right = salted.join(elements.select(F.col("node").alias("_b"), F.col("elements").alias("eb")), F.col("b") == F.col("_b")).select("a", "b", "size", "salt", "eb")
+    both = right.join(left, ["a", "salt"]).select("a", "b", "size", "ea", "eb")
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            linked, outside = [], []
+            for a, x, y in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= threshold * (len(x) + len(y) - common) - 1e-9)
-            batch = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"])
+                rest = np.setdiff1d(y, x, assume_unique=True)
+                common = len(y) - len(rest)
+                linked.append(common >= threshold * (len(x) + len(y) - common) - 1e-9)
+                outside.append(mix(rest ^ np.frombuffer(a, np.uint64, 1)).view(np.int64))
+            ends = np.cumsum([0, *map(len, outside)]).astype(np.int32)
+            flat = pa.array(np.concatenate(outside) if outside else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(linked, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["a", "b", "size", "linked", "outside"])
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(run, "a binary, b binary, size bigint, linked boolean, outside array<bigint>")
+
+
+def _shared_keys(done: DataFrame, keys: DataFrame) -> DataFrame:
+    """Members (bucket, node, size) of the buckets that keys has, from compared pairs."""
+    wanted = done.sparkSession.sparkContext.broadcast(Bits.collected(keys, "bucket", row_count(keys)))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            flat = lists.flatten()
+            on = np.flatnonzero(wanted.value.has(flat.to_numpy(zero_copy_only=False).view(np.uint64)))
+            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))[on]
+            yield pa.RecordBatch.from_arrays([flat.take(pa.array(on)), *(batch.column(i).take(pa.array(owner)) for i in (0, 1))], ["bucket", "node", "size"])
+
+    found = done.select("b", "size", "outside").mapInArrow(run, "bucket bigint, node binary, size bigint")
+    return found.join(keys.select("bucket"), "bucket", "left_semi").distinct()
 
 
 def components(links: DataFrame, name: str, most: int = 60) -> DataFrame:
@@ -189,17 +208,51 @@ def components(links: DataFrame, name: str, most: int = 60) -> DataFrame:
     return stored(stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct()), f"{name}-labels")
 
 
+def links_of(members: DataFrame, elements: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None]:
+    """Links (a, b) that join all nodes that are alike in a bucket, and labels of their components, from members
+    (bucket, node, size).
+
+    Every node of a bucket is compared with its lead, the smallest by (size, node). Take two nodes x and y of a bucket
+    that are alike and not both in the lead's component, say x isn't. Then x isn't alike the lead c; and if x and y
+    had no element in common outside c, then x would be: x and c have no fewer in common than x and y, and c is no
+    larger than y. So x and y share an element outside c, and buckets of (c, element) bring them together again, of
+    which only those are built that hold a node such as x. Leads grow from round to round, so this ends. A bucket of n
+    copies takes n comparisons, and no bucket is compared pair by pair.
+    """
+    links = labels = None
+    number = 0
+    while True:
+        number += 1
+        groups = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("size", "node")).alias("lead")).filter("n > 1")
+        led = attach(members, groups, ["bucket"], "n", row_count(members)).filter(F.col("lead").isNotNull() & (F.col("node") != F.col("lead.node")))
+        pairs = stored(led.select(F.col("lead.node").alias("a"), F.col("node").alias("b"), "size").distinct(), f"near-pairs-{number}")
+        if not pairs.head(1):
+            return links, labels
+        done = stored(compared(pairs, elements, threshold), f"near-compared-{number}")
+        new = done.filter("linked").select("a", "b")
+        if links is None:
+            links, labels = new, components(new, "near-components")
+        elif new.head(1):
+            links = links.unionByName(new)
+            labels = components(links, f"near-components-{number}")
+        named = done.select("a", "b", "size", "outside")
+        for side in ("a", "b"):
+            own = labels.select(F.col("node").alias(f"_{side}"), F.col("label").alias(f"{side}_label"))
+            named = named.join(own, F.col(side) == F.col(f"_{side}"), "left").withColumn(f"{side}_label", F.coalesce(f"{side}_label", side))
+        rest = F.col("a_label") != F.col("b_label")
+        keys = named.select(F.explode("outside").alias("bucket"), rest.alias("rest")).groupBy("bucket").agg(F.count("*").alias("n"), F.bool_or("rest").alias("rest"))
+        keys = stored(keys.filter("n > 1 and rest").select("bucket"), f"near-keys-{number}")
+        members = stored(_shared_keys(done, keys), f"near-members-{number}")
+
+
 def near_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
     """One row per row of docs: doc_id, class_id (the smallest id in its class, null last), class_size and kept.
 
     Texts are linked if their weighted sets of five-word shingles (weights are counts; texts of under five words have
     one shingle) have a Jaccard similarity of `threshold` or more, and classes are the components of links.
     1. Texts with equal words are one node. Each node has a DartMinHash signature of 125 in 25 bands.
-    2. In every band's bucket each node is compared with the smallest; what passes is verified on exact shingle sets.
-    3. Nodes of a bucket that aren't in the class of its smallest node are then compared with all nodes of the bucket
-       that are in other classes than they are. So no two texts of a bucket stay uncompared but those that are in one
-       class already, and a bucket of n copies costs n comparisons, not n squared.
-    4. Components of all links.
+    2. Nodes that share a band are compared, exactly, as far as links_of needs it to join all that are alike.
+    3. Components of all links.
     kept marks the row with the class's smallest id. Texts without words (null, empty) are one class. Rows that repeat
     an id are one class if their words are equal, and are all kept if it is the smallest. An empty table gives an
     empty result. Further columns are ignored, whatever their names.
@@ -208,33 +261,28 @@ def near_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     signed = stored(_signed(d), "near-signed")
     total = row_count(signed)
     nodes = signed.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    buckets = nodes.select("node", "size", F.explode("bands").alias("band"))
-    groups = buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("lead")).filter("n > 1")
-    members = stored(attach(stored(buckets, "near-buckets"), groups, ["band"], "n", 25 * total).filter("lead is not null"), "near-members")
-    sizes = members.select(F.col("node").alias("lead"), F.col("size").alias("lead_size")).distinct()
-    alike = lambda x, y: F.least(x, y) >= F.greatest(x, y) * threshold - 1e-9
-    stars = members.filter("node != lead").select("node", "size", "lead").distinct()
-    counts = stars.groupBy("lead").agg(F.count("*").alias("n_lead")).join(sizes, "lead")
-    first = attach(stars, counts, ["lead"], "n_lead", row_count(stars)).filter(alike(F.col("size"), F.col("lead_size")))
-    first = stored(first.select(F.col("lead").alias("a"), F.col("node").alias("b")), "near-first")
-    low = F.expr("cast(conv(hex(substring(node, 1, 8)), 16, -10) as bigint)")
-    involved = members.select("node").distinct().withColumn("hash", low)
-    wanted = Bits.collected(involved, "hash", row_count(involved))
-    elements = _elements(d, wanted).dropDuplicates(["node"])
-    elements = stored(elements.join(involved.select("node"), "node", "left_semi"), "near-elements")
-    links = stored(verified(first, elements, threshold), "near-links")
-    labels = components(links, "near-components")
-    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lead = labelled.groupBy("band").agg(F.min(F.struct("node", "label")).alias("s"), F.count("*").alias("n_band"), F.max("label").alias("high"), F.min("label").alias("low"))
-    mixed = lead.filter("low != high").select("band", F.col("s.label").alias("lead_label"), "n_band")
-    open_ = stored(attach(labelled.drop("n"), mixed, ["band"], "n_band", row_count(members)).filter("lead_label is not null"), "near-open")
-    rest = open_.filter("label != lead_label").select(F.col("band").alias("_band"), F.col("node").alias("x"), F.col("size").alias("x_size"), F.col("label").alias("x_label"))
-    cross = rest.join(open_, (F.col("_band") == F.col("band")) & (F.col("x_label") != F.col("label")) & (F.col("node") != F.col("lead")) & alike(F.col("x_size"), F.col("size")))
-    second = stored(cross.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct(), "near-second")
-    if second.head(1):
-        links = links.unionByName(verified(second, elements, threshold))
-        labels = components(links, "near-components-2")
-    named = stored(nodes.select("node", "n", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "near-named")
+    buckets = nodes.select("node", "size", F.explode("bands").alias("bucket"))
+    many = stored(buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "near-bands")
+    shared = d.sparkSession.sparkContext.broadcast(Bits.collected(many, "bucket", row_count(many)))
+    once = signed.select("node", "size", "bands").dropDuplicates(["node"])
+
+    def together(batches):
+        """Bands that another node may have too."""
+        for batch in batches:
+            flat = batch.column(2).flatten()
+            on = np.flatnonzero(shared.value.has(flat.to_numpy(zero_copy_only=False).view(np.uint64)))
+            owner = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))[on]
+            yield pa.RecordBatch.from_arrays([flat.take(pa.array(on)), *(batch.column(i).take(pa.array(owner)) for i in (0, 1))], ["bucket", "node", "size"])
+
+    members = once.mapInArrow(together, "bucket bigint, node binary, size bigint").join(many, "bucket", "left_semi")
+    members = stored(members, "near-members")
+    involved = stored(members.select("node").distinct().withColumn("hash", F.expr("cast(conv(hex(substring(node, 1, 8)), 16, -10) as bigint)")), "near-involved")
+    found = _elements(d, Bits.collected(involved, "hash", row_count(involved))).dropDuplicates(["node"])
+    elements = stored(found.join(involved.select("node"), "node", "left_semi"), "near-elements")
+    _, labels = links_of(members, elements, threshold)
+    named = nodes.select("node", "n", "first")
+    named = named.withColumn("label", F.col("node")) if labels is None else named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = stored(named, "near-named")
     classes = named.groupBy("label").agg(F.sum("n").alias("class_size"), F.min("first").alias("first"), F.count("*").alias("texts"))
     by_node = attach(named.select("node", "n", "label"), classes, ["label"], "texts", row_count(named))
     out = attach(signed.select("doc_id", "node"), by_node.drop("label", "texts"), ["node"], "n", total)
