@@ -5,39 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import SPACE, documents, row_count, stored
+from tarnlake.llm.common import SPACE, documents, row_count
 
 #: Hashes below this, an eighth of all, are kept whatever the document.
 LIMIT = -(1 << 63) + (1 << 61)
 #: Texts with so few shingles keep all hashes, as an eighth would say too little about them.
 SMALL = 128
 #: Buckets of neighbouring ids; a bound on what the driver sees of them.
-BUCKETS = 4096
+BUCKETS = 16_384
 
 
 def with_shingles(df: DataFrame, text: str, out: str, size: int = 5, words: Column | None = None) -> DataFrame:
-    """df with `out`, the hashes of each run of `size` words of the text; shorter texts have one hash of all words, empty ones none."""
+    """df with `out`, the distinct hashes of each run of `size` words of the text; shorter texts have one hash of all words, empty ones none."""
     w, h = f"_{out}_w", f"_{out}_h"
     split = F.filter(F.split(text, f"{SPACE}+"), lambda x: x != "") if words is None else words
     df = df.withColumn(w, F.transform(split, lambda x: F.xxhash64(x)))
     n = F.size(w)
     runs = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(F.col(w), i + j) for j in range(size)]))
-    return df.withColumn(h, F.when(n >= size, runs).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))).withColumn(out, F.col(h)).drop(w, h)
+    return df.withColumn(h, F.when(n >= size, runs).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))).withColumn(out, F.array_distinct(h)).drop(w, h)
 
 
 def sketch(shingles: Column) -> Column:
-    """The fingerprint of distinct shingle hashes, sorted."""
-    kept = F.when(F.size(shingles) <= SMALL, shingles).otherwise(F.filter(shingles, lambda x: x < LIMIT))
-    return F.array_sort(F.array_distinct(kept))
+    """The fingerprint of distinct shingle hashes: whole (all are kept) and hashes, sorted."""
+    few = F.size(shingles) <= SMALL
+    kept = F.when(few, shingles).otherwise(F.filter(shingles, lambda x: x < LIMIT))
+    return F.struct(few.alias("whole"), F.array_sort(kept).alias("hashes"))
 
 
 def shown(fingerprint: Column) -> Column:
-    """As text: sixteen hexadecimal digits a hash."""
-    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.hex(x), 16, "0")), "")
+    """As text: w (whole) or s (scaled), then sixteen hexadecimal digits a hash."""
+    digits = F.array_join(F.transform(fingerprint["hashes"], lambda x: F.lpad(F.hex(x), 16, "0")), "")
+    return F.concat(F.when(fingerprint["whole"], "w").otherwise("s"), digits)
 
 
 def _reduced(a: Column) -> Column:
-    return F.filter(a, lambda x: x < LIMIT)
+    return F.filter(a["hashes"], lambda x: x < LIMIT)
 
 
 def _ratio(a: Column, b: Column, below: Column) -> Column:
@@ -47,12 +49,11 @@ def _ratio(a: Column, b: Column, below: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated share of common shingles among all of two texts (Jaccard), from their fingerprints. Compared is what
-    both would keep: hashes below LIMIT, or all of them if neither text is large. Two empty fingerprints are alike (1)."""
-    whole = _ratio(a, b, F.size(F.array_union(a, b)))
-    x, y = _reduced(a), _reduced(b)
-    reduced = _ratio(x, y, F.size(F.array_union(x, y)))
-    small = (F.size(a) <= SMALL) & (F.size(b) <= SMALL)
-    return F.when(small | (F.size(x) + F.size(y) == 0), whole).otherwise(reduced)
+    both have kept: hashes below LIMIT, or all of them if both are whole or neither has any below. Two empty
+    fingerprints are alike (1)."""
+    all_a, all_b, x, y = a["hashes"], b["hashes"], _reduced(a), _reduced(b)
+    whole = _ratio(all_a, all_b, F.size(F.array_union(all_a, all_b)))
+    return F.when((a["whole"] & b["whole"]) | (F.size(x) + F.size(y) == 0), whole).otherwise(_ratio(x, y, F.size(F.array_union(x, y))))
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -61,64 +62,70 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def merged(fingerprints: Column) -> Column:
-    """The fingerprint of all texts in a group, from an array of theirs: the union of hashes below LIMIT."""
-    return F.array_sort(F.array_distinct(_reduced(F.flatten(fingerprints))))
+    """The hashes below LIMIT of all texts in a group, from an array of their fingerprints: what the texts' union keeps."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(fingerprints, _reduced))))
 
 
 def fingerprint(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 5) -> DataFrame:
-    """doc_id and fingerprint (sorted array of hashes) of each row; a pure projection. Null texts count as empty."""
+    """doc_id and fingerprint (whole, hashes) of each row; a pure projection. Null texts count as empty."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return with_shingles(d, "text", "shingles", size).select("doc_id", sketch(F.col("shingles")).alias("fingerprint"))
 
 
-def _neighbours(ids: DataFrame) -> DataFrame:
-    """next_uid, uid and n of each document: the one after it by descending id (null last), after the last the first.
+def _bucket(doc_id: Column, cuts: list[int]) -> Column:
+    """How many cuts aren't above the id (null: -1): first among every 128th, then among those between."""
+    tops, parts = cuts[::128], [cuts[i : i + 128] for i in range(0, len(cuts), 128)]
+    if not cuts:
+        return F.when(doc_id.isNull(), -1).otherwise(0)
+    part = F.size(F.filter(F.lit(tops), lambda c: c <= doc_id)) - 1
+    within = F.size(F.filter(F.get(F.array(*[F.lit(p) for p in parts]), part), lambda c: c <= doc_id))
+    return F.when(doc_id.isNull(), -1).when(part < 0, 0).otherwise(part * 128 + within)
 
-    A window over all ids would be one task. Ids are dealt into at most BUCKETS ranges by approximate percentiles;
-    each range is sorted by itself, and only its largest id, a row a range, goes through the driver to the next one.
+
+def _with_next(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows (doc_id, text, uid, fingerprint; made from docs by `_prepared`) with next_text and next_fingerprint.
+
+    A window over all ids would be one task. Ids are dealt into at most BUCKETS ranges by approximate percentiles, and
+    texts shuffled once, by range, each sorted by itself. What a range's first row needs, the last row of the range
+    below, is sent there as one row more; only those ids, one a range, go through the driver.
     """
-    spark = ids.sparkSession
-    total = row_count(ids)
-    count = max(1, min(BUCKETS, total // 2000))
-    cuts = []
+    spark = rows.sparkSession
+    ids = docs.select("doc_id")
+    count = max(1, min(BUCKETS, row_count(ids) // 2000))
+    cuts: list[int] = []
     if count > 1:
-        marks = ids.select(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 100 * count)).first()[0] or []
-        cuts = sorted(set(marks))
-    bucket = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    b = ids.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(bucket)).withColumn("me", F.struct("doc_id", "uid"))
-    # None or one bucket of ids that repeat can be large; there, too, a row is two numbers.
-    tops = {r.bucket: r.top for r in b.groupBy("bucket").agg(F.max("me").alias("top")).collect()}
+        cuts = sorted(set(ids.select(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 50 * count)).first()[0] or []))
+    bucket = _bucket(F.col("doc_id"), cuts)
+    tops = {r.bucket: r.top for r in ids.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("top")).collect()}
     order = sorted(tops)
-    last = [(k, tops[order[i - 1]].uid) for i, k in enumerate(order)]
-    before = spark.createDataFrame(last, "bucket int, last_uid bigint")
-    w = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "uid")
-    out = b.withColumn("near_uid", F.lag("uid").over(w)).join(F.broadcast(before), "bucket", "left")
-    return out.select(F.coalesce("near_uid", "last_uid").alias("next_uid"), "uid", "n")
+    above = [(tops[order[i - 1]], k) for i, k in enumerate(order)]
+    ends = spark.createDataFrame(above, f"top {docs.schema['doc_id'].dataType.simpleString()}, bucket int")
+    ends_docs = docs.join(F.broadcast(ends), F.col("doc_id").eqNullSafe(F.col("top"))).drop("top")
+    more = _prepared(ends_docs, "bucket").withColumn("extra", F.lit(1))
+    every = rows.withColumns({"bucket": bucket, "extra": F.lit(0)}).unionByName(more)
+    w = Window.partitionBy("bucket").orderBy(F.desc("extra"), F.col("doc_id").asc_nulls_first(), "uid")
+    return every.withColumns({"next_text": F.lag("text").over(w), "next_fingerprint": F.lag("fingerprint").over(w)}).filter("extra = 0")
+
+
+def _prepared(docs: DataFrame, *more: str, size: int = 5) -> DataFrame:
+    d = docs.withColumn("uid", F.xxhash64("doc_id", "text"))
+    return with_shingles(d, "text", "shingles", size).select("doc_id", "uid", "text", sketch(F.col("shingles")).alias("fingerprint"), *more)
 
 
 def fingerprint_pairs(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 5) -> DataFrame:
-    """One row per row of docs: doc_id, n_chars, edited, fingerprint, edited_fingerprint (arrays), near_edited, near_next.
+    """One row per row of docs: doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next.
 
     edited is the text with its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
-    document's, by descending doc_id (null last), after the last the first. Texts are shuffled once by a hash of id and
-    text, where they meet what is wanted of them, and once more as far as another document takes them.
+    document's, by descending doc_id (null last), after the last the first. Texts are shuffled once.
 
-    Null texts count as empty, n_chars 0. Rows that repeat an id with an equal text are one document and get equal
-    results; those that repeat it with other texts follow each other by a hash. A lone document is its own next.
-    An empty table gives an empty result. Further columns are ignored, whatever their names. Ids are integers.
+    Null texts count as empty, n_chars 0. Rows that repeat an id follow each other in the order of a hash of their
+    texts. A lone document is its own next. An empty table gives an empty result. Further columns are ignored,
+    whatever their names. Ids are integers.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    d = d.withColumn("uid", F.xxhash64("doc_id", "text"))
-    ids = stored(d.select("doc_id", "uid", F.char_length("text").cast("long").alias("n")).distinct(), "fingerprint-ids")
-    pairs = stored(_neighbours(ids), "fingerprint-next")
-    x = with_shingles(d, "text", "shingles", size).select("doc_id", "uid", "text", sketch(F.col("shingles")).alias("fingerprint"))
-    once = x.withColumn("nth", F.row_number().over(Window.partitionBy("uid").orderBy("doc_id"))).filter("nth = 1")
-    wanted = pairs.select(F.col("next_uid").alias("_next"), F.col("uid").alias("_for"), F.expr("cast(n div 2 as int)").alias("_need"))
-    given = once.join(wanted, F.col("uid") == F.col("_next"), "left").filter("_for is not null")
-    given = given.select("_for", F.expr("substring(text, 1, _need)").alias("head"), F.col("fingerprint").alias("next_fingerprint"))
-    out = x.join(given, F.col("uid") == F.col("_for"), "left")
-    out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    out = out.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 2 as int))"), F.col("head")))
+    out = _with_next(_prepared(d, size=size), d).withColumn("n_chars", F.char_length("text").cast("long"))
+    head, half = F.expr("substring(text, 1, cast(n_chars - n_chars div 2 as int))"), F.expr("substring(next_text, 1, cast(n_chars div 2 as int))")
+    out = out.withColumn("edited", F.concat(head, half))
     out = with_shingles(out, "edited", "edited_shingles", size).withColumn("edited_fingerprint", sketch(F.col("edited_shingles")))
     return out.select(
         "doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint",
