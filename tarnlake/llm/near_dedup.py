@@ -142,107 +142,150 @@ def _elements(d: DataFrame, wanted: Bits) -> DataFrame:
     return d.select("text").mapInArrow(run, "node binary, elements binary")
 
 
-def compared(pairs: DataFrame, elements: DataFrame, threshold: float, per_task: int = 500) -> DataFrame:
-    """Each pair (a, b, size of b) with linked (their elements' Jaccard similarity reaches the threshold) and outside
-    (a hash of a with each element that b has and a hasn't). A node in many pairs is copied for every per_task of
-    them, so that no task gets all pairs of one node."""
+def verified(pairs: DataFrame, elements: DataFrame, threshold: float, per_task: int = 500) -> DataFrame:
+    """The pairs (a, b) whose elements' Jaccard similarity reaches the threshold. A node in many pairs is copied for
+    every per_task of them, so that no task gets all pairs of one node."""
     counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
     salted = attach(pairs, counts, ["a"], "n", row_count(pairs)).withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / per_task)))
     left = elements.join(counts, F.col("node") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / per_task) - 1)).alias("salt"), F.col("elements").alias("ea"))
-    right = salted.join(elements.select(F.col("node").alias("_b"), F.col("elements").alias("eb")), F.col("b") == F.col("_b")).select("a", "b", "size", "salt", "eb")
-    both = right.join(left, ["a", "salt"]).select("a", "b", "size", "ea", "eb")
+    right = salted.join(elements.select(F.col("node").alias("_b"), F.col("elements").alias("eb")), F.col("b") == F.col("_b")).select("a", "b", "salt", "eb")
+    both = right.join(left, ["a", "salt"]).select("a", "b", "ea", "eb")
 
     def run(batches):
         for batch in batches:
-            linked, outside = [], []
-            for a, x, y in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                rest = np.setdiff1d(y, x, assume_unique=True)
-                common = len(y) - len(rest)
-                linked.append(common >= threshold * (len(x) + len(y) - common) - 1e-9)
-                outside.append(mix(rest ^ np.frombuffer(a, np.uint64, 1)).view(np.int64))
-            ends = np.cumsum([0, *map(len, outside)]).astype(np.int32)
-            flat = pa.array(np.concatenate(outside) if outside else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(linked, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["a", "b", "size", "linked", "outside"])
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= threshold * (len(x) + len(y) - common) - 1e-9)
+            on = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(on), batch.column(1).take(on)], ["a", "b"])
 
-    return both.mapInArrow(run, "a binary, b binary, size bigint, linked boolean, outside array<bigint>")
+    return both.mapInArrow(run, "a binary, b binary")
 
 
-def _shared_keys(done: DataFrame, keys: DataFrame) -> DataFrame:
-    """Members (bucket, node, size) of the buckets that keys has, from compared pairs."""
-    wanted = done.sparkSession.sparkContext.broadcast(Bits.collected(keys, "bucket", row_count(keys)))
+def block_links(elements: list[np.ndarray], labels: list, side: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links that join what is alike in a block: pairs (i, j) of Jaccard similarity >= threshold, as many as merge sets.
+
+    With two sides (0 and 1), only pairs across them count. Common elements of all pairs are counted by a matrix
+    product over the elements that occur more than once, a slice of them at a time. Nodes of a label are one set.
+    """
+    n = len(elements)
+    if n < 2:
+        return []
+    sizes = np.array([len(e) for e in elements])
+    owner = np.repeat(np.arange(n), sizes)
+    _, place, seen = np.unique(np.concatenate(elements), return_inverse=True, return_counts=True)
+    often = seen[place] > 1
+    renumber = np.cumsum(seen > 1) - 1
+    owner, place = owner[often], renumber[place[often]]
+    common = np.zeros((n, n), np.float32)
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
+        part = slice(*np.searchsorted(place, [low, low + 4096]))
+        m = np.zeros((n, 4096), np.float32)
+        m[owner[part], place[part] - low] = 1
+        common += m @ m.T
+    alike = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-4
+    i, j = np.nonzero(np.triu(alike, 1) & ((side[:, None] != side[None, :]) if side.any() else True))
+    root = {x: x for x in labels}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        # counts below 2^24 are exact in float32; the comparison itself is repeated in double
+        c = float(common[x, y])
+        a, b = find(labels[x]), find(labels[y])
+        if a != b and c >= threshold * (sizes[x] + sizes[y] - c) - 1e-9:
+            root[a] = b
+            out.append((x, y))
+    return out
 
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(2)
-            flat = lists.flatten()
-            on = np.flatnonzero(wanted.value.has(flat.to_numpy(zero_copy_only=False).view(np.uint64)))
-            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))[on]
-            yield pa.RecordBatch.from_arrays([flat.take(pa.array(on)), *(batch.column(i).take(pa.array(owner)) for i in (0, 1))], ["bucket", "node", "size"])
 
-    found = done.select("b", "size", "outside").mapInArrow(run, "bucket bigint, node binary, size bigint")
-    return found.join(keys.select("bucket"), "bucket", "left_semi").distinct()
+def _labelled(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
+    """df with each node's label, which is the node itself where it has none."""
+    own = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+    return df.join(own, F.col(node) == F.col("_node"), "left").withColumn(name, F.coalesce("_label", node)).drop("_node", "_label")
 
 
-def components(links: DataFrame, name: str, most: int = 60) -> DataFrame:
+def components(links: DataFrame, name: str) -> DataFrame:
     """node and label (its component's smallest node) for each node in links (a, b).
 
-    Large-star and small-star steps: every node hangs its neighbours on the smallest one it knows, until nothing moves;
-    each step's links are stored. A hot node's neighbours are minimised before the shuffle and never gathered.
+    Every node takes the smallest label among its own and its neighbours', and then that label's label, so that paths
+    get shorter by half in a round, until no label moves. Labels are minimised before the shuffle, never gathered, and
+    stored in each round; plain joins, which Spark splits where a node has very many neighbours.
     """
-    edges = stored(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    for step in range(most):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
-        large = attach(both, low, ["u"], "n", 2 * row_count(edges)).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.filter("u != v").distinct(), f"{name}-large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = attach(large, low, ["u"], "n", row_count(large))
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(large.groupBy("u").agg(F.min("v").alias("v"))).filter("u != v")
-        new = stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-small")
-        same = row_count(new) == row_count(edges) and not new.join(edges, ["u", "v"], "left_anti").head(1)
-        edges = new
-        if same:
-            break
-    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return stored(stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct()), f"{name}-labels")
-
-
-def links_of(members: DataFrame, elements: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None]:
-    """Links (a, b) that join all nodes that are alike in a bucket, and labels of their components, from members
-    (bucket, node, size).
-
-    Every node of a bucket is compared with its lead, the smallest by (size, node). Take two nodes x and y of a bucket
-    that are alike and not both in the lead's component, say x isn't. Then x isn't alike the lead c; and if x and y
-    had no element in common outside c, then x would be: x and c have no fewer in common than x and y, and c is no
-    larger than y. So x and y share an element outside c, and buckets of (c, element) bring them together again, of
-    which only those are built that hold a node such as x. Leads grow from round to round, so this ends. A bucket of n
-    copies takes n comparisons, and no bucket is compared pair by pair.
-    """
-    links = labels = None
+    one = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    edges = stored(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{name}-edges")
+    labels = stored(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label"), F.lit(True).alias("moved")).withColumnRenamed("u", "node"), f"{name}-0")
     number = 0
-    while True:
+    while labels.filter("moved").head(1):
         number += 1
-        groups = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("size", "node")).alias("lead")).filter("n > 1")
-        led = attach(members, groups, ["bucket"], "n", row_count(members)).filter(F.col("lead").isNotNull() & (F.col("node") != F.col("lead.node")))
-        pairs = stored(led.select(F.col("lead.node").alias("a"), F.col("node").alias("b"), "size").distinct(), f"near-pairs-{number}")
-        if not pairs.head(1):
-            return links, labels
-        done = stored(compared(pairs, elements, threshold), f"near-compared-{number}")
-        new = done.filter("linked").select("a", "b")
-        if links is None:
-            links, labels = new, components(new, "near-components")
-        elif new.head(1):
-            links = links.unionByName(new)
-            labels = components(links, f"near-components-{number}")
-        named = done.select("a", "b", "size", "outside")
-        for side in ("a", "b"):
-            own = labels.select(F.col("node").alias(f"_{side}"), F.col("label").alias(f"{side}_label"))
-            named = named.join(own, F.col(side) == F.col(f"_{side}"), "left").withColumn(f"{side}_label", F.coalesce(f"{side}_label", side))
-        rest = F.col("a_label") != F.col("b_label")
-        keys = named.select(F.explode("outside").alias("bucket"), rest.alias("rest")).groupBy("bucket").agg(F.count("*").alias("n"), F.bool_or("rest").alias("rest"))
-        keys = stored(keys.filter("n > 1 and rest").select("bucket"), f"near-keys-{number}")
-        members = stored(_shared_keys(done, keys), f"near-members-{number}")
+        own = labels.select("node", "label")
+        near = edges.join(own.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("low"))
+        new = own.join(near, F.col("node") == F.col("u")).select("node", "label", F.least("label", "low").alias("low"))
+        onward = own.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+        new = new.join(onward, F.col("low") == F.col("_n"), "left").withColumn("low", F.least("low", F.coalesce("_l", "low")))
+        labels = stored(new.select("node", F.col("low").alias("label"), (F.col("low") != F.col("label")).alias("moved")), f"{name}-{number}")
+    return labels.select("node", "label")
+
+
+def links_of(members: DataFrame, elements: DataFrame, threshold: float, block: int = 256) -> DataFrame | None:
+    """Labels (node, label) of the components of all nodes that are alike in a bucket, from members (bucket, node, size);
+    None if no two nodes share one.
+
+    1. Every node of a bucket is compared with its lead, the smallest by (size, node).
+    2. What the lead has left open: buckets whose other nodes are in more than one component. Their nodes are dealt
+       into blocks of about `block`, those of the lead's component into others than the rest, and each block of the rest
+       is compared with every block, by one matrix product in a task of its own that gives at most a link per node.
+       Blocks of the lead's component aren't compared with each other, so a bucket of n copies takes n comparisons.
+       Buckets with equal nodes, as bands often have, are done once.
+    """
+    groups = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("size", "node")).alias("lead")).filter("n > 1")
+    led = stored(attach(members, groups, ["bucket"], "n", row_count(members)).filter(F.col("lead").isNotNull() & (F.col("node") != F.col("lead.node"))), "near-led")
+    like = F.least("size", "lead.size") >= F.greatest("size", "lead.size") * threshold - 1e-9
+    pairs = stored(led.filter(like).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
+    if not led.head(1):
+        return None
+    labels = components(verified(pairs, elements, threshold), "near-components")
+    named = _labelled(led.withColumn("top", F.col("lead.node")), labels, "node", "label")
+    facts = named.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.first("top").alias("top"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("size", "node")).alias("y"))
+    mixed = facts.filter("low != high").groupBy("n", "x", "y").agg(F.min(F.struct("bucket", "top")).alias("s")).select("s.bucket", "s.top", "n")
+    mixed = _labelled(mixed, labels, "top", "top_label")
+    open_ = attach(named.select("bucket", "node", "size", "label"), mixed.select("bucket", "top_label", "n"), ["bucket"], "n", row_count(led)).filter("top_label is not null")
+    open_ = stored(open_.withColumn("rest", F.col("label") != F.col("top_label")), "near-open")
+    if not open_.head(1):
+        return labels
+    parts = open_.groupBy("bucket").agg(F.count("*").alias("n2"), F.ceil(F.count_if("rest") / block).alias("r"), F.ceil(F.count_if(~F.col("rest")) / block).alias("c"))
+    dealt = attach(open_.drop("n"), parts, ["bucket"], "n2", row_count(open_))
+    hashed, zero = F.xxhash64("node"), F.lit(0).cast("bigint")
+    mine = F.when(F.col("n2") <= block, zero).when(F.col("rest"), F.pmod(hashed, "r")).otherwise(F.col("r") + F.pmod(hashed, F.greatest("c", F.lit(1))))
+    dealt = dealt.withColumn("mine", mine)
+    # pairs of blocks (i, j), i <= j, of which i is one of the rest
+    to = lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j"))
+    count = F.when(F.col("n2") <= block, F.lit(1)).when(F.col("rest"), F.col("r") + F.col("c")).otherwise(F.col("r")).cast("bigint")
+    tasks = dealt.select("bucket", "node", "label", "mine", F.explode(F.transform(F.sequence(zero, count - 1), to)).alias("t"))
+    rows = tasks.select("bucket", "t.i", "t.j", "node", "label", F.when(F.col("t.i") != F.col("t.j"), F.col("mine") != F.col("t.i")).otherwise(F.lit(False)).alias("side"))
+    rows = rows.join(elements.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n")
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes = table.column("node").to_pylist()
+        sets = [np.frombuffer(e, np.uint64) for e in table.column("elements").to_pylist()]
+        side = table.column("side").to_numpy().astype(bool)
+        found = block_links(sets, table.column("label").to_pylist(), side, threshold)
+        return pa.table({"a": pa.array([nodes[x] for x, _ in found], pa.binary()), "b": pa.array([nodes[y] for _, y in found], pa.binary())})
+
+    new = stored(rows.groupBy("bucket", "i", "j").applyInArrow(run, "a binary, b binary"), "near-block-links")
+    if not new.head(1):
+        return labels
+    # the components so far are single nodes to the new links
+    return components(new.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))), "near-components-2")
 
 
 def near_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
@@ -279,7 +322,7 @@ def near_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     involved = stored(members.select("node").distinct().withColumn("hash", F.expr("cast(conv(hex(substring(node, 1, 8)), 16, -10) as bigint)")), "near-involved")
     found = _elements(d, Bits.collected(involved, "hash", row_count(involved))).dropDuplicates(["node"])
     elements = stored(found.join(involved.select("node"), "node", "left_semi"), "near-elements")
-    _, labels = links_of(members, elements, threshold)
+    labels = links_of(members, elements, threshold)
     named = nodes.select("node", "n", "first")
     named = named.withColumn("label", F.col("node")) if labels is None else named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = stored(named, "near-named")

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 from tests.llm.cases import awkward, documents
 
-from tarnlake.llm.near_dedup import bands, components, dart_signatures, near_classes
+from tarnlake.llm.near_dedup import bands, block_links, components, dart_signatures, expanded, links_of, near_classes
 
 
 def shingles(text):
@@ -99,3 +99,48 @@ def test_components(spark):
     df = spark.createDataFrame([(b"%04d" % a, b"%04d" % b) for a, b in links], "a binary, b binary")
     got = {bytes(r.node): bytes(r.label) for r in components(df, "test-components").collect()}
     assert len(got) == 41 + 3 + 60 and set(got.values()) == {b"0000", b"0100", b"0200"}
+
+
+def test_links_equal_all_pairs(spark):
+    """Buckets in which the lead is alike few others, in one block and in many."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 62, 120).astype(np.uint64)
+    sets, families = [], [rng.integers(0, 1 << 62, 30).astype(np.uint64) for _ in range(6)]
+    for i in range(150):
+        keep = base[rng.random(120) > rng.uniform(0, 0.2)]
+        own = rng.integers(0, 1 << 62, rng.integers(0, 15)).astype(np.uint64)
+        more = families[i % 6][rng.random(30) > 0.1] if i % 3 == 0 else own
+        sets.append(expanded(np.unique(np.concatenate([keep, more])), np.ones(len(np.unique(np.concatenate([keep, more]))))))
+    parent = list(range(150))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(150):
+        for j in range(i):
+            c = len(np.intersect1d(sets[i], sets[j]))
+            if c >= 0.8 * (len(sets[i]) + len(sets[j]) - c):
+                parent[find(i)] = find(j)
+    groups = {}
+    for i in range(150):
+        groups.setdefault(find(i), set()).add(i)
+    want = sorted(map(sorted, groups.values()))
+    assert 1 < len(want) < 150
+    elements = spark.createDataFrame([(b"%03d" % i, s.tobytes()) for i, s in enumerate(sets)], "node binary, elements binary")
+    members = spark.createDataFrame([(bucket, b"%03d" % i, len(sets[i])) for bucket in (1, 2) for i in range(150)], "bucket bigint, node binary, size bigint")
+    for block in (256, 20):
+        labels = {int(r.node): int(r.label) for r in links_of(members, elements, 0.8, block).collect()}
+        got = {}
+        for i in range(150):
+            got.setdefault(labels.get(i, i), set()).add(i)
+        assert sorted(map(sorted, got.values())) == want
+
+
+def test_block_links_across_sides():
+    a = np.arange(10, dtype=np.uint64)
+    sets = [a, a, a + np.uint64(1), a + np.uint64(100)]
+    assert block_links(sets, [0, 1, 2, 3], np.zeros(4, bool), 0.8) == [(0, 1), (0, 2)]
+    assert block_links(sets, [0, 0, 2, 3], np.array([False, False, True, True]), 0.8) == [(0, 2)]
+    assert block_links([], [], np.zeros(0, bool), 0.8) == []
