@@ -261,4 +261,14 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir), digests=True)
 
 
-ORACLE = None
+ORACLE = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+l AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM d),
+k AS (SELECT doc_id, w, p, CASE WHEN count(*) OVER o = 20 THEN string_agg(w, ' ') OVER o END AS key
+      FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+f AS (SELECT doc_id, w, p, key IS NOT NULL AND row_number() OVER (PARTITION BY key ORDER BY doc_id, p) > 1 AS later FROM k),
+c AS (SELECT doc_id, w, p, bool_or(later) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM f),
+g AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(w, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN g USING (doc_id)
+"""
