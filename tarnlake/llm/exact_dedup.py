@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tarnlake.llm.common import SPACE, attach, documents, row_count, stored
 
 
+#: Pairs of length and prefix hash that may be broadcast.
+BROADCAST_ROWS = 500_000
+
+
 def normalised(text: Column) -> Column:
     """text without any white space; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", "")
@@ -43,10 +47,16 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     if hash_all:
         rows = attach(same_length, by_prefix, ["len", "pre"], "n_pre", total)
     else:
-        # Whole texts are read again, only to hash the rows whose length and prefix repeat.
+        # Texts are read again, only to hash the rows whose length and prefix repeat. Those pairs are broadcast up to
+        # BROADCAST_ROWS (16 bytes each); beyond, hashing all texts costs less than shuffling them to meet the pairs.
+        found = stored(by_prefix, "dedup-prefix")
         again = d.select("doc_id", F.char_length("text").cast("long").alias("chars"), F.char_length("norm").cast("long").alias("len"), F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("pre"), "norm")
-        rows = attach(again, stored(by_prefix, "dedup-prefix"), ["len", "pre"], "n_pre", total)
-        rows = rows.withColumn("full", F.when(F.col("n_pre").isNotNull(), F.sha2("norm", 256))).drop("norm")
+        if row_count(found) <= BROADCAST_ROWS:
+            hit = again.join(F.broadcast(found.withColumnsRenamed({"len": "_l", "pre": "_p"})), (F.col("len") == F.col("_l")) & (F.col("pre") == F.col("_p")), "left")
+            rows = hit.withColumn("full", F.when(F.col("n_pre").isNotNull(), F.sha2("norm", 256))).drop("norm", "_l", "_p")
+        else:
+            rows = attach(again.withColumn("full", F.sha2("norm", 256)).drop("norm"), found, ["len", "pre"], "n_pre", total)
+            rows = rows.withColumn("full", F.when(F.col("n_pre").isNotNull(), F.col("full")))
     rows = rows.drop("n_len")
     best = F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
     groups = rows.filter("n_pre > 1").groupBy("len", "full").agg(F.count("*").alias("group_size"), best.alias("best")).filter("group_size > 1")

@@ -28,6 +28,13 @@ def test_against_brute_force(spark, sf_small):
         assert all(r.text_sha256 is not None for r in lazy if r.group_size > 1)
 
 
+def test_beyond_the_broadcast_limit(spark, sf_small, monkeypatch):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    want = sorted(map(str, exact_dedup(docs).collect()))
+    monkeypatch.setattr("tarnlake.llm.exact_dedup.BROADCAST_ROWS", 0)
+    assert sorted(map(str, exact_dedup(docs).collect())) == want
+
+
 def test_hot_group_and_empty(spark):
     docs = documents(spark, [(i, "same  text" if i % 3 == 0 else f"text {i}") for i in range(3000)])
     rows = exact_dedup(docs, hash_all=True).collect()
