@@ -13,30 +13,36 @@ from tarnlake.llm.near_dedup import drop_near_copies
 from tarnlake.llm.packing import default_vocabulary, pack
 from tarnlake.llm.pii import redact
 from tarnlake.llm.toxicity import drop_toxic, fit
+from tarnlake.session import ship
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score as toxic; all others stay as they are."""
+    ship(spark)
     return drop_toxic(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated lines; documents that lose all of them stay with an empty text."""
+    ship(spark)
     return line_dedup(docs).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each class of near copies."""
+    ship(spark)
     return drop_near_copies(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by the name of its kind in brackets."""
+    ship(spark)
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document in a sequence."""
+    ship(spark)
     return pack(docs, default_vocabulary("word_bpe_49k.json"))
 
 

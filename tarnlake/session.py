@@ -19,3 +19,24 @@ def get_session(app: str = "tarnlake", master: str | None = None, **settings: st
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers, once a context; they need not find it on a path of their own."""
+    import os
+    import tempfile
+    import zipfile
+
+    context = spark.sparkContext
+    if getattr(context, "_has_tarnlake", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="tarnlake-"), "tarnlake_package.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("tarnlake", os.path.relpath(path, root)))
+    context.addPyFile(target)
+    context._has_tarnlake = True
