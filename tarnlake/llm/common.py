@@ -89,7 +89,7 @@ def row_count(df: DataFrame) -> int:
     return df.count()
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that `column` (strings) has about max_bytes at most, one row at least."""
     for batch in batches:
         if not batch.num_rows:

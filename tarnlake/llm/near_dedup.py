@@ -109,7 +109,7 @@ def _signed(d: DataFrame) -> DataFrame:
     """doc_id, node (a 128-bit hash of all words), size (sum of weights) and bands of each text."""
 
     def run(batches):
-        for batch in slices(batches, 1, 4 << 20):
+        for batch in slices(batches, 1, 1 << 20):
             owner, value, weight, count, whole1, whole2 = weighted_shingles(batch.column(1))
             n = batch.num_rows
             keys = bands(dart_signatures(owner, value, weight, n)).view(np.int64)
@@ -127,7 +127,7 @@ def _elements(d: DataFrame, wanted: Bits) -> DataFrame:
     shared = d.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
-        for batch in slices(batches, 0, 4 << 20):
+        for batch in slices(batches, 0, 1 << 20):
             owner, value, weight, count, whole1, whole2 = weighted_shingles(batch.column(0))
             on = np.flatnonzero(shared.value.has(whole1) & (count > 0))
             cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))

@@ -28,7 +28,7 @@ class WordEncoder(dict):
     Holds the ids of each distinct word, which is encoded when it is first asked for; emptied when it has max_words.
     """
 
-    def __init__(self, path: str, max_words: int = 500_000):
+    def __init__(self, path: str, max_words: int = 400_000):
         from tokenizers import Tokenizer
 
         super().__init__()

@@ -146,7 +146,7 @@ def repeated_spans(docs: DataFrame, window: int = 20, k: int = 8) -> DataFrame:
     d = docs.select("doc_id", "uid", "text")
 
     def nodes(batches):
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, 2 << 20):
             e = edges_of(batch.column(0), window, k)
             yield pa.RecordBatch.from_arrays([_int64(e["node"]), _int64(e["around"])], ["node", "around"])
 
@@ -167,7 +167,7 @@ def repeated_spans(docs: DataFrame, window: int = 20, k: int = 8) -> DataFrame:
 
     def paths_and_edges(batches):
         branching, inner = shared.value
-        for batch in slices(batches, 2):
+        for batch in slices(batches, 2, 2 << 20):
             e = edges_of(batch.column(2), window, k)
             many = branching.has(e["node"])
             p = paths_of(e, inner.has(e["node"]) & ~many, window)
@@ -181,7 +181,7 @@ def repeated_spans(docs: DataFrame, window: int = 20, k: int = 8) -> DataFrame:
     read_again = spark.sparkContext.broadcast(Bits.collected(firsts, "spot", row_count(firsts)))
 
     def windows(batches):
-        for batch in slices(batches, 2):
+        for batch in slices(batches, 2, 2 << 20):
             e = edges_of(batch.column(2), window, k)
             uid = batch.column(1).to_numpy().view(np.uint64)[e["doc"]]
             on = np.flatnonzero(shared.value[0].has(e["node"]) & read_again.value.has(uid ^ (e["start"].astype(np.uint64) * np.uint64(SPOT))))

@@ -22,7 +22,7 @@ SKETCHES = 6
 #: Lengths of the first letters that are features too.
 PREFIXES = (5, 6, 7)
 #: Tokens whose scores a worker keeps.
-MEMO = 300_000
+MEMO = 200_000
 SEGMENT = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("evalue", pa.float64())])
 
 

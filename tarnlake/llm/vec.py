@@ -7,7 +7,7 @@ import pyarrow as pa
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[32, *range(9, 14)]] = True
-_CHUNK = 4 << 20  # bytes hashed at once
+_CHUNK = 1 << 20  # bytes hashed at once
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
