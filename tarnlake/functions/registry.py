@@ -38,6 +38,32 @@ def hash_vector(text: str, size: int) -> list[float]:
     return (out / length if length else out).astype(np.float32).tolist()
 
 
+def sentence_encoder(size: int = 768) -> Callable[[list[str]], np.ndarray]:
+    """hash_vector of many texts at once, a row each; words met before aren't hashed again."""
+    known: dict[str, tuple[int, float]] = {}
+
+    def place(word: str) -> tuple[int, float]:
+        if (found := known.get(word)) is None:
+            h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+            found = (h % size, 1.0 if h >> 63 else -1.0)
+            if len(known) < 1 << 18:
+                known[word] = found
+        return found
+
+    def encode(texts: list[str]) -> np.ndarray:
+        words = [t.lower().split() for t in texts]
+        cells = [place(w) for ws in words for w in ws]
+        if not cells:
+            return np.zeros((len(texts), size), np.float32)
+        columns, signs = zip(*cells, strict=True)
+        rows = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
+        out = np.bincount(rows * size + np.array(columns), signs, len(texts) * size).reshape(len(texts), size)
+        lengths = np.linalg.norm(out, axis=1, keepdims=True)
+        return (out / np.where(lengths > 0, lengths, 1)).astype(np.float32)
+
+    return encode
+
+
 def embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None, size: int = 768) -> Callable[[Column], Column]:
     """A column function text -> array<float>. load() is called once in each task and gives a function of a list of
     texts, which gets equal texts of a batch once; without it, hash_vector."""

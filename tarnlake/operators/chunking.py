@@ -6,6 +6,7 @@ shuffle, as a document is one row); pack_sentences() has the plain rule as a JVM
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
@@ -47,9 +48,14 @@ def structure(text: str) -> list[tuple[str, str]]:
     return out
 
 
+@functools.cache
+def _heads(terms: tuple[str, ...]) -> tuple[str, ...]:
+    return tuple({t[:i].strip() for t in terms for i in range(3, len(t) - 2)})
+
+
 def phrase_cut(before: str, after: str, terms: list[str]) -> bool:
     low, high = before.lower().strip(), after.lower().strip()
-    return any(low.endswith(t[:i].strip()) and high.startswith(t[i:].strip()) for t in terms for i in range(3, len(t) - 2))
+    return low.endswith(_heads(tuple(terms))) and any(low.endswith(t[:i].strip()) and high.startswith(t[i:].strip()) for t in terms for i in range(3, len(t) - 2))
 
 
 class Packer:
@@ -99,7 +105,7 @@ class Packer:
             else:
                 for segment in self.segments(self.split(content)) if self.split(content) else []:
                     n = self.count(segment)
-                    glue = held and n < short and phrase_cut(" ".join(held.split(" ")[-5:]), segment, self.terms)
+                    glue = held and n < short and phrase_cut(" ".join(held.rsplit(" ", 5)[-5:]), segment, self.terms)
                     if not glue and tokens + n > most and tokens >= least:
                         close()
                         before = self.overlap(held)

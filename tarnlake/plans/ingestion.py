@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.functions.registry import embedder
+from tarnlake.functions.registry import embedder, sentence_encoder
 from tarnlake.functions.text import base_name, extension, inject_tables
 from tarnlake.operators.chunking import chunk_documents
 from tarnlake.operators.scoring import relevance
@@ -33,13 +33,14 @@ def ingest(files: DataFrame, known: DataFrame, knowledge_id: str, embed: Embed |
     """New rows of documents, document_chunks and points from files (path, content, length), with duplicates and failed.
 
     Content that known documents (file_hash) or an earlier file have is a duplicate. What can't be parsed is in failed,
-    with its error; it stops no other file. Nothing runs until a result is written.
+    with its error; it stops no other file. Nothing runs until a result is written. Options go to chunk_documents;
+    without a sentence encoder in `load`, hash_vector finds where neighbouring sentences differ.
     """
     new, duplicates = dedupe_contents(files, known)
     parsed = parse_files(new).join(new.select("path", "file_hash", "length"), "path")
     good = parsed.filter("error is null").withColumn("document_id", stable_id(F.lit(knowledge_id), F.col("file_hash")))
     texts = good.select("document_id", inject_tables(marked_lines(F.col("content")), F.col("tables")).alias("text"))
-    pieces = chunk_documents(texts, id_col="document_id", **{"min_tokens": 50, "threshold": 0.7} | chunking)
+    pieces = chunk_documents(texts, id_col="document_id", **{"load": sentence_encoder, "min_tokens": 50, "threshold": 0.7} | chunking)
     chunks = pieces.select(
         stable_id(F.col("document_id"), F.col("chunk_index").cast("string")).alias("_id"), "document_id", F.lit(knowledge_id).alias("knowledge_id"),
         "content", score(F.col("content")).alias("diabetes_score"), F.lit(True).alias("is_active"),

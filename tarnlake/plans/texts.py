@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnlake.functions import text as T
-from tarnlake.functions.registry import embedder
+from tarnlake.functions.registry import embedder, sentence_encoder
 from tarnlake.operators.chunking import chunk_documents, pack_sentences
 from tarnlake.operators.relational import carry_forward
 from tarnlake.operators.scoring import relevance
@@ -75,7 +75,8 @@ def greedy_chunks(spark, sf_dir):
 
 
 def semantic_chunks(spark, sf_dir):
-    return chunk_documents(_docs(spark, sf_dir), min_tokens=50).select("doc_id", "chunk_index", "word_count", "section", F.md5("content").alias("content_md5"))
+    """With the service's limits; hash_vector stands for its model."""
+    return chunk_documents(_docs(spark, sf_dir), load=sentence_encoder, min_tokens=50, threshold=0.7).select("doc_id", "chunk_index", "word_count", "section", F.md5("content").alias("content_md5"))
 
 
 def phrase_cut_guard(spark, sf_dir):

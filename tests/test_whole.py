@@ -1,11 +1,20 @@
 """Queries that once gave less than the whole job, against brute force."""
 
+import hashlib
+import re
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tarnlake.functions.registry import hash_vector, sentence_encoder
+from tarnlake.functions.text import MEDICAL_TERMS
 from tarnlake.operators import search
-from tarnlake.plans import retrieval
+from tarnlake.operators.chunking import chunk_documents
+from tarnlake.plans import retrieval, texts
+from tarnlake.plans.ingestion import ingest
 from tarnlake.session import table
+from tarnlake.sources.files import objects
 
 
 def nearest(ids, vectors, at, k=5):
@@ -38,3 +47,76 @@ def test_approximate_search_of_one_and_many(spark, sf_small):
     asked = e.filter("vec_id % 20 = 0").selectExpr("vec_id AS query", "embedding")
     many = search.approximate_many(e, asked, id_col="vec_id", slice_rows=90, block_rows=7).filter("query = 40").orderBy("rank")
     assert one == [(r.vec_id, round(r.score, 9)) for r in many.collect()]
+
+
+def cut_sentences(text):
+    return [s.strip() for s in re.split(r"(?<=[.!?…])\s+", " ".join(text.split())) if len(s.strip()) > 3]
+
+
+def plain_chunks(text, most=512, least=50, lap=64, threshold=0.7):
+    """The service's rules, a sentence at a time; the text has no marks."""
+    sentences = cut_sentences(text)
+    vectors = [np.array(hash_vector(s, 768), float) for s in sentences]
+    segments = []
+    for i, s in enumerate(sentences):
+        if i and vectors[i - 1] @ vectors[i] >= threshold * np.linalg.norm(vectors[i - 1]) * np.linalg.norm(vectors[i]):
+            segments[-1] += " " + s
+        else:
+            segments.append(s)
+    out, held, n = [], "", 0
+
+    def close():
+        words = len(held.split())
+        if not (words < 10 or held.count("|") / (words + 1) > 0.3 or ("Wikipedia" in held and "://" not in held)):
+            out.append(held.strip())
+
+    for s in segments:
+        m = len(s.split())
+        tail = " ".join(held.split(" ")[-5:]).lower().strip()
+        glued = held and m < 50 and any(tail.endswith(t[:i].strip()) and s.lower().strip().startswith(t[i:].strip()) for t in MEDICAL_TERMS for i in range(3, len(t) - 2))
+        if not glued and n + m > most and n >= least:
+            close()
+            again = []
+            for last in reversed(cut_sentences(held)[-2:]):
+                if len(" ".join([last, *again]).split()) > lap:
+                    break
+                again.insert(0, last)
+            held = " ".join([*again, s])
+            n = len(held.split())
+        else:
+            held, n = (held + " " + s if held else s), n + m
+    if held and n >= least:
+        close()
+    return out
+
+
+def test_sentence_encoder():
+    given = ["a b a", "", "Đường huyết cao.", "a b a"]
+    assert np.array_equal(sentence_encoder(8)(given), np.array([hash_vector(t, 8) for t in given], np.float32))
+    assert sentence_encoder(8)([""]).shape == (1, 8)
+
+
+def test_semantic_chunks(spark, sf_small):
+    docs = {r.doc_id: r.text for r in table(spark, sf_small, "documents").select("doc_id", "text").collect()}
+    got = {}
+    for r in texts.semantic_chunks(spark, sf_small).orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(r.doc_id, []).append((r.word_count, r.content_md5))
+    want = {k: [(len(c.split()), hashlib.md5(c.encode()).hexdigest()) for c in plain_chunks(t)] for k, t in docs.items()}
+    assert got == {k: v for k, v in want.items() if v}
+    assert max(map(len, got.values())) > 1
+
+
+def test_chunks_of_a_fixture(spark):
+    alike = " ".join(["một hai ba bốn năm sáu bảy tám chín mười."] * 60)
+    other = " ".join(f"câu số {i} có vài từ khác hẳn x{i} y{i} z{i}." for i in range(70))
+    glued = " ".join(f"t{i} u{i} v{i} w{i} đường. Huyết của người bệnh p{i} q{i}." for i in range(60))
+    given = [("alike", alike), ("other", other), ("glued", glued), ("both", alike + " " + other), ("empty", ""), ("none", None)]
+    df = spark.createDataFrame(given, "doc_id string, text string")
+    got = {r.doc_id: list(r.c) for r in chunk_documents(df, load=sentence_encoder, min_tokens=50, threshold=0.7).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("c")).collect()}
+    assert {k: [c.content for c in v] for k, v in got.items()} == {k: c for k, t in given if (c := plain_chunks(t or ""))}
+    assert len(got["alike"]) == 1 and len(got["other"]) == 2
+
+
+def test_ingest_breaks_at_differences(spark, tmp_path):
+    (tmp_path / "a.txt").write_text(" ".join(f"Câu số {i} nói về chuyện khác x{i} y{i} z{i}." for i in range(120)))
+    assert ingest(objects(spark, f"file://{tmp_path}"), spark.createDataFrame([], "file_hash string"), "k")["document_chunks"].count() > 1
