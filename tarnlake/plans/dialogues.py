@@ -66,6 +66,11 @@ def session_messages(spark, sf_dir):
     return s.join(_turns(spark, sf_dir), "conv_id").groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("turn").alias("last_turn"))
 
 
+def session_messages_all(spark, sf_dir):
+    """All sessions with their messages. The service's cap of 100 is one user's, and this table has no users."""
+    return _turns(spark, sf_dir).groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("turn").alias("last_turn"))
+
+
 def result_json(spark, sf_dir):
     return to_result_json(_turns(spark, sf_dir).select("conv_id", "turn", "role"))
 
@@ -95,6 +100,7 @@ ENTRIES = {
     "rewrite_gate": (rewrite_gate, f"WITH c AS (SELECT conv_id, count(*) AS n, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id) SELECT conv_id, n >= 2 AND {PRONOUNS} AS rewrite FROM c"),
     "role_normalised": (role_normalised, "SELECT CASE WHEN lower(role) = 'user' THEN 'user' ELSE 'ai' END AS role, count(*) AS n FROM conversations GROUP BY 1"),
     "session_messages": (session_messages, "WITH s AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 2 = 0 ORDER BY conv_id DESC LIMIT 100) SELECT conv_id, count(*) AS messages, max(turn) AS last_turn FROM conversations WHERE conv_id IN (SELECT conv_id FROM s) GROUP BY conv_id"),
+    "session_messages_all": (session_messages_all, "SELECT conv_id, count(*) AS messages, max(turn) AS last_turn FROM conversations GROUP BY conv_id"),
     "result_json": (result_json, "SELECT '{\"conv_id\":' || conv_id || ',\"turn\":' || turn || ',\"role\":\"' || role || '\"}' AS json FROM conversations"),
     "older_labels": (older_labels, f"WITH c AS (SELECT conv_id, turn, lower(text) AS q FROM conversations WHERE role = 'user') SELECT conv_id, turn, {OLDER} AS label FROM c"),
 }

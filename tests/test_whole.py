@@ -11,7 +11,7 @@ from tarnlake.functions.registry import hash_vector, sentence_encoder
 from tarnlake.functions.text import MEDICAL_TERMS
 from tarnlake.operators import search
 from tarnlake.operators.chunking import chunk_documents
-from tarnlake.plans import retrieval, texts
+from tarnlake.plans import dialogues, retrieval, texts
 from tarnlake.plans.ingestion import ingest
 from tarnlake.session import table
 from tarnlake.sources.files import objects
@@ -120,3 +120,15 @@ def test_chunks_of_a_fixture(spark):
 def test_ingest_breaks_at_differences(spark, tmp_path):
     (tmp_path / "a.txt").write_text(" ".join(f"Câu số {i} nói về chuyện khác x{i} y{i} z{i}." for i in range(120)))
     assert ingest(objects(spark, f"file://{tmp_path}"), spark.createDataFrame([], "file_hash string"), "k")["document_chunks"].count() > 1
+
+
+def sessions(spark, sf):
+    found = {}
+    for r in table(spark, sf, "conversations").orderBy("conv_id", "turn").collect():
+        found.setdefault(r.conv_id, []).append(r)
+    return found
+
+
+def test_messages_of_all_sessions(spark, sf_small):
+    got = {r.conv_id: (r.messages, r.last_turn) for r in dialogues.session_messages_all(spark, sf_small).collect()}
+    assert got == {k: (len(v), v[-1].turn) for k, v in sessions(spark, sf_small).items()}
