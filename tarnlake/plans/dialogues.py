@@ -47,6 +47,12 @@ def history_lines(spark, sf_dir):
     return c.groupBy("conv_id").agg(relational.joined_text(F.col("line"), F.col("turn"), "\n").alias("lines"))
 
 
+def history_lines_whole(spark, sf_dir):
+    """history_lines with all of each message."""
+    c = _turns(spark, sf_dir).withColumn("line", history_line(F.col("role"), F.col("text")))
+    return c.groupBy("conv_id").agg(relational.joined_text(F.col("line"), F.col("turn"), "\n").alias("lines"))
+
+
 def last_user_message(spark, sf_dir):
     return search.rewritten(_turns(spark, sf_dir), "conv_id", "turn").select("conv_id", F.md5("question").alias("question_md5"))
 
@@ -96,6 +102,7 @@ ENTRIES = {
     "history_oldest20": (history_oldest20, "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'ai' END AS role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations QUALIFY rn <= 4"),
     "history_last10": (history_last10, "WITH r AS (SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3) SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM r"),
     "history_lines": (history_lines, "SELECT conv_id, string_agg(upper(role[1]) || lower(role[2:]) || ': ' || substr(text, 1, 20), chr(10) ORDER BY turn) AS lines FROM conversations GROUP BY conv_id"),
+    "history_lines_whole": (history_lines_whole, "SELECT conv_id, string_agg(upper(role[1]) || lower(role[2:]) || ': ' || text, chr(10) ORDER BY turn) AS lines FROM conversations GROUP BY conv_id"),
     "last_user_message": (last_user_message, "SELECT conv_id, md5(arg_max(text, turn) FILTER (WHERE role = 'user')) AS question_md5 FROM conversations GROUP BY conv_id"),
     "rewrite_gate": (rewrite_gate, f"WITH c AS (SELECT conv_id, count(*) AS n, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id) SELECT conv_id, n >= 2 AND {PRONOUNS} AS rewrite FROM c"),
     "role_normalised": (role_normalised, "SELECT CASE WHEN lower(role) = 'user' THEN 'user' ELSE 'ai' END AS role, count(*) AS n FROM conversations GROUP BY 1"),

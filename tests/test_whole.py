@@ -132,3 +132,8 @@ def sessions(spark, sf):
 def test_messages_of_all_sessions(spark, sf_small):
     got = {r.conv_id: (r.messages, r.last_turn) for r in dialogues.session_messages_all(spark, sf_small).collect()}
     assert got == {k: (len(v), v[-1].turn) for k, v in sessions(spark, sf_small).items()}
+
+
+def test_history_lines_are_whole(spark, sf_small):
+    got = {r.conv_id: r.lines for r in dialogues.history_lines_whole(spark, sf_small).collect()}
+    assert got == {k: "\n".join(f"{r.role.capitalize()}: {r.text}" for r in v) for k, v in sessions(spark, sf_small).items()}
