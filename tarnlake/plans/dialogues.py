@@ -42,6 +42,16 @@ def history_last10(spark, sf_dir):
     return relational.recent_history(_turns(spark, sf_dir), "conv_id", "turn", 3).select("conv_id", "turn", "nth")
 
 
+def history_oldest20_full(spark, sf_dir):
+    """With the service's limit, the operator's own."""
+    return relational.session_history(_turns(spark, sf_dir), "conv_id", "turn").select("conv_id", "turn", "role", "rn")
+
+
+def history_last10_full(spark, sf_dir):
+    """With the service's limit, the operator's own."""
+    return relational.recent_history(_turns(spark, sf_dir), "conv_id", "turn").select("conv_id", "turn", "nth")
+
+
 def history_lines(spark, sf_dir):
     c = _turns(spark, sf_dir).withColumn("line", history_line(F.col("role"), F.substring("text", 1, 20)))
     return c.groupBy("conv_id").agg(relational.joined_text(F.col("line"), F.col("turn"), "\n").alias("lines"))
@@ -101,6 +111,8 @@ ENTRIES = {
     "first_time_flags": (first_time_flags, "WITH f AS (SELECT conv_id, count(*) FILTER (WHERE role = 'assistant') = 0 AS first_time, coalesce(bool_or(role = 'assistant' AND (contains(lower(text), 'thing') OR contains(lower(text), 'nicht'))), false) AS has_previous_trend FROM conversations GROUP BY conv_id) SELECT *, CASE WHEN first_time THEN '' WHEN has_previous_trend THEN 'Lần trước, tôi đã phân tích xu hướng cho bạn.' ELSE 'Bạn đã hỏi trước đó, nhưng chưa phân tích xu hướng chi tiết.' END AS note FROM f"),
     "history_oldest20": (history_oldest20, "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'ai' END AS role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations QUALIFY rn <= 4"),
     "history_last10": (history_last10, "WITH r AS (SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3) SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM r"),
+    "history_oldest20_full": (history_oldest20_full, "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'ai' END AS role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations QUALIFY rn <= 20"),
+    "history_last10_full": (history_last10_full, "WITH r AS (SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 10) SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM r"),
     "history_lines": (history_lines, "SELECT conv_id, string_agg(upper(role[1]) || lower(role[2:]) || ': ' || substr(text, 1, 20), chr(10) ORDER BY turn) AS lines FROM conversations GROUP BY conv_id"),
     "history_lines_whole": (history_lines_whole, "SELECT conv_id, string_agg(upper(role[1]) || lower(role[2:]) || ': ' || text, chr(10) ORDER BY turn) AS lines FROM conversations GROUP BY conv_id"),
     "last_user_message": (last_user_message, "SELECT conv_id, md5(arg_max(text, turn) FILTER (WHERE role = 'user')) AS question_md5 FROM conversations GROUP BY conv_id"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions.registry import hash_vector, sentence_encoder
 from tarnlake.functions.text import MEDICAL_TERMS
-from tarnlake.operators import search
+from tarnlake.operators import relational, search
 from tarnlake.operators.chunking import chunk_documents
 from tarnlake.plans import dialogues, retrieval, texts
 from tarnlake.plans.ingestion import ingest
@@ -137,3 +137,19 @@ def test_messages_of_all_sessions(spark, sf_small):
 def test_history_lines_are_whole(spark, sf_small):
     got = {r.conv_id: r.lines for r in dialogues.history_lines_whole(spark, sf_small).collect()}
     assert got == {k: "\n".join(f"{r.role.capitalize()}: {r.text}" for r in v) for k, v in sessions(spark, sf_small).items()}
+
+
+def test_history_with_the_services_limits(spark, sf_small):
+    every = sorted((k, r.turn) for k, v in sessions(spark, sf_small).items() for r in v)
+    assert max(len(v) for v in sessions(spark, sf_small).values()) <= 10
+    for query in (dialogues.history_oldest20_full, dialogues.history_last10_full):
+        assert sorted((r.conv_id, r.turn) for r in query(spark, sf_small).collect()) == every
+
+
+def test_history_limits(spark):
+    m = spark.createDataFrame([("s", i, "user") for i in range(25)] + [("t", 7, "assistant")], "session string, turn int, role string")
+    oldest = sorted((r.session, r.turn, r.rn) for r in relational.session_history(m, "session", "turn").collect())
+    assert oldest == [("s", i, i + 1) for i in range(20)] + [("t", 7, 1)]
+    newest = sorted((r.session, r.turn, r.nth) for r in relational.recent_history(m, "session", "turn").collect())
+    assert newest == [("s", i, i - 14) for i in range(15, 25)] + [("t", 7, 1)]
+    assert sorted(r.turn for r in relational.recent_history(m, "session", "turn", 3).filter("session = 's'").collect()) == [22, 23, 24]
