@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import io
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.errors import InvalidArgument
-from tarnlake.functions.text import clean_text, extension, is_txt_heading
+from tarnlake.functions.text import HEADING_NOISE, NOISE_BLOCKS, clean_text, extension, is_txt_heading
 
 #: What a parser gives: text with marks, metadata, and tables (rows of cells).
 PARSED = "path string, content string, metadata map<string,string>, file_type string, tables array<array<array<string>>>, error string"
@@ -25,16 +25,41 @@ def parse_txt(data: bytes, path: str) -> tuple[str, list]:
         return data.decode("latin-1"), []
 
 
+def pdf_lines(elements: Iterable[tuple[str, list[float], list[str]]]) -> list[str]:
+    """Lines of layout elements (text, font sizes and font names of its characters): furniture goes, headings are marked.
+    The rules of is_noise_block, is_pdf_heading and is_valid_heading."""
+    lines = []
+    for text, sizes, fonts in elements:
+        text = text.strip()
+        if not text or re.search("|".join(NOISE_BLOCKS), " ".join(text.split()), re.I):
+            continue
+        large = bool(sizes) and (sum(sizes) / len(sizes) > 14 or any("B" in f for f in fonts))
+        valid = len(text) <= 100 and not any(w in text.lower() for w in HEADING_NOISE) and text.count(",") <= 1 and "." not in text
+        lines.append(f"[HEADING]{text}[/HEADING]" if large and valid else text)
+    return lines
+
+
+def _layout(data: bytes) -> Iterator[tuple[str, list[float], list[str]]]:
+    from pdfminer.high_level import extract_pages  # pdfplumber is built on it
+    from pdfminer.layout import LAParams, LTChar, LTTextContainer
+
+    params = LAParams(line_overlap=0.5, char_margin=2.0, line_margin=0.5, word_margin=0.1, boxes_flow=0.5, detect_vertical=True, all_texts=False)
+    for page in extract_pages(io.BytesIO(data), laparams=params):
+        for e in page:
+            if isinstance(e, LTTextContainer):
+                chars = [c for line in e for c in (line if hasattr(line, "__iter__") else [line]) if isinstance(c, LTChar)]
+                yield e.get_text(), [c.size for c in chars if c.size], [c.fontname for c in chars if c.fontname]
+
+
 def parse_pdf(data: bytes, path: str) -> tuple[str, list]:
-    """Tables, each with a [TABLE] mark, then the pages' text; needs pdfplumber."""
+    """Tables, each with a [TABLE] mark, then the pages' layout text with headings marked; needs pdfplumber."""
     import pdfplumber  # an optional library
 
-    tables, texts = [], []
+    tables = []
     with pdfplumber.open(io.BytesIO(data)) as pdf:
         for page in pdf.pages:
             tables += [[[c or "" for c in row] for row in t] for t in page.extract_tables()]
-            texts.append(page.extract_text() or "")
-    return "\n".join(["[TABLE]"] * len(tables) + texts), tables
+    return "\n".join(["[TABLE]"] * len(tables) + pdf_lines(_layout(data))), tables
 
 
 def parse_docx(data: bytes, path: str) -> tuple[str, list]:

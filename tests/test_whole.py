@@ -2,19 +2,21 @@
 
 import hashlib
 import re
+import sys
+from types import ModuleType, SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tarnlake.functions.registry import hash_vector, sentence_encoder
-from tarnlake.functions.text import MEDICAL_TERMS
+from tarnlake.functions.text import MEDICAL_TERMS, is_noise_block, is_pdf_heading, is_valid_heading
 from tarnlake.operators import relational, search
-from tarnlake.operators.chunking import chunk_documents
+from tarnlake.operators.chunking import Packer, chunk_documents
 from tarnlake.plans import dialogues, retrieval, texts
 from tarnlake.plans.ingestion import ingest
 from tarnlake.session import table
-from tarnlake.sources.files import objects
+from tarnlake.sources.files import objects, parse_pdf, pdf_lines
 
 
 def nearest(ids, vectors, at, k=5):
@@ -153,3 +155,53 @@ def test_history_limits(spark):
     newest = sorted((r.session, r.turn, r.nth) for r in relational.recent_history(m, "session", "turn").collect())
     assert newest == [("s", i, i - 14) for i in range(15, 25)] + [("t", 7, 1)]
     assert sorted(r.turn for r in relational.recent_history(m, "session", "turn", 3).filter("session = 's'").collect()) == [22, 23, 24]
+
+
+ELEMENTS = [
+    ("  Chế độ ăn\n", [16.0, 15.0], ["Arial"]), ("Nội dung thường của phần này.", [11.0], ["Arial"]), ("Mới chọn: bài viết", [20.0], ["Arial"]),
+    ("Vận động", [11.0], ["Arial-Bold"]), ("Bệnh này được mô tả", [18.0], ["Arial"]), ("Có dấu chấm.", [18.0], ["Arial"]), ("a, b, c", [18.0], []),
+    ("x" * 101, [18.0], []), ("đúng mười bốn", [14.0], []), ("không cỡ chữ", [], ["Bold"]), ("[xin\nĐỌC TIẾP đi]", [9.0], []), ("  ", [20.0], []),
+]
+
+
+def test_pdf_rules(spark):
+    got = pdf_lines(ELEMENTS)
+    assert got[0] == "[HEADING]Chế độ ăn[/HEADING]" and got[2] == "[HEADING]Vận động[/HEADING]" and len(got) == 9
+    df = spark.createDataFrame([(i, t.strip(), s, f) for i, (t, s, f) in enumerate(ELEMENTS) if t.strip()], "i int, t string, s array<double>, f array<string>")
+    flat = F.regexp_replace("t", r"\s+", " ")
+    rows = df.select("i", "t", is_noise_block(flat).alias("noise"), (is_pdf_heading(F.col("s"), F.col("f")) & is_valid_heading(F.col("t"))).alias("head")).orderBy("i").collect()
+    assert got == [f"[HEADING]{r.t}[/HEADING]" if r["head"] else r.t for r in rows if not r.noise]
+
+
+def test_pdf_has_headings_and_no_furniture(monkeypatch):
+    """On stand-ins for the library's modules."""
+
+    class Char(SimpleNamespace):
+        pass
+
+    class Box(list):
+        def get_text(self):
+            return self.text
+
+    def box(text, sizes, fonts):
+        b = Box([[Char(size=s, fontname=(fonts or [""])[0]) for s in sizes]])
+        b.text = text
+        return b
+
+    page = SimpleNamespace(extract_tables=lambda: [[["a", None]]], extract_text=lambda: "plain")
+
+    class Pdf:
+        pages = [page]
+        __enter__ = lambda self: self
+        __exit__ = lambda self, *_: None
+
+    fakes = {n: ModuleType(n) for n in ("pdfplumber", "pdfminer", "pdfminer.high_level", "pdfminer.layout")}
+    fakes["pdfplumber"].open = lambda f: Pdf()
+    fakes["pdfminer.high_level"].extract_pages = lambda f, laparams: [[box(*e) for e in ELEMENTS] + ["a figure"]]
+    vars(fakes["pdfminer.layout"]).update(LAParams=lambda **_: None, LTChar=Char, LTTextContainer=Box)
+    for n, m in fakes.items():
+        monkeypatch.setitem(sys.modules, n, m)
+    text, tables = parse_pdf(b"", "a.pdf")
+    assert tables == [[["a", ""]]] and text.split("\n")[:3] == ["[TABLE]", "[HEADING]Chế độ ăn[/HEADING]", "Nội dung thường của phần này."]
+    assert "Mới chọn" not in text and "ĐỌC TIẾP" not in text
+    assert Packer(min_tokens=1)(text)[0]["section"] == "Vận động"
