@@ -57,8 +57,11 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has too; from fingerprints, however unequal the texts."""
-    return _ratio(_reduced(a), _reduced(b), F.size(_reduced(a)))
+    """Estimated share of a's shingles that b has too; from fingerprints, however unequal the texts. As in likeness, all
+    hashes are compared if both are whole, else those below LIMIT; null if a has hashes, but none there."""
+    all_a, all_b, x, y = a["hashes"], b["hashes"], _reduced(a), _reduced(b)
+    below = F.when(F.size(x) > 0, _ratio(x, y, F.size(x)))
+    return F.when(a["whole"] & b["whole"], _ratio(all_a, all_b, F.size(all_a))).when(F.size(all_a) == 0, 0.0).otherwise(below)
 
 
 def merged(fingerprints: Column) -> Column:

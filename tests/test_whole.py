@@ -205,3 +205,16 @@ def test_pdf_has_headings_and_no_furniture(monkeypatch):
     assert tables == [[["a", ""]]] and text.split("\n")[:3] == ["[TABLE]", "[HEADING]Chế độ ăn[/HEADING]", "Nội dung thường của phần này."]
     assert "Mới chọn" not in text and "ĐỌC TIẾP" not in text
     assert Packer(min_tokens=1)(text)[0]["section"] == "Vận động"
+
+
+def test_containment_of_short_texts(spark):
+    fingerprints = pytest.importorskip("tarnlake.llm.fingerprints")
+    words = lambda a, n: " ".join(f"w{i}" for i in range(a, a + n))
+    rows = [(k, words(1000 * k, 12), words(1000 * k + 500, 7), words(1000 * k + 2, 7), words(1000 * k, 400)) for k in range(40)]
+    df = spark.createDataFrame(rows, "k int, whole string, other string, part string, long string")
+    sketch = lambda c: fingerprints.fingerprint(df, c, "k").select(F.col("doc_id").alias("k"), F.col("fingerprint").alias(c))
+    f = sketch("whole").join(sketch("other"), "k").join(sketch("part"), "k").join(sketch("long"), "k").withColumn("none", fingerprints.sketch(F.array().cast("array<bigint>")))
+    share = lambda a, b: fingerprints.containment(F.col(a), F.col(b)).alias(f"{a}_{b}")
+    got = f.select(share("other", "whole"), share("part", "whole"), share("whole", "part"), share("part", "long"), share("none", "long"), share("none", "none"), F.exists("part.hashes", lambda h: h < fingerprints.LIMIT).alias("seen")).collect()
+    assert all((r.other_whole, r.part_whole, r.whole_part, r.none_long, r.none_none) == (0.0, 1.0, 3 / 8, 0.0, 1.0) for r in got)
+    assert all(r.part_long == (1.0 if r.seen else None) for r in got) and {r.seen for r in got} == {True, False}
