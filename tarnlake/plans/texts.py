@@ -14,6 +14,8 @@ from tarnlake.sources.files import with_format
 
 #: A lexicon for the fixture's invented words, in place of the service's own.
 LEXICON = [("the", 0.3), ("and", 0.2), ("tion", 0.15), ("und", 0.15)]
+#: Terms of its own for phrase_cut_borders: a border follows a full stop, so these have one within.
+BORDER_TERMS = ["ing. the", "tion. and", "ung. der"]
 SPACES = r"[\s\x{0085}\p{Z}]+"
 
 
@@ -85,6 +87,19 @@ def phrase_cut_guard(spark, sf_dir):
     return b.select("conv_id", "turn", T.cuts_phrase(F.substring("text", 1, 60), F.substring("text", 61, 200), terms).alias("cut"))
 
 
+def sentence_borders(df, terms, *keys):
+    """Whether the border after each sentence but a text's last cuts a term; pos counts from 0."""
+    s = T.sentences(F.col("text"))
+    rows = df.select(*keys, s.alias("s")).filter(F.size("s") > 1)
+    pairs = F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("before"), F.slice("s", 2, F.size("s") - 1).alias("after"))
+    return rows.select(*keys, F.posexplode(pairs).alias("pos", "p")).select(*keys, "pos", T.cuts_phrase(F.col("p.before"), F.col("p.after"), terms).alias("cut"))
+
+
+def phrase_cut_borders(spark, sf_dir):
+    """phrase_cut_guard at each border between neighbouring sentences of whole messages."""
+    return sentence_borders(table(spark, sf_dir, "conversations"), BORDER_TERMS, "conv_id", "turn")
+
+
 def path_parts(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("path"))
     return p.select("page_id", T.bucket_of(F.col("path")).alias("bucket"), T.object_of(F.col("path")).alias("object"), T.base_name(F.col("path")).alias("base"))
@@ -159,6 +174,7 @@ FROM (SELECT *, CASE WHEN i <= len(n) THEN n[i] ELSE 0 END AS x, (i > len(n) AND
 SELECT doc_id, out_idx AS chunk_index, out_words AS words, out_sentences AS sentences FROM f WHERE out_words IS NOT NULL"""),
     "semantic_chunks": (semantic_chunks, None),
     "phrase_cut_guard": (phrase_cut_guard, "WITH t AS (SELECT unnest(['the thing', 'and tion of']) AS term), p AS (SELECT term, unnest(range(3, length(term) - 2)) AS i FROM t), c AS (SELECT conv_id, turn, lower(trim(substr(text, 1, 60))) AS a, lower(trim(substr(text, 61, 200))) AS b FROM conversations) SELECT conv_id, turn, coalesce(bool_or(ends_with(a, trim(substr(term, 1, i))) AND starts_with(b, trim(substr(term, i + 1)))), false) AS cut FROM c, p GROUP BY conv_id, turn, a, b"),
+    "phrase_cut_borders": (phrase_cut_borders, f"WITH t AS (SELECT unnest({BORDER_TERMS}) AS term), p AS (SELECT term, unnest(range(3, length(term) - 2)) AS i FROM t), d AS (SELECT conv_id, turn, list_transform({SENTENCES}, lambda x: trim(x)) AS s FROM conversations), b AS (SELECT conv_id, turn, s, unnest(range(len(s) - 1)) AS pos FROM d), c AS (SELECT conv_id, turn, pos, lower(s[pos + 1]) AS a, lower(s[pos + 2]) AS z FROM b) SELECT conv_id, turn, pos::INT AS pos, (SELECT coalesce(bool_or(ends_with(c.a, trim(substr(term, 1, i))) AND starts_with(c.z, trim(substr(term, i + 1)))), false) FROM p) AS cut FROM c"),
     "path_parts": (path_parts, "WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages) SELECT page_id, string_split(path, '/')[1] AS bucket, CASE WHEN contains(path, '/') THEN substr(path, strpos(path, '/') + 1) ELSE '' END AS object, string_split(path, '/')[-1] AS base FROM p"),
     "format_dispatch": (format_dispatch, "WITH p AS (SELECT page_id, 'f' || page_id || ['.TXT', '.pdf', '.docx?v=1', '.exe#x', ''][(page_id % 5 + 1)::INT] AS path FROM pages) SELECT page_id, path, lower(regexp_extract(path, '(\\.[^.?#/]+)(?:[?#].*)?$', 1)) AS extension FROM p"),
     "compressible": (compressible, "WITH d AS (SELECT doc_id, n_chars, ['.txt', '.pdf', '.html', '.JSON', ''][(doc_id % 5 + 1)::INT] AS e FROM documents) SELECT doc_id, n_chars BETWEEN 1024 AND 104857600 AND lower(e) IN ('.txt', '.html', '.json') AS compress, CASE WHEN doc_id % 2 = 0 THEN 'gzip' ELSE 'br' END AS encoding FROM d"),

@@ -218,3 +218,13 @@ def test_containment_of_short_texts(spark):
     got = f.select(share("other", "whole"), share("part", "whole"), share("whole", "part"), share("part", "long"), share("none", "long"), share("none", "none"), F.exists("part.hashes", lambda h: h < fingerprints.LIMIT).alias("seen")).collect()
     assert all((r.other_whole, r.part_whole, r.whole_part, r.none_long, r.none_none) == (0.0, 1.0, 3 / 8, 0.0, 1.0) for r in got)
     assert all(r.part_long == (1.0 if r.seen else None) for r in got) and {r.seen for r in got} == {True, False}
+
+
+def test_phrase_cut_at_every_border(spark, sf_small):
+    given = [(1, "Chỉ một câu."), (2, "A b the end. And more here. The end. Nothing. The end. " + "x" * 300 + " the end. And more."), (3, "")]
+    df = spark.createDataFrame(given, "k int, text string")
+    got = sorted((r.k, r.pos, r.cut) for r in texts.sentence_borders(df, ["the end. and more"], "k").collect())
+    assert got == [(2, 0, True), (2, 1, False), (2, 2, False), (2, 3, False), (2, 4, False), (2, 5, True)]
+    borders = {(k, r.turn): max(len(cut_sentences(r.text)) - 1, 0) for k, v in sessions(spark, sf_small).items() for r in v}
+    rows = {(r.conv_id, r.turn): r["count"] for r in texts.phrase_cut_borders(spark, sf_small).groupBy("conv_id", "turn").count().collect()}
+    assert rows == {k: n for k, n in borders.items() if n}
