@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,35 +23,52 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where none is set (local runs, tests)."""
+    """The shared folder named by spark.checkpoint.dir. Without one this is an error: a folder of the driver's own would
+    lose the rows that executors write. Only a master that runs in the driver's process gets a folder there."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        import tempfile
+
         found = f"file://{tempfile.mkdtemp(prefix='tarnlake-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_WRITTEN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()  # of each session, the tables not yet deleted
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    _WRITTEN.setdefault(spark, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_WRITTEN: list[str] = []
-
-
-def clear_scratch(spark: SparkSession) -> int:
-    """Deletes the tables that `stored` has written for this session; to be called once results are written. Returns their number."""
-    jvm, count = spark.sparkContext._jvm, 0
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+def clear_scratch(spark: SparkSession, keep: int = 0) -> int:
+    """Deletes the tables that `stored` has written for this session, but the first `keep`; to be called once results are
+    written. Returns their number."""
+    jvm, count, paths = spark.sparkContext._jvm, 0, _WRITTEN.get(spark, [])
+    while len(paths) > keep:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         count += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return count
 
 
+def scratch_count(spark: SparkSession) -> int:
+    """How many tables of this session clear_scratch would delete."""
+    return len(_WRITTEN.get(spark, []))
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that df reads, as the optimizer estimates them without a job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
     """rows left join groups on keys (null-safe), whatever share of the rows one key holds.
 

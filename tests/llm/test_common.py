@@ -1,6 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import HOT_SHARE, attach, clear_scratch, scratch_dir, stored
+from tarnlake.llm.common import HOT_SHARE, attach, clear_scratch, scratch_count, scratch_dir, stored
 
 
 def test_attach_hot_cold_null_and_missing(spark):
@@ -17,4 +18,21 @@ def test_attach_hot_cold_null_and_missing(spark):
 def test_scratch(spark):
     assert scratch_dir(spark).startswith("file:")
     df = stored(spark.range(3), "x")
-    assert df.count() == 3 and clear_scratch(spark) >= 1 and clear_scratch(spark) == 0
+    before = scratch_count(spark)
+    stored(spark.range(2), "y")
+    assert df.count() == 3 and clear_scratch(spark, before) == 1 and df.count() == 3
+    assert clear_scratch(spark) >= 1 and clear_scratch(spark) == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):  # noqa: N802
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {}  # noqa: N815
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch_dir(Session())
