@@ -9,11 +9,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tarnlake.llm.common import documents, slices, stored
+from tarnlake.llm.common import arrow_schema, documents, slices, stored
 from tarnlake.llm.vec import rolling, text_bytes, word_hashes, words
 
 TOKEN = re.compile(r"\w+")
@@ -28,8 +28,9 @@ SEGMENT = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.fl
 
 @dataclass
 class Model:
-    """weights: positive log-odds by feature; a token scores the largest of its features', or -drift if it has none. rate: the extreme-value law's scale
-    (lambda), size: its K. pivot: the p-value that gets a score of 0.5."""
+    """weights: log-odds by feature, of either sign; a token scores that of its features which is farthest from zero, or
+    -drift if it has none, so that segments end. rate: the extreme-value law's scale (lambda), size: its K. pivot: the
+    p-value that gets a score of 0.5."""
 
     weights: dict[str, float] = field(default_factory=dict)
     memo: dict[str, float] | None = field(default=None, repr=False, compare=False)
@@ -57,7 +58,7 @@ class Scores(dict):
 
     def __missing__(self, token: str) -> float:
         weights = self.weights
-        self[token] = best = max((weights[f] for f in features(token) if f in weights), default=0.0)
+        self[token] = best = max((weights[f] for f in features(token) if f in weights), key=abs, default=0.0)
         return best
 
     def __reduce__(self):
@@ -72,12 +73,15 @@ def hits_of(model: Model, toks: list[str]) -> list[tuple[int, float]]:
 
 
 def maximal_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (start, end, score) of a sequence that scores -drift but at hits (place, score > 0),
-    by Ruzzo and Tompa's method: one pass over the hits, each of which is merged away at most once."""
+    """All maximal-scoring segments (start, end, score) of a sequence that scores -drift but at hits (place, score of
+    either sign), by Ruzzo and Tompa's method: one pass over the hits, each of which is merged away at most once."""
     out: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
     total, last = 0.0, 0
     for place, score in hits:
         total -= drift * (place - last)
+        if score < 0:
+            total, last = total + score, place + 1
+            continue
         left, right, start = total, total + score, place
         total, last = right, place + 1
         while out:
@@ -92,11 +96,11 @@ def maximal_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[
     return [(s, e, b - a) for s, e, a, b in out]
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float, prior: float) -> tuple[np.ndarray, np.ndarray]:
+def log_odds(toxic: Column, clean: Column, n_toxic: float, n_clean: float, prior: float) -> tuple[Column, Column]:
     """Log-odds ratio of each token with an informative Dirichlet prior (`prior` times its count in both classes), and z-scores."""
-    a, prior = prior * (toxic + clean), prior * (n_toxic + n_clean)
-    delta = np.log((toxic + a) / (n_toxic + prior - toxic - a)) - np.log((clean + a) / (n_clean + prior - clean - a))
-    return delta, delta / np.sqrt(1 / (toxic + a) + 1 / (clean + a))
+    a, prior = (toxic + clean) * prior, prior * (n_toxic + n_clean)
+    delta = F.log((toxic + a) / (n_toxic + prior - toxic - a)) - F.log((clean + a) / (n_clean + prior - clean - a))
+    return delta, delta / F.sqrt(1 / (toxic + a) + 1 / (clean + a))
 
 
 def p_value(model: Model, best: float, length: int) -> float:
@@ -114,11 +118,11 @@ def scored(model: Model, text: str) -> tuple[float, list[tuple[int, int, float,
     return model.pivot / (model.pivot + p), [(s, e, x, model.size * len(toks) * math.exp(-model.rate * x)) for s, e, x in segments]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, max_terms: int = 20_000, prior: float = 0.1, least_z: float = 4.0, text_col: str = "text", id_col: str = "doc_id", folds: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, prior: float = 0.1, least_z: float = 3.0, text_col: str = "text", id_col: str = "doc_id", folds: int = 5) -> Model:
     """The model, from labelled rows whose crc32(id) mod `folds` isn't 0.
 
     max_rows bounds the labelled rows used (those with the smallest hashes of their ids, so that any corpus is sampled
-    evenly) and max_terms the weights kept. Near copies, found by any of their SKETCHES smallest 5-word hashes, count once, so that a
+    evenly). Every feature whose z-score is at least least_z or at most -least_z has a weight. Near copies, found by any of their SKETCHES smallest 5-word hashes, count once, so that a
     text copied a thousand times is no evidence for its words. Labels that are null or contradict each other are left
     out. Without labels of both classes the model has no weights.
     """
@@ -160,40 +164,55 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, max_terms: i
             yield pa.RecordBatch.from_arrays([pa.array(["", *keys], pa.string()), pa.array([docs_by[1], *(by[1][k] for k in keys)], pa.int64()), pa.array([docs_by[0], *(by[0][k] for k in keys)], pa.int64())], ["token", "toxic", "clean"])
 
     counts = once.mapInArrow(count, "token string, toxic bigint, clean bigint").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    totals = counts.agg(F.sum(F.when(F.col("token") != "", F.col("toxic"))).alias("t"), F.sum(F.when(F.col("token") != "", F.col("clean"))).alias("c"), F.max(F.when(F.col("token") == "", F.col("toxic"))).alias("dt"), F.max(F.when(F.col("token") == "", F.col("clean"))).alias("dc")).first()
+    counts = stored(counts, "toxicity-counts")
+    of = lambda c, docs: F.max(F.when(F.col("token") == "", F.col(c))) if docs else F.sum(F.when(F.col("token") != "", F.col(c)))
+    totals = counts.agg(of("toxic", False).alias("t"), of("clean", False).alias("c"), of("toxic", True).alias("dt"), of("clean", True).alias("dc")).first()
     if not totals.dt or not totals.dc or not totals.t or not totals.c:
         return Model()
-    # A token of the toxic class that counts: at most one in so many toxic texts of the bounded sample.
-    table = counts.filter((F.col("token") != "") & (F.col("toxic") >= 3) & (F.col("toxic") * int(totals.c) > F.col("clean") * int(totals.t))).toPandas()
-    toxic, clean = table["toxic"].to_numpy(float), table["clean"].to_numpy(float)
-    delta, z = log_odds(toxic, clean, float(totals.t), float(totals.c), prior)
-    order = [i for i in np.lexsort((table["token"].to_numpy(str), -z)) if z[i] >= least_z][:max_terms]
-    model = Model({table["token"][i]: float(delta[i]) for i in order})
-    if not order:
-        return model
-    # Scale of the extreme-value law: the positive root of E[exp(rate * score)] = 1 over tokens of clean texts.
-    share = (clean[order] + 0.5) / float(totals.c)
-    scores = delta[order]
+    delta, z = log_odds(F.col("toxic"), F.col("clean"), float(totals.t), float(totals.c), prior)
+    # Only what stands out leaves Spark: a feature needs more than a dozen texts of the bounded sample to get so far.
+    found = counts.filter("token <> ''").select("token", delta.alias("delta"), z.alias("z")).filter(F.abs("z") >= least_z).collect()
+    model = Model({r.token: r.delta for r in sorted(found, key=lambda r: r.token)})
+    return _calibrated(model, once) if any(w > 0 for w in model.weights.values()) else Model()
+
+
+def root_of(scores: np.ndarray, share: np.ndarray) -> float:
+    """The positive root of E[exp(rate * score)] = 1 over tokens of clean texts, the extreme-value law's scale."""
     low, high = 1e-6, 50.0
     for _ in range(100):
         mid = (low + high) / 2
-        value = float((share * np.exp(np.minimum(mid * scores, 700))).sum() + max(0.0, 1 - share.sum()) * math.exp(-mid * model.drift))
-        low, high = (mid, high) if value < 1 else (low, mid)
-    model.rate = high
-    return _calibrated(model, once)
+        low, high = (mid, high) if float((share * np.exp(np.minimum(mid * scores, 700))).sum()) < 1 else (low, mid)
+    return high
 
 
 def _calibrated(model: Model, sample: DataFrame) -> Model:
-    """K so that clean texts have as many hits as the law expects, and the pivot that errs least on the sample."""
+    """The scale from how often clean texts' tokens have each score; K so that clean texts have as many hits as the law
+    expects; and the pivot that errs least on the sample."""
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def best(batches):
+        """A row per text (best segment, tokens), and a row per score that tokens of clean texts have (score, how many)."""
         for batch in slices(batches, 2):
-            rows = [(int(t == 1), max((s[2] for s in maximal_segments(hits_of(shared.value, toks), shared.value.drift)), default=0.0), len(toks)) for t, toks in zip(batch.column(1).to_pylist(), map(tokens, batch.column(2).to_pylist()), strict=True)]
+            rows, seen = [], Counter()
+            for toxic, toks in zip(batch.column(1).to_pylist(), map(tokens, batch.column(2).to_pylist()), strict=True):
+                hits = hits_of(shared.value, toks)
+                rows.append((int(toxic == 1), max((s[2] for s in maximal_segments(hits, shared.value.drift)), default=0.0), len(toks)))
+                if toxic != 1:
+                    seen.update(x for _, x in hits)
+                    seen[-shared.value.drift] += len(toks) - len(hits)
+            rows += [(-1, x, n) for x, n in seen.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.float64(), pa.int64()))], ["toxic", "best", "length"])
 
-    rows = sample.mapInArrow(best, "toxic bigint, best double, length bigint").toPandas()  # as many short rows as the sample has
-    least = min(model.weights.values())
+    found = stored(sample.mapInArrow(best, "toxic bigint, best double, length bigint"), "toxicity-best")
+    seen = found.filter("toxic = -1").groupBy("best").agg(F.sum("length").alias("n")).toPandas()  # a row per weight at most, and one
+    rows = found.filter("toxic >= 0").toPandas().sort_values(["best", "length", "toxic"], kind="stable")  # as many short rows as the sample has
+    # each weight's tokens count half a time more, as those of the toxic class may never occur in clean texts
+    by = dict.fromkeys(model.weights.values(), 0.5)
+    for x, n in zip(seen.best, seen.n, strict=True):
+        by[x] = by.get(x, 0.0) + n
+    scores, counts = np.array(sorted(by)), np.array([by[x] for x in sorted(by)])
+    model.rate = root_of(scores, counts / counts.sum())
+    least = min(w for w in model.weights.values() if w > 0)
     clean = rows[rows.toxic == 0]
     model.size = float(max(1.0, (clean.best >= least).sum()) / max(1.0, clean.length.sum()) * math.exp(min(700.0, model.rate * least)))
     p = np.array([p_value(model, b, n) for b, n in zip(rows.best, rows.length, strict=True)])
@@ -213,8 +232,8 @@ def _calibrated(model: Model, sample: DataFrame) -> Model:
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", folds: int = 5, alpha: float = 0.05) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted, n_passages, and passages (token start, end, score, E-value).
 
-    Whole texts are scanned once each, in time linear in their tokens, without any shuffle; the model is broadcast and
-    has max_terms weights at most. A passage is a maximal-scoring segment with an E-value of alpha at most; the score
+    Whole texts are scanned once each, in time linear in their tokens, without any shuffle; the model is broadcast, whose
+    weights fit's max_rows bounds. A passage is a maximal-scoring segment with an E-value of alpha at most; the score
     is pivot / (pivot + p), p being the p-value of the best segment. Null and empty texts get the score of a text
     without any hit. A null id is not held out. Rows are independent; an empty table gives an empty result.
     """
@@ -237,9 +256,8 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", id_co
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores under 0.5."""
-    from tarnlake.llm.common import arrow_schema
-
+    """The rows of docs, with all their columns, whose text scores under 0.5; null and empty texts stay. Rows are
+    independent, so null or repeated ids need no rule; an empty table gives an empty result."""
     at = docs.columns.index(text_col)
     target = arrow_schema(docs.schema)
     shared = docs.sparkSession.sparkContext.broadcast(model)

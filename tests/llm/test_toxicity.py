@@ -1,7 +1,10 @@
 import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 from tests.llm.cases import awkward, documents
 
 from tarnlake.llm.toxicity import Model, drop_toxic, fit, log_odds, maximal_segments, p_value, score_documents, scored
@@ -32,7 +35,7 @@ def test_segments_against_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(300):
         n = int(rng.integers(1, 30))
-        hits = [(i, float(rng.integers(1, 6)) + float(rng.random())) for i in range(n) if rng.random() < 0.35]
+        hits = [(i, float(rng.choice([-2, 1, 2, 3, 5])) + float(rng.random())) for i in range(n) if rng.random() < 0.35]
         scores = [-0.83] * n
         for i, x in hits:
             scores[i] = x
@@ -40,9 +43,11 @@ def test_segments_against_brute_force():
     assert maximal_segments([], 1.0) == []
 
 
-def test_log_odds_prior_shrinks():
-    delta, z = log_odds(np.array([50.0, 1.0, 5.0]), np.array([1.0, 0.0, 50.0]), 1000.0, 9000.0, 0.1)
-    assert delta[0] > delta[2] and z[0] > 4 > z[1] > z[2]
+def test_log_odds_prior_shrinks(spark):
+    df = spark.createDataFrame([(0, 50, 1), (1, 1, 0), (2, 5, 50), (3, 2, 500)], "i int, t bigint, c bigint")
+    rows = df.select(*log_odds(F.col("t"), F.col("c"), 1000.0, 9000.0, 0.1)).collect()
+    delta, z = zip(*rows, strict=True)
+    assert delta[0] > delta[2] and z[0] > 4 > z[1] > z[2] and delta[3] < 0 and z[3] < -3
 
 
 def test_p_values():
@@ -82,6 +87,56 @@ def test_held_out_accuracy_and_determinism(spark):
     assert again.weights.keys() == model.weights.keys()
 
 
+def brute_model(rows, labels, prior=0.1, least_z=3.0, drift=0.05):
+    """Weights, scale and K of a corpus without near copies, from their definitions."""
+    def feats(t):
+        return {t, *("^" + t[:k] for k in (5, 6, 7) if len(t) > k)}
+
+    train = [(re.findall(r"\w+", x.lower()), labels[i]) for i, x in rows if zlib.crc32(str(i).encode()) % 5]
+    counts = [Counter(f for toks, y in train if y == label for f in {f for t in toks for f in feats(t)}) for label in (0, 1)]
+    n0, n1 = (sum(c.values()) for c in counts)
+    weights = {}
+    for f in counts[0].keys() | counts[1].keys():
+        t, c, p = counts[1][f], counts[0][f], prior * (n0 + n1)
+        a = prior * (t + c)
+        delta = math.log((t + a) / (n1 + p - t - a)) - math.log((c + a) / (n0 + p - c - a))
+        if abs(delta) / math.sqrt(1 / (t + a) + 1 / (c + a)) >= least_z:
+            weights[f] = delta
+
+    def token(t):
+        return max((weights[f] for f in feats(t) if f in weights), key=abs, default=-drift)
+
+    clean = Counter(token(t) for toks, y in train if not y for t in toks)
+    for w in set(weights.values()):
+        clean[w] += 0.5
+    total, low, high = sum(clean.values()), 1e-6, 50.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(n * math.exp(mid * x) for x, n in clean.items()) < total else (low, mid)
+    best = [(max((b[2] for b in brute_segments([token(t) for t in toks])), default=0.0), len(toks)) for toks, y in train if not y]
+    least = min(w for w in weights.values() if w > 0)
+    size = max(1, sum(b >= least for b, _ in best)) / sum(n for _, n in best) * math.exp(high * least)
+    return weights, token, high, size
+
+
+def test_every_score_against_brute_force(spark):
+    docs, labels = corpus(spark, 500)
+    # "finee" is marked as clean: a token of negative log-odds
+    docs = docs.join(labels, "doc_id").withColumn("text", F.when(F.col("toxic") == 0, F.concat("text", F.lit(" finee finee"))).otherwise(F.col("text"))).drop("toxic")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    weights, token, rate, size = brute_model(rows, {r.doc_id: r.toxic for r in labels.collect()})
+    model = fit(docs, labels)
+    assert model.weights.keys() == weights.keys() and weights["finee"] < 0 < weights["vilex"]
+    assert all(math.isclose(model.weights[k], weights[k], rel_tol=1e-9) for k in weights)
+    assert math.isclose(model.rate, rate, rel_tol=1e-6) and math.isclose(model.size, size, rel_tol=1e-6)
+    got = {r.doc_id: r.score for r in score_documents(docs, model).collect()}
+    for i, text in rows:
+        toks = re.findall(r"\w+", text.lower())
+        best = max((b[2] for b in brute_segments([token(t) for t in toks])), default=0.0)
+        p = 1 - math.exp(-size * len(toks) * math.exp(-rate * best)) if best > 0 else 1.0
+        assert math.isclose(got[i], model.pivot / (model.pivot + p), rel_tol=1e-4)
+
+
 def test_held_out_labels_are_not_read(spark):
     docs, labels = corpus(spark, 600)
     flipped = labels.selectExpr("doc_id", "case when crc32(cast(doc_id as string)) % 5 = 0 then 1 - toxic else toxic end as toxic")
