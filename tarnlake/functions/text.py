@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 
 # ---- cleaning -------------------------------------------------------------------------------------------------------
 
-#: Rules of clean_text after NFC, in order: (pattern, replacement).
+# Rules of clean_text after NFC, in order: (pattern, replacement).
 CLEANING = [
     (r"(?U)https?://[^\s]+", ""),
     (r"(?U)\d{1,2}:\d{2} [AP]M.*?Wikipedia", ""),
@@ -29,9 +29,15 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFC")
 
 
+def composed(c: Column) -> Column:
+    """NFC. ASCII text, told by its byte count, is composed already and is not sent to Python: it goes as null."""
+    plain = F.octet_length(c) == F.char_length(c)
+    return F.coalesce(F.when(plain, c), nfc(F.when(~plain, c)))
+
+
 def clean_text(c: Column, compose: bool = True) -> Column:
     """URLs, print marks and footnotes removed, broken words and lines joined, white space collapsed; null gives ""."""
-    start = nfc(c) if compose else c
+    start = composed(c) if compose else c
     return F.trim(reduce(lambda x, rule: F.regexp_replace(x, *map(F.lit, rule)), CLEANING, F.coalesce(start, F.lit(""))))
 
 
@@ -103,25 +109,31 @@ def best_compression(accept: Column, preferred: str) -> Column:
 
 # ---- structure ------------------------------------------------------------------------------------------------------
 
-MARK = "\x01"
-HEADING = r"\[HEADING\](?s:.*?)\[/HEADING\]"
+# What a text is split at, and what the tags become in Markdown.
+SEPARATOR = r"\[PAGE_BREAK\]|\[HEADING\][^\[]*\[/HEADING\]"
+MARKDOWN_TAGS = [("[HEADING]", "### "), ("[/HEADING]", "\n"), ("[SUBHEADING]", "#### "), ("[/SUBHEADING]", "\n")]
+
+
+def strip(c: Column) -> Column:
+    """White space of any kind removed from both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def to_markdown_tags(c: Column) -> Column:
-    out = F.replace(F.replace(c, F.lit("[HEADING]"), F.lit("### ")), F.lit("[SUBHEADING]"), F.lit("#### "))
-    return F.replace(F.replace(out, F.lit("[/HEADING]"), F.lit("")), F.lit("[/SUBHEADING]"), F.lit(""))
+    return reduce(lambda x, tag: F.replace(x, *map(F.lit, tag)), MARKDOWN_TAGS, c)
 
 
 def strip_heading_tags(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\[/?HEADING\]", ""))
+    return strip(F.regexp_replace(c, r"\[/?HEADING\]", ""))
 
 
 def blocks(c: Column) -> Column:
-    """array<struct<kind, content>> of page breaks, headings and paragraphs in order; blank paragraphs are left out."""
-    marked = F.regexp_replace(c, rf"(\[PAGE_BREAK\]|{HEADING})", f"{MARK}$1{MARK}")
-    parts = F.filter(F.split(marked, MARK), lambda p: F.trim(p) != "")
+    """array<struct<kind, content>> of page breaks, headings and paragraphs in order; blank paragraphs are left out. A
+    heading's text has no bracket within; other text that begins with a heading tag is a heading as a whole."""
+    pieces = F.regexp_extract_all(c, F.lit(rf"{SEPARATOR}|(?s:.+?)(?={SEPARATOR}|\z)"), F.lit(0))
+    parts = F.filter(F.transform(pieces, strip), lambda p: p != "")
     kind = lambda p: F.when(p == "[PAGE_BREAK]", "page_break").when(p.startswith("[HEADING]"), "heading").otherwise("paragraph")
-    return F.transform(parts, lambda p: F.struct(kind(p).alias("kind"), F.when(kind(p) == "heading", strip_heading_tags(p)).otherwise(F.trim(p)).alias("content")))
+    return F.transform(parts, lambda p: F.struct(kind(p).alias("kind"), F.when(kind(p) == "heading", strip_heading_tags(p)).otherwise(p).alias("content")))
 
 
 def sentences(c: Column) -> Column:
@@ -182,12 +194,13 @@ MEDICAL_TERMS = [
 
 
 def cuts_phrase(before: Column, after: Column, terms: list[str] = MEDICAL_TERMS) -> Column:
-    """Whether a term ends the first text in part and begins the second with its rest, cut 3 or more characters from its ends."""
-    low, high = F.lower(F.trim(before)), F.lower(F.trim(after))
+    """Whether a term ends the first text in part and begins the second with its rest, cut 3 or more characters from its
+    ends. Nothing is stripped: a term cut beside a space counts only if one of the texts has that space."""
+    low, high = F.lower(before), F.lower(after)
     found = F.lit(False)
     for t in terms:
         for i in range(3, len(t) - 2):
-            found = found | (low.endswith(t[:i].strip()) & high.startswith(t[i:].strip()))
+            found = found | (low.endswith(t[:i]) & high.startswith(t[i:]))
     return found
 
 

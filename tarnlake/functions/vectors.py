@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -22,11 +22,25 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
+def cosines_to(a: Column, queries: list[list[float]]) -> Column:
+    """An array of a vector's cosine to each of some constant vectors, all in one pass: a matrix product over a batch of
+    rows. Its plan doesn't grow with the dimensions. Null where a length is zero or lengths differ."""
+    q = np.array(queries, float).reshape(len(queries), -1)
+    lengths = np.linalg.norm(q, axis=1)
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def score(vectors: pd.Series) -> pd.Series:
+        out = np.full((len(vectors), len(q)), np.nan)
+        fits = np.flatnonzero([v is not None and len(v) == q.shape[1] for v in vectors])
+        if len(fits):
+            v = np.stack(vectors.to_numpy()[fits]).astype(float)
+            both = np.linalg.norm(v, axis=1)[:, None] * lengths
+            out[fits] = np.divide(v @ q.T, both, out=np.full(both.shape, np.nan), where=both > 0)
+        return pd.Series([[None if x != x else x for x in row] for row in out.tolist()], dtype=object)
+
+    return score(a)
+
+
 def cosine_to(a: Column, query: list[float]) -> Column:
-    """To a constant vector: one arithmetic expression over its dimensions, which stays in generated code, where
-    higher-order functions are interpreted."""
-    size = math.sqrt(sum(float(q) ** 2 for q in query))
-    items = [F.get(a, F.lit(i)).cast("double") for i in range(len(query))]
-    up = reduce(lambda x, y: x + y, [x * F.lit(float(q)) for x, q in zip(items, query, strict=True)])
-    own = F.sqrt(reduce(lambda x, y: x + y, [x * x for x in items]))
-    return up / F.nullif(own * F.lit(size), F.lit(0.0))
+    """To one constant vector; null if a length is zero."""
+    return F.get(cosines_to(a, [query]), 0)

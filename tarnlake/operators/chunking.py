@@ -12,10 +12,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnlake.functions.text import MEDICAL_TERMS
+from tarnlake.functions.text import MEDICAL_TERMS, SEPARATOR, word_count
 
 Encode = Callable[[list[str]], "np.ndarray"]
 CHUNK = "struct<content:string,chunk_index:int,word_count:int,section:string,chunking_strategy:string>"
@@ -36,26 +36,26 @@ def noisy(text: str) -> bool:
 
 
 def structure(text: str) -> list[tuple[str, str]]:
-    """(kind, content) of page breaks, headings and paragraphs in order."""
+    """(kind, content) of page breaks, headings and paragraphs in order; as functions.text.blocks()."""
     out = []
-    for part in re.split(r"(\[PAGE_BREAK\]|\[HEADING\].*?\[/HEADING\])", text, flags=re.S):
+    for part in map(str.strip, re.split(f"({SEPARATOR})", text)):
         if part == "[PAGE_BREAK]":
             out.append(("page_break", ""))
         elif part.startswith("[HEADING]"):
             out.append(("heading", re.sub(r"\[/?HEADING\]", "", part).strip()))
-        elif part.strip():
-            out.append(("paragraph", part.strip()))
+        elif part:
+            out.append(("paragraph", part))
     return out
 
 
 @functools.cache
 def _heads(terms: tuple[str, ...]) -> tuple[str, ...]:
-    return tuple({t[:i].strip() for t in terms for i in range(3, len(t) - 2)})
+    return tuple({t[:i] for t in terms for i in range(3, len(t) - 2)})
 
 
 def phrase_cut(before: str, after: str, terms: list[str]) -> bool:
-    low, high = before.lower().strip(), after.lower().strip()
-    return low.endswith(_heads(tuple(terms))) and any(low.endswith(t[:i].strip()) and high.startswith(t[i:].strip()) for t in terms for i in range(3, len(t) - 2))
+    low, high = before.lower(), after.lower()
+    return low.endswith(_heads(tuple(terms))) and any(low.endswith(t[:i]) and high.startswith(t[i:]) for t in terms for i in range(3, len(t) - 2))
 
 
 class Packer:
@@ -157,3 +157,10 @@ def pack_sentences(sentences: Column, most: int, least: int) -> Column:
 def semantic_breaks(df: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Rows of adjacent_similarity() at which a new segment starts: strictly below the threshold."""
     return df.filter(F.col("similarity") < threshold)
+
+
+def chunk_stats(chunks: DataFrame, by: str, position: str, content: str) -> DataFrame:
+    """chunks with word_count, chunk_index (from 0, by position) and chunk_count of each document."""
+    w = Window.partitionBy(by)
+    index = F.row_number().over(w.orderBy(position)) - 1
+    return chunks.withColumns({"word_count": word_count(F.col(content)), "chunk_index": index, "chunk_count": F.count("*").over(w).cast("int")})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,19 @@ GENERAL = ["là gì", "gì là", "bao gồm những gì", "tổng quan"]
 PREVIOUS_TREND = ["xu hướng", "gần đây", "phân tích", "đánh giá"]
 CANNED_DISEASES = [("ung thư", "ung thư"), ("tim mạch", "bệnh tim"), ("gan", "bệnh gan"), ("thận", "bệnh thận")]
 COMPLICATIONS = ["biến chứng", "nguy hiểm", "hậu quả"]
+# The older rule set, in the order in which its labels are tried.
+OLDER_RULES = [
+    ("invalid", ["chết", "bỏ thuốc", "mệt quá"]),
+    ("greeting", ["chào", "hello"]),
+    ("trend_analysis", ["gần đây", "xu hướng"]),
+    ("relational", ["so với", "liên quan"]),
+    ("personal_info", ["của tôi", "tình trạng tôi"]),
+]
+OLDER_LABELS = ["greeting", "invalid", "personal_info", "trend_analysis", "relational", "rag_only"]
+# Notes on what was said before, and the prompt's label.
+NOTE_TREND = "Lần trước, tôi đã phân tích xu hướng cho bạn."
+NOTE_ASKED = "Bạn đã hỏi trước đó, nhưng chưa phân tích xu hướng chi tiết."
+QUESTION_LABEL = "Câu hỏi: "
 
 DEFAULT_WORDS = {"greetings": GREETINGS, "question_words": QUESTION_WORDS, "time_words": TIME_WORDS, "personal": PERSONAL, "health": HEALTH, "diseases": DISEASES, "comparisons": COMPARISONS, "invalid": INVALID}
 
@@ -74,7 +89,7 @@ def history_flags(messages: DataFrame, session: str, role: str = "role", text: s
 
 
 def history_note(first_time: Column, has_previous_trend: Column) -> Column:
-    return F.when(first_time, "").when(has_previous_trend, "Lần trước, tôi đã phân tích xu hướng cho bạn.").otherwise("Bạn đã hỏi trước đó, nhưng chưa phân tích xu hướng chi tiết.")
+    return F.when(first_time, "").when(has_previous_trend, NOTE_TREND).otherwise(NOTE_ASKED)
 
 
 def sessions_for(messages: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -93,19 +108,21 @@ def history_of(messages: DataFrame, user: str | None = None, session: str | None
     return rows.orderBy(F.col("created_at").asc(), "_id")
 
 
-def older_label(question: Column) -> Column:
-    """Labels of the service's older rule set: greeting, personal_info, trend_analysis, relational or rag_only."""
-    return (
-        F.when(is_greeting(question), "greeting").when(contains_any(question, INVALID), "invalid")
-        .when(contains_any(question, TIME_WORDS), "trend_analysis").when(contains_any(question, PERSONAL), "personal_info")
-        .when(contains_any(question, COMPARISONS), "relational").otherwise("rag_only")
-    )
+def older_label(question: Column, label: Column | None = None, rules: list[tuple[str, list[str]]] = OLDER_RULES) -> Column:
+    """Labels of the service's older handler: a model's answer if there is one (rag_only for any it doesn't know), else
+    the first of its own short keyword rules that holds, else rag_only."""
+    found = reduce(lambda x, rule: F.coalesce(x, F.when(contains_any(question, rule[1]), rule[0])), rules, F.lit(None).cast("string"))
+    found = F.coalesce(found, F.lit("rag_only"))
+    if label is None:
+        return found
+    named = F.lower(F.trim(label))
+    return F.when(label.isNull(), found).when(named.isin(OLDER_LABELS), named).otherwise("rag_only")
 
 
 def rag_prompt(question: Column, contexts: Column, history: Column, most: int = 4) -> Column:
     """The text given to a model: documents, the last turns, the question."""
     last = F.slice(history, F.greatest(F.size(history) - most + 1, F.lit(1)), most)
-    return F.concat_ws("\n\n", F.array_join(F.filter(contexts, lambda c: F.trim(c) != ""), "\n"), F.array_join(last, "\n"), F.concat(F.lit("Câu hỏi: "), question))
+    return F.concat_ws("\n\n", F.array_join(F.filter(contexts, lambda c: F.trim(c) != ""), "\n"), F.array_join(last, "\n"), F.concat(F.lit(QUESTION_LABEL), question))
 
 
 def address(age: Column) -> Column:

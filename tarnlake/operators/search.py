@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tarnlake.errors import InvalidArgument
 from tarnlake.functions.text import contains_any, to_markdown_tags
-from tarnlake.functions.vectors import cosine_to
+from tarnlake.functions.vectors import cosine_to, cosines_to
 from tarnlake.operators.predicates import check_settings, equals
 from tarnlake.operators.relational import hits_with_documents, last_n
 
@@ -23,11 +23,23 @@ def search(points: DataFrame, query: list[float], top_k: int = 5, threshold: flo
     Filters (a__b for nested fields) and collections are pushed to the scan; each task keeps top_k rows a collection
     before the shuffle. A collection that doesn't exist gives no rows.
     """
+    return search_many(points, [query], top_k, threshold, collections, collection, vector, id_col, **filters).drop("query")
+
+
+def search_many(points: DataFrame, queries: list[list[float]], top_k: int = 5, threshold: float = 0.7, collections: list | None = None, collection: str = "knowledge_id", vector: str = "embedding", id_col: str = "id", **filters) -> DataFrame:
+    """search() for several query vectors in one pass over the points; query is a vector's number, from 0."""
     rows = points.filter(equals(**filters)) if filters else points
     if collections is not None:
         rows = rows.filter(F.col(collection).isin(collections))
-    scored = rows.withColumn("score", cosine_to(F.col(vector), query)).drop(vector).filter(F.col("score") >= threshold)
-    return last_n(scored, [collection], [F.desc("score"), F.col(id_col)], top_k, "rank")
+    scored = rows.withColumn("_scores", cosines_to(F.col(vector), queries)).drop(vector)
+    each = scored.select(*scored.columns[:-1], F.posexplode("_scores").alias("query", "score")).filter(F.col("score") >= threshold)
+    return last_n(each, ["query", collection], [F.desc("score"), F.col(id_col)], top_k, "rank")
+
+
+def ranked_lists(hits: DataFrame, id_col: str = "id") -> DataFrame:
+    """id_col, query, score and rank of search_many's hits: of each query one list over all collections."""
+    order = Window.partitionBy("query").orderBy(F.desc("score"), id_col)  # top_k rows a collection at most
+    return hits.select(id_col, "query", "score", F.row_number().over(order).alias("rank"))
 
 
 def retrieve(points: DataFrame, query: list[float], top_k: int = 5, threshold: float = 0.6, id_col: str = "id", **options) -> DataFrame:
@@ -55,18 +67,12 @@ def relevant(df: DataFrame, query: list[float], vector: str = "embedding", thres
     return df.withColumn("similarity", cosine_to(F.col(vector), query)).filter(F.col("similarity") >= threshold)
 
 
-def multi_query(points: DataFrame, queries: list[list[float]], per_query: int = 2, final: int = 8, id_col: str = "id", threshold: float = 0.6, **options) -> DataFrame:
+def multi_query(points: DataFrame, queries: list[list[float]], per_query: int = 2, final: int = 8, id_col: str = "id", threshold: float = 0.6, relevance: float = 0.5, **options) -> DataFrame:
     """Retrieval for each query, fusion, relevance to the first query, Markdown tags, the best `final`. Needs payload.content."""
     if not queries:
         raise InvalidArgument("NO_QUERIES", "no query is given")
-    lists = None
-    for number, q in enumerate(queries):
-        hits = search(points, q, per_query, threshold, id_col=id_col, **options)
-        order = Window.partitionBy("query").orderBy(F.desc("score"), id_col)
-        hits = hits.select(id_col, "score", F.lit(number).alias("query")).withColumn("rank", F.row_number().over(order))
-        lists = hits if lists is None else lists.unionByName(hits)
-    fused = fuse(lists, id_col).select(id_col, "fused")
-    rows = relevant(points.join(fused, id_col), queries[0])
+    fused = fuse(ranked_lists(search_many(points, queries, per_query, threshold, id_col=id_col, **options), id_col), id_col).select(id_col, "fused")
+    rows = relevant(points.join(fused, id_col), queries[0], threshold=relevance)
     return rows.withColumn("content", to_markdown_tags(F.col("payload.content"))).orderBy(F.desc("fused"), id_col).limit(final)
 
 

@@ -12,6 +12,10 @@ from tarnlake.sources.tables import to_result_json
 WORDS = {"greetings": ["hello", "etion"], "question_words": ["that"], "time_words": ["ing", "ung"], "personal": ["ou", "ich"], "health": ["the ", "der "], "diseases": ["er"], "comparisons": ["blest"], "invalid": ["xyz"]}
 
 
+#: Words of the fixture's invented language in place of the older rules' own; texts may meet several.
+OLDER_WORDS = [("invalid", ["ung", "ow"]), ("greeting", ["hello", "ing"]), ("trend_analysis", ["der "]), ("relational", ["the "]), ("personal_info", ["e"])]
+
+
 def _turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations")
 
@@ -35,30 +39,16 @@ def first_time_flags(spark, sf_dir):
 
 
 def history_oldest20(spark, sf_dir):
-    return relational.session_history(_turns(spark, sf_dir), "conv_id", "turn", 4).select("conv_id", "turn", "role", "rn")
-
-
-def history_last10(spark, sf_dir):
-    return relational.recent_history(_turns(spark, sf_dir), "conv_id", "turn", 3).select("conv_id", "turn", "nth")
-
-
-def history_oldest20_full(spark, sf_dir):
     """With the service's limit, the operator's own."""
     return relational.session_history(_turns(spark, sf_dir), "conv_id", "turn").select("conv_id", "turn", "role", "rn")
 
 
-def history_last10_full(spark, sf_dir):
+def history_last10(spark, sf_dir):
     """With the service's limit, the operator's own."""
     return relational.recent_history(_turns(spark, sf_dir), "conv_id", "turn").select("conv_id", "turn", "nth")
 
 
 def history_lines(spark, sf_dir):
-    c = _turns(spark, sf_dir).withColumn("line", history_line(F.col("role"), F.substring("text", 1, 20)))
-    return c.groupBy("conv_id").agg(relational.joined_text(F.col("line"), F.col("turn"), "\n").alias("lines"))
-
-
-def history_lines_whole(spark, sf_dir):
-    """history_lines with all of each message."""
     c = _turns(spark, sf_dir).withColumn("line", history_line(F.col("role"), F.col("text")))
     return c.groupBy("conv_id").agg(relational.joined_text(F.col("line"), F.col("turn"), "\n").alias("lines"))
 
@@ -77,12 +67,6 @@ def role_normalised(spark, sf_dir):
 
 
 def session_messages(spark, sf_dir):
-    """Sessions of even number with their messages, newest session first, at most 100 sessions."""
-    s = _turns(spark, sf_dir).select("conv_id").distinct().filter("conv_id % 2 = 0").orderBy(F.desc("conv_id")).limit(100)
-    return s.join(_turns(spark, sf_dir), "conv_id").groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("turn").alias("last_turn"))
-
-
-def session_messages_all(spark, sf_dir):
     """All sessions with their messages. The service's cap of 100 is one user's, and this table has no users."""
     return _turns(spark, sf_dir).groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("turn").alias("last_turn"))
 
@@ -93,7 +77,7 @@ def result_json(spark, sf_dir):
 
 def older_labels(spark, sf_dir):
     c = _turns(spark, sf_dir).filter("role = 'user'")
-    return c.select("conv_id", "turn", dialogue.older_label(F.col("text")).alias("label"))
+    return c.select("conv_id", "turn", dialogue.older_label(F.col("text"), rules=OLDER_WORDS).alias("label"))
 
 
 def _any(column: str, words: list[str]) -> str:
@@ -103,23 +87,19 @@ def _any(column: str, words: list[str]) -> str:
 _Q = {k: _any("q", v) for k, v in WORDS.items()}
 KIND = f"CASE WHEN {_Q['greetings']} AND NOT {_Q['question_words']} THEN 'rag_only' WHEN {_Q['diseases']} AND {_Q['comparisons']} THEN 'rag_only' WHEN {_Q['time_words']} AND {_Q['health']} THEN 'trend' WHEN {_Q['personal']} AND {_Q['health']} THEN 'personal' WHEN {_Q['invalid']} THEN 'invalid' WHEN {_Q['time_words']} THEN 'trend' WHEN {_Q['personal']} THEN 'personal' ELSE 'rag_only' END"
 PRONOUNS = _any("lower(text)", search.PRONOUNS)
-OLDER = f"CASE WHEN {_any('q', [*dialogue.GREETINGS, 'chào buổi'])} AND NOT {_any('q', dialogue.QUESTION_WORDS)} THEN 'greeting' WHEN {_any('q', dialogue.INVALID)} THEN 'invalid' WHEN {_any('q', dialogue.TIME_WORDS)} THEN 'trend_analysis' WHEN {_any('q', dialogue.PERSONAL)} THEN 'personal_info' WHEN {_any('q', dialogue.COMPARISONS)} THEN 'relational' ELSE 'rag_only' END"
+OLDER = f"CASE WHEN {_any('q', ['ung', 'ow'])} THEN 'invalid' WHEN {_any('q', ['hello', 'ing'])} THEN 'greeting' WHEN {_any('q', ['der '])} THEN 'trend_analysis' WHEN {_any('q', ['the '])} THEN 'relational' WHEN {_any('q', ['e'])} THEN 'personal_info' ELSE 'rag_only' END"
 
 ENTRIES = {
     "question_route": (question_route, f"WITH c AS (SELECT conv_id, turn, lower(substr(trim(text), 1, 500)) AS q, lower(text) AS t FROM conversations WHERE role = 'user'), k AS (SELECT *, {KIND} AS kind, {_any('t', WORDS['greetings'])} AND NOT {_any('t', WORDS['question_words'])} AS hello FROM c) SELECT conv_id, turn, kind, CASE WHEN hello THEN 'greeting' WHEN kind = 'invalid' THEN 'invalid' WHEN kind = 'trend' THEN 'status' WHEN kind = 'personal' AND turn > 2 THEN 'status' WHEN conv_id % 2 = 0 THEN 'rag' ELSE 'guidance' END AS route FROM k"),
     "canned_answer": (canned_answer, "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'thing') THEN 'one' WHEN contains(lower(text), 'tion') THEN 'two' WHEN contains(lower(text), 'und') THEN 'three' WHEN contains(lower(text), 'est') THEN 'complications' ELSE 'default' END AS topic FROM conversations WHERE role = 'user'"),
     "first_time_flags": (first_time_flags, "WITH f AS (SELECT conv_id, count(*) FILTER (WHERE role = 'assistant') = 0 AS first_time, coalesce(bool_or(role = 'assistant' AND (contains(lower(text), 'thing') OR contains(lower(text), 'nicht'))), false) AS has_previous_trend FROM conversations GROUP BY conv_id) SELECT *, CASE WHEN first_time THEN '' WHEN has_previous_trend THEN 'Lần trước, tôi đã phân tích xu hướng cho bạn.' ELSE 'Bạn đã hỏi trước đó, nhưng chưa phân tích xu hướng chi tiết.' END AS note FROM f"),
-    "history_oldest20": (history_oldest20, "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'ai' END AS role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations QUALIFY rn <= 4"),
-    "history_last10": (history_last10, "WITH r AS (SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3) SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM r"),
-    "history_oldest20_full": (history_oldest20_full, "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'ai' END AS role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations QUALIFY rn <= 20"),
-    "history_last10_full": (history_last10_full, "WITH r AS (SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 10) SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM r"),
-    "history_lines": (history_lines, "SELECT conv_id, string_agg(upper(role[1]) || lower(role[2:]) || ': ' || substr(text, 1, 20), chr(10) ORDER BY turn) AS lines FROM conversations GROUP BY conv_id"),
-    "history_lines_whole": (history_lines_whole, "SELECT conv_id, string_agg(upper(role[1]) || lower(role[2:]) || ': ' || text, chr(10) ORDER BY turn) AS lines FROM conversations GROUP BY conv_id"),
+    "history_oldest20": (history_oldest20, "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'ai' END AS role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations QUALIFY rn <= 20"),
+    "history_last10": (history_last10, "WITH r AS (SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 10) SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM r"),
+    "history_lines": (history_lines, "SELECT conv_id, string_agg(upper(role[1]) || lower(role[2:]) || ': ' || text, chr(10) ORDER BY turn) AS lines FROM conversations GROUP BY conv_id"),
     "last_user_message": (last_user_message, "SELECT conv_id, md5(arg_max(text, turn) FILTER (WHERE role = 'user')) AS question_md5 FROM conversations GROUP BY conv_id"),
     "rewrite_gate": (rewrite_gate, f"WITH c AS (SELECT conv_id, count(*) AS n, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id) SELECT conv_id, n >= 2 AND {PRONOUNS} AS rewrite FROM c"),
     "role_normalised": (role_normalised, "SELECT CASE WHEN lower(role) = 'user' THEN 'user' ELSE 'ai' END AS role, count(*) AS n FROM conversations GROUP BY 1"),
-    "session_messages": (session_messages, "WITH s AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 2 = 0 ORDER BY conv_id DESC LIMIT 100) SELECT conv_id, count(*) AS messages, max(turn) AS last_turn FROM conversations WHERE conv_id IN (SELECT conv_id FROM s) GROUP BY conv_id"),
-    "session_messages_all": (session_messages_all, "SELECT conv_id, count(*) AS messages, max(turn) AS last_turn FROM conversations GROUP BY conv_id"),
+    "session_messages": (session_messages, "SELECT conv_id, count(*) AS messages, max(turn) AS last_turn FROM conversations GROUP BY conv_id"),
     "result_json": (result_json, "SELECT '{\"conv_id\":' || conv_id || ',\"turn\":' || turn || ',\"role\":\"' || role || '\"}' AS json FROM conversations"),
     "older_labels": (older_labels, f"WITH c AS (SELECT conv_id, turn, lower(text) AS q FROM conversations WHERE role = 'user') SELECT conv_id, turn, {OLDER} AS label FROM c"),
 }

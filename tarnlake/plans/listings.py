@@ -82,7 +82,8 @@ def exists_check(spark, sf_dir):
 
 def absent_check(spark, sf_dir):
     c = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "user_id")
-    return absent_from(c, table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "user_id"), ["user_id"]).select("user_id", "c_name")
+    urgent = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").withColumnRenamed("o_custkey", "user_id")
+    return absent_from(c, urgent, ["user_id"]).select("user_id", "c_name")
 
 
 def toggle_active(spark, sf_dir):
@@ -152,7 +153,7 @@ ENTRIES = {
     "first_seen_distinct": (first_seen_distinct, "SELECT lang, min(doc_id) AS first_position FROM documents GROUP BY lang"),
     "uniqueness_violations": (uniqueness_violations, "SELECT source, md5(text) AS hash, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1"),
     "exists_check": (exists_check, "SELECT c_custkey AS user_id, c_name FROM customer WHERE c_custkey IN (SELECT user_id FROM events)"),
-    "absent_check": (absent_check, "SELECT c_custkey AS user_id, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "absent_check": (absent_check, "SELECT c_custkey AS user_id, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')"),
     "toggle_active": (toggle_active, f"WITH {CHUNKS}, f AS (SELECT doc_id FROM labels WHERE quality = 0), t AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM f) THEN NOT is_active ELSE is_active END AS is_active FROM c) SELECT doc_id, is_active, is_active AS point_active FROM t"),
     "delete_cascade": (delete_cascade, "WITH c AS (SELECT * FROM customer WHERE c_mktsegment <> 'MACHINERY'), g AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY'), o AS (SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM g)) SELECT 'customer' AS name, count(*) AS n FROM c UNION ALL SELECT 'orders', count(*) FROM o UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)"),
     "settings_flags": (settings_flags, "SELECT DISTINCT source AS _id, source IN ('src2', 'src5', 'src7') AS select_training, 'src2,src7' AS ids, 8 AS top_k FROM documents"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.operators import search
@@ -56,12 +56,8 @@ def retrieved_context(spark, sf_dir):
 
 def rrf_fusion(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    lists = None
-    for v in (0, 1, 2):
-        hits = search.search(e, query_vector(spark, sf_dir, v), 2, 0.0, collection="label", id_col="vec_id").select("vec_id", "score")
-        hits = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")))  # at most 2 rows a collection
-        lists = hits if lists is None else lists.unionByName(hits)
-    return search.fuse(lists, "vec_id").select("vec_id", "best_rank", F.round("fused", 8).alias("fused"))
+    hits = search.search_many(e, [query_vector(spark, sf_dir, v) for v in (0, 1, 2)], 2, 0.0, collection="label", id_col="vec_id")
+    return search.fuse(search.ranked_lists(hits, "vec_id"), "vec_id").select("vec_id", "best_rank", F.round("fused", 8).alias("fused"))
 
 
 def relevance_filter(spark, sf_dir):
@@ -71,7 +67,7 @@ def relevance_filter(spark, sf_dir):
 
 def multi_query_search(spark, sf_dir):
     queries = [query_vector(spark, sf_dir, v) for v in (0, 1)]
-    rows = search.multi_query(points(spark, sf_dir), queries, threshold=0.0)
+    rows = search.multi_query(points(spark, sf_dir), queries, threshold=0.0, relevance=0.05)
     return rows.select("id", F.round("fused", 8).alias("fused"), F.md5("content").alias("content_md5"))
 
 
@@ -103,7 +99,7 @@ ENTRIES = {
     "retrieved_context": (retrieved_context, f"WITH {POINTS}, {QUERY.format(0)}, s AS (SELECT e.*, {COSINE} AS score FROM p e, q WHERE active), r AS (SELECT *, row_number() OVER (PARTITION BY knowledge_id ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0) SELECT id, knowledge_id, round(score, 6) AS score, source, n_chars, md5(text) AS content_md5 FROM r WHERE rank <= 4"),
     "rrf_fusion": (rrf_fusion, f"WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 3), s AS (SELECT qid, e.label, e.vec_id, {COSINE} AS score FROM embeddings e, q), r AS (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY score DESC, vec_id) AS n FROM s WHERE score >= 0), f AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM r WHERE n <= 2) SELECT vec_id, min(rank) AS best_rank, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS fused FROM f GROUP BY vec_id"),
     "relevance_filter": (relevance_filter, f"WITH {QUERY.format(0)}, s AS (SELECT e.vec_id, {COSINE} AS similarity FROM embeddings e, q) SELECT vec_id, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.2"),
-    "multi_query_search": (multi_query_search, f"WITH {POINTS}, q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 2), s AS (SELECT qid, e.knowledge_id, e.id, e.text, {COSINE} AS score FROM p e, q), r AS (SELECT *, row_number() OVER (PARTITION BY qid, knowledge_id ORDER BY score DESC, id) AS n FROM s WHERE score >= 0), f AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM r WHERE n <= 2), u AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS fused FROM f GROUP BY id) SELECT u.id, round(fused, 8) AS fused, md5(replace(replace(replace(replace(s.text, '[HEADING]', '### '), '[SUBHEADING]', '#### '), '[/HEADING]', ''), '[/SUBHEADING]', '')) AS content_md5 FROM u JOIN s ON s.id = u.id AND s.qid = 0 WHERE s.score >= 0.5 ORDER BY u.fused DESC, u.id LIMIT 8"),
+    "multi_query_search": (multi_query_search, f"WITH {POINTS}, q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 2), s AS (SELECT qid, e.knowledge_id, e.id, e.text, {COSINE} AS score FROM p e, q), r AS (SELECT *, row_number() OVER (PARTITION BY qid, knowledge_id ORDER BY score DESC, id) AS n FROM s WHERE score >= 0), f AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM r WHERE n <= 2), u AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS fused FROM f GROUP BY id) SELECT u.id, round(fused, 8) AS fused, md5(replace(replace(replace(replace(s.text, '[HEADING]', '### '), '[SUBHEADING]', '#### '), '[/HEADING]', chr(10)), '[/SUBHEADING]', chr(10))) AS content_md5 FROM u JOIN s ON s.id = u.id AND s.qid = 0 WHERE s.score >= 0.05 ORDER BY u.fused DESC, u.id LIMIT 8"),
     "approximate_search": (approximate_search, None),
     "adjacent_breaks": (adjacent_breaks, "WITH a AS (SELECT label, vec_id, embedding::DOUBLE[] AS x, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS y FROM embeddings), s AS (SELECT label, vec_id, list_inner_product(x, y) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y))) AS similarity FROM a WHERE y IS NOT NULL) SELECT label, vec_id, round(similarity, 6) AS similarity FROM s WHERE similarity < 0.1"),
     "payload_update": (payload_update, f"WITH {POINTS} SELECT knowledge_id, count(*) AS points, count(*) FILTER (WHERE active AND knowledge_id <> 3) AS active FROM p WHERE knowledge_id <> 5 GROUP BY knowledge_id"),

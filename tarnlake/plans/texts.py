@@ -14,8 +14,8 @@ from tarnlake.sources.files import with_format
 
 #: A lexicon for the fixture's invented words, in place of the service's own.
 LEXICON = [("the", 0.3), ("and", 0.2), ("tion", 0.15), ("und", 0.15)]
-#: Terms of its own for phrase_cut_borders: a border follows a full stop, so these have one within.
-BORDER_TERMS = ["ing. the", "tion. and", "ung. der"]
+#: Terms of its own for phrase_cut_guard: a sentence ends with a full stop and loses the space after it.
+BORDER_TERMS = ["ing.the", "tion.and", "ung.der", "er.die", "es.les", "os.las"]
 SPACES = r"[\s\x{0085}\p{Z}]+"
 
 
@@ -61,7 +61,7 @@ def heading_split(spark, sf_dir):
 
 def structure_blocks(spark, sf_dir):
     """Pages with their titles as headings and footers after page breaks, split into blocks."""
-    marked = F.concat(F.lit("[HEADING]"), "url", F.lit("[/HEADING] first part [PAGE_BREAK]  [PAGE_BREAK]second "), F.col("page_id").cast("string"))
+    marked = F.concat(F.lit("[HEADING]"), "url", F.lit("[/HEADING] first part [PAGE_BREAK]  [PAGE_BREAK]\n a [HEADING]x [1] y[/HEADING] z[PAGE_BREAK][HEADING]x [1] y[/HEADING]\nz[PAGE_BREAK]second "), F.col("page_id").cast("string"))
     b = table(spark, sf_dir, "pages").select("page_id", F.posexplode(T.blocks(marked)).alias("pos", "b"))
     return b.select("page_id", "pos", "b.kind", "b.content")
 
@@ -81,12 +81,6 @@ def semantic_chunks(spark, sf_dir):
     return chunk_documents(_docs(spark, sf_dir), load=sentence_encoder, min_tokens=50, threshold=0.7).select("doc_id", "chunk_index", "word_count", "section", F.md5("content").alias("content_md5"))
 
 
-def phrase_cut_guard(spark, sf_dir):
-    terms = ["the thing", "and tion of"]
-    b = table(spark, sf_dir, "conversations")
-    return b.select("conv_id", "turn", T.cuts_phrase(F.substring("text", 1, 60), F.substring("text", 61, 200), terms).alias("cut"))
-
-
 def sentence_borders(df, terms, *keys):
     """Whether the border after each sentence but a text's last cuts a term; pos counts from 0."""
     s = T.sentences(F.col("text"))
@@ -95,8 +89,8 @@ def sentence_borders(df, terms, *keys):
     return rows.select(*keys, F.posexplode(pairs).alias("pos", "p")).select(*keys, "pos", T.cuts_phrase(F.col("p.before"), F.col("p.after"), terms).alias("cut"))
 
 
-def phrase_cut_borders(spark, sf_dir):
-    """phrase_cut_guard at each border between neighbouring sentences of whole messages."""
+def phrase_cut_guard(spark, sf_dir):
+    """At each border between neighbouring sentences of whole messages."""
     return sentence_borders(table(spark, sf_dir, "conversations"), BORDER_TERMS, "conv_id", "turn")
 
 
@@ -158,6 +152,8 @@ WHEN c >= 2 AND d > 0.25 THEN least(d + 0.3 + w, 0.9) WHEN c >= 1 AND d > 0.4 TH
 HEAD = "CASE WHEN ((length(line) < 100 AND line = upper(line)) OR ends_with(line, ':')) AND trim(line) <> '' THEN line END"
 LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)"
 
+PB = "'[PAGE_BREAK]'"
+
 ENTRIES = {
     "clean_text": (clean_text, f"SELECT doc_id, md5(trim(regexp_replace({CLEAN.format('nfc_normalize(text)')}, '{SPACES}', ' ', 'g'))) AS clean_md5 FROM documents"),
     "clean_pages": (clean_pages, f"SELECT page_id, md5(trim(regexp_replace({CLEAN.format('html')}, '{SPACES}', ' ', 'g'))) AS clean_md5 FROM pages"),
@@ -165,7 +161,7 @@ ENTRIES = {
     "lexicon_score": (lexicon_score, _score_sql("documents", "0", "0")),
     "lexicon_score_with_model": (lexicon_score_with_model, _score_sql("documents JOIN labels USING (doc_id)", "quality * 0.5", "toxic * 0.7")),
     "heading_split": (heading_split, f"WITH {LINES}, h AS (SELECT *, {HEAD} AS head FROM l), s AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM h) SELECT doc_id, count(head) AS headings, count(*) AS n_lines, count(*) FILTER (WHERE coalesce(section, 'Unknown') <> 'Unknown') AS in_sections FROM s GROUP BY doc_id"),
-    "structure_blocks": (structure_blocks, "SELECT page_id, 0 AS pos, 'heading' AS kind, url AS content FROM pages UNION ALL SELECT page_id, 1, 'paragraph', 'first part' FROM pages UNION ALL SELECT page_id, 2, 'page_break', '[PAGE_BREAK]' FROM pages UNION ALL SELECT page_id, 3, 'page_break', '[PAGE_BREAK]' FROM pages UNION ALL SELECT page_id, 4, 'paragraph', 'second ' || page_id FROM pages"),
+    "structure_blocks": (structure_blocks, f"SELECT page_id, unnest(range(9))::INT AS pos, unnest(['heading', 'paragraph', 'page_break', 'page_break', 'paragraph', 'page_break', 'heading', 'page_break', 'paragraph']) AS kind, unnest([url, 'first part', {PB}, {PB}, 'a [HEADING]x [1] y[/HEADING] z', {PB}, 'x [1] y' || chr(10) || 'z', {PB}, 'second ' || page_id]) AS content FROM pages"),
     "sentence_counts": (sentence_counts, f"SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(10))) AS joined_md5 FROM (SELECT doc_id, {SENTENCES} AS s FROM documents)"),
     "greedy_chunks": (greedy_chunks, f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, list_transform({SENTENCES}, lambda x: len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> ''))) AS n FROM documents),
 f AS (SELECT doc_id, n, 1 AS i, 0 AS idx, 0::BIGINT AS words, 0 AS sentences, NULL::BIGINT AS out_words, NULL::INT AS out_sentences, 0 AS out_idx FROM d
@@ -173,8 +169,7 @@ UNION ALL SELECT doc_id, n, i + 1, CASE WHEN closed THEN idx + 1 ELSE idx END, C
 FROM (SELECT *, CASE WHEN i <= len(n) THEN n[i] ELSE 0 END AS x, (i > len(n) AND sentences > 0 AND words >= 20) OR (i <= len(n) AND words + n[i] > 120 AND words >= 20) AS closed FROM f WHERE i <= len(n) + 1))
 SELECT doc_id, out_idx AS chunk_index, out_words AS words, out_sentences AS sentences FROM f WHERE out_words IS NOT NULL"""),
     "semantic_chunks": (semantic_chunks, None),
-    "phrase_cut_guard": (phrase_cut_guard, "WITH t AS (SELECT unnest(['the thing', 'and tion of']) AS term), p AS (SELECT term, unnest(range(3, length(term) - 2)) AS i FROM t), c AS (SELECT conv_id, turn, lower(trim(substr(text, 1, 60))) AS a, lower(trim(substr(text, 61, 200))) AS b FROM conversations) SELECT conv_id, turn, coalesce(bool_or(ends_with(a, trim(substr(term, 1, i))) AND starts_with(b, trim(substr(term, i + 1)))), false) AS cut FROM c, p GROUP BY conv_id, turn, a, b"),
-    "phrase_cut_borders": (phrase_cut_borders, f"WITH t AS (SELECT unnest({BORDER_TERMS}) AS term), p AS (SELECT term, unnest(range(3, length(term) - 2)) AS i FROM t), d AS (SELECT conv_id, turn, list_transform({SENTENCES}, lambda x: trim(x)) AS s FROM conversations), b AS (SELECT conv_id, turn, s, unnest(range(len(s) - 1)) AS pos FROM d), c AS (SELECT conv_id, turn, pos, lower(s[pos + 1]) AS a, lower(s[pos + 2]) AS z FROM b) SELECT conv_id, turn, pos::INT AS pos, (SELECT coalesce(bool_or(ends_with(c.a, trim(substr(term, 1, i))) AND starts_with(c.z, trim(substr(term, i + 1)))), false) FROM p) AS cut FROM c"),
+    "phrase_cut_guard": (phrase_cut_guard, f"WITH t AS (SELECT unnest({BORDER_TERMS}) AS term), p AS (SELECT term, unnest(range(3, length(term) - 2)) AS i FROM t), d AS (SELECT conv_id, turn, list_transform({SENTENCES}, lambda x: trim(x)) AS s FROM conversations), b AS (SELECT conv_id, turn, s, unnest(range(len(s) - 1)) AS pos FROM d), c AS (SELECT conv_id, turn, pos, lower(s[pos + 1]) AS a, lower(s[pos + 2]) AS z FROM b) SELECT conv_id, turn, pos::INT AS pos, (SELECT coalesce(bool_or(ends_with(c.a, substr(term, 1, i)) AND starts_with(c.z, substr(term, i + 1))), false) FROM p) AS cut FROM c"),
     "path_parts": (path_parts, "WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages) SELECT page_id, string_split(path, '/')[1] AS bucket, CASE WHEN contains(path, '/') THEN substr(path, strpos(path, '/') + 1) ELSE '' END AS object, string_split(path, '/')[-1] AS base FROM p"),
     "format_dispatch": (format_dispatch, "WITH p AS (SELECT page_id, 'f' || page_id || ['.TXT', '.pdf', '.docx?v=1', '.exe#x', ''][(page_id % 5 + 1)::INT] AS path FROM pages) SELECT page_id, path, lower(regexp_extract(path, '(\\.[^.?#/]+)(?:[?#].*)?$', 1)) AS extension FROM p"),
     "compressible": (compressible, "WITH d AS (SELECT doc_id, n_chars, ['.txt', '.pdf', '.html', '.JSON', ''][(doc_id % 5 + 1)::INT] AS e FROM documents) SELECT doc_id, n_chars BETWEEN 1024 AND 104857600 AND lower(e) IN ('.txt', '.html', '.json') AS compress, CASE WHEN doc_id % 2 = 0 THEN 'gzip' ELSE 'br' END AS encoding FROM d"),

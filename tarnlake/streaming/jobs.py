@@ -90,13 +90,17 @@ def run_jobs(spark: SparkSession, queue: str, out: str, checkpoint: str, handler
 
 
 def dedupe_contents(files: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Files whose content (MD5) is new, the first of each, and the duplicates of known files or of each other."""
+    """Files whose content (MD5) is new, the first of each, and the duplicates of known files or of each other, which
+    keep their path and hash but not their content. Only hashes and paths are shuffled to find them, aggregated first;
+    contents stay where they are until the paths of new files (unique) pick theirs."""
     hashed = files.withColumn("file_hash", F.md5("content"))
-    ranked = hashed.withColumn("_nth", F.row_number().over(Window.partitionBy("file_hash").orderBy("path")))
-    seen = known.select(F.col("file_hash").alias("_known")).distinct()
-    joined = ranked.join(seen, F.col("file_hash") == F.col("_known"), "left")
-    new = (F.col("_nth") == 1) & F.col("_known").isNull()
-    return joined.filter(new).drop("_nth", "_known"), joined.filter(~new).drop("_nth", "_known")
+    keys = hashed.select("path", "file_hash")
+    first = keys.groupBy("file_hash").agg(F.min("path").alias("_first"))
+    new = first.join(known.select("file_hash"), "file_hash", "left_anti")
+    own = new.select(F.col("_first").alias("path"), F.col("file_hash").alias("_own"))
+    fresh = hashed.join(own.select("path"), "path", "left_semi")
+    again = keys.join(own, "path", "left").filter("_own is null").select("path", "file_hash")
+    return fresh, again
 
 
 def tumbling_counts(events: DataFrame, at: str, kind: str, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:

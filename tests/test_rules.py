@@ -2,12 +2,14 @@
 
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tarnlake.errors import InvalidArgument
 from tarnlake.functions import text as T
 from tarnlake.functions.registry import embedder, generator, register_sql
+from tarnlake.functions.vectors import cosine, cosine_to, cosines_to
 from tarnlake.operators import dialogue, health, paging, predicates, relational, scoring, search
 from tarnlake.operators.chunking import Packer, structure
 from tarnlake.sources import fixtures
@@ -46,7 +48,7 @@ def test_headings(spark):
     assert value(spark, "TIỂU ĐƯỜNG", T.is_txt_heading) and value(spark, "ghi chú:", T.is_txt_heading) and not value(spark, "Thường", T.is_txt_heading)
     assert value(spark, "Điều trị", T.is_valid_heading) and not value(spark, "Bệnh là một", T.is_valid_heading) and not value(spark, "a.b", T.is_valid_heading)
     assert value(spark, "x mới chọn: y", T.is_noise_block)
-    assert value(spark, "các loại đái tháo", lambda a: T.cuts_phrase(a, F.lit("đường và insulin"))) and not value(spark, "một", lambda a: T.cuts_phrase(a, F.lit("hai")))
+    assert value(spark, "các loại đái tháo đ", lambda a: T.cuts_phrase(a, F.lit("ường và insulin"))) and not value(spark, "các loại đái tháo", lambda a: T.cuts_phrase(a, F.lit("đường và insulin"))) and not value(spark, "một", lambda a: T.cuts_phrase(a, F.lit("hai")))
 
 
 def test_guard(spark):
@@ -112,6 +114,45 @@ def test_labels_and_routes(spark):
     assert got == ["status", "rag", "guidance", "greeting"]
 
 
+def test_older_labels(spark):
+    cases = {
+        "xin chào, tôi mệt quá": "invalid", "Xin chào": "greeting", "gần đây so với trước": "trend_analysis", "so với của tôi": "relational",
+        "chỉ số của tôi": "personal_info", "tôi bị sốt": "rag_only", "hello, xu hướng": "greeting",
+    }
+    assert {q: value(spark, q, dialogue.older_label) for q in cases} == cases
+    model = lambda q, label: value(spark, q, lambda c: dialogue.older_label(c, F.lit(label)))
+    assert [model("xin chào", " Relational "), model("xin chào", "other"), model("xin chào", None)] == ["relational", "rag_only", "greeting"]
+
+
+def test_structure_follows_the_brackets(spark):
+    texts = [
+        "[HEADING]a [1] b[/HEADING] c", "x [HEADING]a [1] b[/HEADING] c", "[HEADING]A\nB[/HEADING]\n\n text \x01 more[PAGE_BREAK]\n[PAGE_BREAK] [HEADING][/HEADING]",
+        "no marks", "", "[HEADING]open", "[HEADING]a[/HEADING][HEADING]b[/HEADING]tail [/HEADING]",
+    ]
+    for t in texts:
+        got = [(b.kind, "" if b.kind == "page_break" else b.content) for b in value(spark, t, T.blocks)]
+        assert got == structure(t)
+    assert structure(texts[0]) == [("heading", "a [1] b c")] and structure(texts[1]) == [("paragraph", "x [HEADING]a [1] b[/HEADING] c")]
+    assert structure(texts[2])[:2] == [("heading", "A\nB"), ("paragraph", "text \x01 more")]
+
+
+def test_markdown_tags(spark):
+    assert value(spark, "[HEADING]A[/HEADING]text[SUBHEADING]B[/SUBHEADING]more", T.to_markdown_tags) == "### A\ntext#### B\nmore"
+    assert value(spark, " [HEADING]A[/HEADING]\n", T.strip_heading_tags) == "A"
+
+
+@pytest.mark.parametrize("size", [64, 768])
+def test_cosines_in_one_pass(spark, size):
+    rng = np.random.default_rng(1)
+    rows, queries = rng.normal(size=(50, size)), rng.normal(size=(3, size)).tolist()
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)] + [(50, None), (51, [0.0] * size), (52, [1.0])], "id int, v array<float>")
+    got = {r.id: r.s for r in df.select("id", cosines_to(F.col("v"), queries).alias("s")).collect()}
+    want = (rows @ np.array(queries).T) / np.linalg.norm(rows, axis=1)[:, None] / np.linalg.norm(queries, axis=1)
+    assert np.allclose([got[i] for i in range(50)], want, atol=1e-6) and all(got[i] == [None] * 3 for i in (50, 51, 52))
+    one = df.filter("id < 50").select(F.col("id"), cosine_to(F.col("v"), queries[1]).alias("s"), cosine(F.col("v"), F.lit(queries[1])).alias("t")).collect()
+    assert all(abs(r.s - r.t) < 1e-12 and abs(r.s - want[r.id, 1]) < 1e-6 for r in one)
+
+
 def test_fusion(spark):
     ranked = spark.createDataFrame([("x", 1), ("y", 2), ("y", 1)], "id string, rank int")
     rows = search.fuse(ranked, "id").collect()
