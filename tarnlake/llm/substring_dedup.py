@@ -1,4 +1,4 @@
-"""Removal of repeated spans of words, by a sparse de Bruijn graph of token k-mers compacted in Spark."""
+"""Removal of repeated spans of words: a de Bruijn graph of token windows, compacted by joins, and their coordinates."""
 
 from __future__ import annotations
 
@@ -12,22 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
-from tarnlake.llm.common import arrow_schema, as_batch, documents, row_count, slices, stored
+from tarnlake.llm.common import arrow_schema, as_batch, attach, documents, row_count, slices, stored
 from tarnlake.llm.vec import Bits, mix, range_hashes, rolling, sliding_argmin, text_bytes, word_hashes, words
 
-#: Spreads a word's place over the bits of its text's hash; a place below 2^33 times this fits 64 bits.
-SPOT = 1_000_000_007
-
-
 def edges_of(column: pa.Array, window: int, k: int) -> dict[str, np.ndarray]:
     """The graph's edges in a batch of texts.
 
-    Of the k-mers in each window of `window` words, the one with the smallest hash (the first, if equal) is the
-    window's node. Windows in a row that share a node are one edge: `node`, the row `doc` of the text, the word
-    `start` in the text where its first window starts, the number of `windows`, hashes h1 and h2 of all words it
-    spans with the node's place among them, and `around`, a hash of the edge with the nodes before and after it.
-    Equal windows have equal nodes, wherever they stand. `first` is the start counted in the batch, whose words have
-    the hashes w1 and w2.
+    The graph's k-mers are windows of `window` words; each is an edge from its first words to its last. Neighbouring
+    windows that share their minimiser (of the runs of k words in a window the one with the smallest hash, the first if
+    equal) are one edge here, as they come in one row: `node` is the minimiser, `doc` the row of the text, `start` the
+    word in the text where the first window starts, `windows` their number; h1 and h2 are hashes of all words spanned
+    with the minimiser's place among them; `after` is the next edge's minimiser (0: none), and `around` a hash of the
+    edge with the minimisers before and after it. Equal windows have equal minimisers, wherever they stand. `first` is
+    the start counted in the batch, whose words have the hashes w1 and w2.
     """
     data, offsets = text_bytes(column)
     first, last, doc = words(data, offsets)
@@ -52,21 +49,16 @@ def edges_of(column: pa.Array, window: int, k: int) -> dict[str, np.ndarray]:
     e1, e2 = range_hashes(h1, start, end, 5) + shift, range_hashes(h2, start, end, 6) ^ shift
     return {
         "node": node, "doc": doc, "start": start - base[doc] if len(start) else start, "windows": count, "h1": e1, "h2": e2,
-        "around": mix(e1 ^ mix(before ^ mix(after))), "first": start, "w1": h1, "w2": h2,
+        "after": after, "around": mix(e1 ^ mix(before ^ mix(after))), "first": start, "w1": h1, "w2": h2,
     }
 
 
-def paths_of(e: dict[str, np.ndarray], inner: np.ndarray, window: int) -> dict[str, np.ndarray]:
-    """Longest runs of inner edges in a text, compacted: doc, start, windows, and hashes k1 and k2 of all words spanned."""
-    edges = np.flatnonzero(inner)
-    new = np.ones(len(edges), bool)
-    new[1:] = (edges[1:] != edges[:-1] + 1) | (e["doc"][edges[1:]] != e["doc"][edges[:-1]])
-    begin, stop = edges[new], edges[np.append(np.flatnonzero(new)[1:] - 1, len(edges) - 1)] if len(edges) else edges
-    first, end = e["first"][begin], e["first"][stop] + e["windows"][stop]
-    return {
-        "doc": e["doc"][begin], "start": e["start"][begin], "windows": end - first,
-        "k1": range_hashes(e["w1"], first, end + window - 1, 9), "k2": range_hashes(e["w2"], first, end + window - 1, 10),
-    }
+def window_hashes(e: dict[str, np.ndarray], on: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of the edges `on`, one after the other, and len + 1 offsets."""
+    width = e["windows"][on]
+    ends = np.concatenate([[0], np.cumsum(width)])
+    at = np.repeat(e["first"][on] - ends[:-1], width) + np.arange(ends[-1])
+    return range_hashes(e["w2"], at, at + window, 8), ends
 
 
 def _int64(x: np.ndarray) -> pa.Array:
@@ -78,13 +70,14 @@ def mark_repeats(rows: DataFrame, name: str) -> DataFrame:
 
     Rows are sorted by key and place over ranges of both, so a key with any share of the rows is spread over as many
     tasks as its rows need; each task reads its rows once, in order. Only of the rows with a task's first key and place
-    it can't tell; the last key of the task before settles that: two keys a task go to the driver.
+    it can't tell; the last key of the task before settles that: two keys a task go to the driver. `hashes`, if there,
+    becomes null in repeats.
     """
     spark = rows.sparkSession
     order = ["k1", "k2", "none", "doc_id", "start"]
     dealt = rows.withColumn("none", F.col("doc_id").isNull()).repartitionByRange(*order).sortWithinPartitions(*order)
     dealt = dealt.select("k1", "k2", *[c for c in rows.columns if c not in ("k1", "k2")])
-    schema = StructType([*dealt.schema.fields[2:], StructField("repeat", BooleanType()), StructField("task", LongType()), StructField("edge", ArrayType(LongType()))])
+    schema = StructType([*(StructField(f.name, f.dataType) for f in dealt.schema.fields[2:]), StructField("repeat", BooleanType()), StructField("task", LongType()), StructField("edge", ArrayType(LongType()))])
     target, at = arrow_schema(schema), {c: i for i, c in enumerate(dealt.columns)}
 
     def run(batches):
@@ -116,7 +109,10 @@ def mark_repeats(rows: DataFrame, name: str) -> DataFrame:
             first_run &= not len(at_key)
             moved = bool(repeat[-1])
             before = [x.slice(n, 1) for x in place]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(repeat, mask=open_), pa.array(np.full(n, task)), pa.array(edge, pa.list_(pa.int64()))], schema=target)
+            own = batch.columns[2:]
+            if "hashes" in at:
+                own[at["hashes"] - 2] = pc.if_else(pa.array(repeat), pa.scalar(None, own[at["hashes"] - 2].type), own[at["hashes"] - 2])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(repeat, mask=open_), pa.array(np.full(n, task)), pa.array(edge, pa.list_(pa.int64()))], schema=target)
         if before is not None:
             last = {f.name: None for f in target} | {"task": task, "edge": [before[0][0].as_py(), before[1][0].as_py(), 1]}
             yield pa.RecordBatch.from_pylist([last], schema=target)
@@ -129,18 +125,40 @@ def mark_repeats(rows: DataFrame, name: str) -> DataFrame:
     return known.withColumn("repeat", F.coalesce("repeat", F.col("task").isin(continued))).drop("task")
 
 
+def path_lengths(nodes: DataFrame, name: str = "debruijn-paths", most_rounds: int = 64) -> DataFrame:
+    """node, n and windows of each nonbranching path's first node, from all nonbranching nodes (node, n, after, windows).
+
+    A node is joined with the one after it, if that doesn't branch either; what none comes before begins a path. Then
+    every node takes its successor's successor and adds up the windows between, so that steps double in each round, until
+    all have come to their path's end. Rounds are stored tables; a path of 2^r edges takes r of them.
+    """
+    next_ = nodes.select(F.col("node").alias("_next"))
+    linked = stored(nodes.join(next_, F.col("after") == F.col("_next"), "left").select("node", "n", "windows", F.col("_next").alias("to")), f"{name}-0")
+    heads = stored(linked.join(linked.select(F.col("to").alias("_to")), F.col("node") == F.col("_to"), "left_anti").select("node", "n"), f"{name}-heads")
+    steps = linked.select("node", "windows", "to")
+    for number in range(1, most_rounds):
+        active = steps.filter("to is not null")
+        if not active.head(1):
+            break
+        on = steps.select(F.col("node").alias("_node"), F.col("windows").alias("_w"), F.col("to").alias("_to"))
+        moved = active.join(on, F.col("to") == F.col("_node")).select("node", (F.col("windows") + F.col("_w")).alias("windows"), F.col("_to").alias("to"))
+        steps = stored(steps.filter("to is null").unionByName(moved), f"{name}-{number}")
+    return heads.join(steps.select("node", "windows"), "node")
+
+
 def repeated_spans(docs: DataFrame, window: int = 20, k: int = 8) -> DataFrame:
-    """Spans of words, all of whose windows also start earlier: uid, start, end.
+    """Spans of words, all of whose windows also start earlier: doc_id, uid, start, end.
 
     docs has doc_id, uid (a hash of id and text) and text without nulls. The steps:
-    1. The nodes of all texts are joined by hash (aggregated before the shuffle): which repeat, and which have the same
-       edge and the same neighbours wherever they occur, so that the graph doesn't branch there. Both go into Bits.
-    2. Texts are read again. Runs of nodes that don't branch are compacted into one path each, with one row; nodes that
-       repeat and branch give one row per edge; all other text, usually most of it, none. mark_repeats joins equal
-       paths and edges by 128-bit hashes of all their words: all but the earliest, by source coordinates, are repeats
-       as a whole.
-    3. Edges at one branching node may share windows though they differ. Of each such edge the earliest place is read
-       a third time and gives one row per window, and mark_repeats finds the windows that also start earlier.
+    1. All texts' edges are grouped by minimiser (counted before the shuffle). Minimisers that occur once can't repeat.
+       Those that always have the same edge between the same neighbours don't branch; the others do.
+    2. path_lengths compacts nonbranching edges into paths by joins. A path is the same words wherever its first edge is.
+    3. Texts are read again for the places of paths' first edges, joined to the paths' lengths, and of branching edges.
+       Which minimisers are wanted is told by Bits, whose false answers the join removes (first edges), or which are
+       edges that don't repeat (others): a row each. mark_repeats finds the earliest place of each path and edge, by
+       128-bit hashes of all words and source coordinates; all others are repeats as a whole.
+    4. Edges at one branching minimiser may share windows though they differ. The first places of such edges, joined to
+       the branching minimisers, give a row per window, and mark_repeats finds the windows that also start earlier.
     """
     spark = docs.sparkSession
     d = docs.select("doc_id", "uid", "text")
@@ -148,52 +166,44 @@ def repeated_spans(docs: DataFrame, window: int = 20, k: int = 8) -> DataFrame:
     def nodes(batches):
         for batch in slices(batches, 0, 2 << 20):
             e = edges_of(batch.column(0), window, k)
-            yield pa.RecordBatch.from_arrays([_int64(e["node"]), _int64(e["around"])], ["node", "around"])
-
-    seen = d.select("text").mapInArrow(nodes, "node bigint, around bigint").groupBy("node")
-    seen = seen.agg(F.count("*").alias("n"), F.min("around").alias("low"), F.max("around").alias("high")).filter("n > 1")
-    seen = stored(seen.select("node", (F.col("low") != F.col("high")).alias("branches")), "debruijn-nodes")
-    counts = {r.branches: r["count"] for r in seen.groupBy("branches").count().collect()}
-    branching, inner = (Bits.collected(seen.filter(F.col("branches") == b), "node", counts.get(b, 0)) for b in (True, False))
-    shared = spark.sparkContext.broadcast((branching, inner))
-    fields = [StructField("k1", LongType()), StructField("k2", LongType()), d.schema["doc_id"], *(StructField(n, LongType()) for n in ("uid", "start", "windows")), StructField("branches", BooleanType())]
+            yield pa.RecordBatch.from_arrays([_int64(e[c]) for c in ("node", "around", "after", "windows")], ["node", "around", "after", "windows"])
+
+    seen = d.select("text").mapInArrow(nodes, "node bigint, around bigint, after bigint, windows bigint").groupBy("node")
+    seen = seen.agg(F.count("*").alias("n"), F.min("around").alias("low"), F.max("around").alias("high"), F.max("after").alias("after"), F.max("windows").alias("windows")).filter("n > 1")
+    seen = stored(seen.select("node", "n", (F.col("low") != F.col("high")).alias("branches"), "after", "windows"), "debruijn-nodes")
+    branching = seen.filter("branches").select("node", "n")
+    paths = stored(path_lengths(seen.filter("not branches").select("node", "n", "after", "windows")), "debruijn-paths")
+    wanted = [Bits.collected(x, "node", row_count(x)) for x in (paths, branching)]
+    shared = spark.sparkContext.broadcast(wanted)
+    fields = [StructField("k1", LongType()), StructField("k2", LongType()), d.schema["doc_id"], *(StructField(n, LongType()) for n in ("uid", "start", "windows", "node")), StructField("hashes", ArrayType(LongType()))]
     schema = StructType(fields)
     target = arrow_schema(schema)
 
-    def rows_of(batch, k1, k2, doc, start, width, branches):
-        take = pa.array(doc)
-        arrays = [_int64(k1), _int64(k2), batch.column(0).take(take), batch.column(1).take(take), _int64(start), _int64(width), pa.array(branches)]
-        return pa.RecordBatch.from_arrays(arrays, schema=target)
-
-    def paths_and_edges(batches):
-        branching, inner = shared.value
+    def places(batches):
+        """First edges of paths, without hashes, and branching edges with those of their windows."""
+        begins, branches = shared.value
         for batch in slices(batches, 2, 2 << 20):
             e = edges_of(batch.column(2), window, k)
-            many = branching.has(e["node"])
-            p = paths_of(e, inner.has(e["node"]) & ~many, window)
-            join = lambda x, y: np.concatenate([p[x], e[y][many]])
-            branches = np.repeat([False, True], [len(p["doc"]), int(many.sum())])
-            yield rows_of(batch, join("k1", "h1"), join("k2", "h2"), join("doc", "doc"), join("start", "start"), join("windows", "windows"), branches)
-
-    edges = mark_repeats(stored(d.mapInArrow(paths_and_edges, schema), "debruijn-edges"), "debruijn-marked")
-    spot = F.col("uid").bitwiseXOR(F.col("start") * F.lit(SPOT)).alias("spot")
-    firsts = edges.filter("branches and not repeat").select(spot)
-    read_again = spark.sparkContext.broadcast(Bits.collected(firsts, "spot", row_count(firsts)))
-
-    def windows(batches):
-        for batch in slices(batches, 2, 2 << 20):
-            e = edges_of(batch.column(2), window, k)
-            uid = batch.column(1).to_numpy().view(np.uint64)[e["doc"]]
-            on = np.flatnonzero(shared.value[0].has(e["node"]) & read_again.value.has(uid ^ (e["start"].astype(np.uint64) * np.uint64(SPOT))))
-            width = e["windows"][on]
-            each = np.repeat(on, width)
-            within = np.arange(len(each)) - np.repeat(np.cumsum(width) - width, width)
-            at = e["first"][each] + within
-            k1, k2 = (rolling(e[w], window, s)[at] if len(at) else np.empty(0, np.uint64) for w, s in (("w1", 7), ("w2", 8)))
-            yield rows_of(batch, k1, k2, e["doc"][each], e["start"][each] + within, np.ones(len(each), np.int64), np.ones(len(each), bool))
-
-    single = mark_repeats(stored(d.mapInArrow(windows, schema), "debruijn-windows"), "debruijn-windows-marked")
-    return edges.unionByName(single).filter("repeat").select("uid", "start", (F.col("start") + F.col("windows") + window - 1).alias("end"))
+            of_path, of_edge = np.flatnonzero(begins.has(e["node"])), np.flatnonzero(branches.has(e["node"]))
+            on = np.concatenate([of_path, of_edge])
+            flat, ends = window_hashes(e, of_edge, window)
+            offsets = pa.array(np.concatenate([np.zeros(len(of_path), np.int32), ends.astype(np.int32)]), mask=np.arange(len(on) + 1) < len(of_path))
+            take = pa.array(e["doc"][on])
+            arrays = [_int64(e["h1"][on]), _int64(e["h2"][on]), batch.column(0).take(take), batch.column(1).take(take), *(_int64(e[c][on]) for c in ("start", "windows", "node"))]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(offsets, _int64(flat))], schema=target)
+
+    found = stored(d.mapInArrow(places, schema), "debruijn-places")
+    begins = found.filter("hashes is null").drop("windows")
+    lengths = paths.select("node", "n", "windows")
+    begins = attach(begins, lengths, ["node"], "n", row_count(begins)).filter("windows is not null").drop("n")
+    marked = mark_repeats(begins.select(found.columns).unionByName(found.filter("hashes is not null")), "debruijn-marked")
+    first = marked.filter("not repeat and hashes is not null").select("doc_id", "uid", "start", "node", "hashes")
+    first = attach(first, branching, ["node"], "n", row_count(first)).filter("n is not null")
+    each = first.select(F.col("node").alias("k1"), "doc_id", "uid", "start", F.posexplode("hashes").alias("pos", "k2"))
+    each = each.select("k1", "k2", "doc_id", "uid", (F.col("start") + F.col("pos")).alias("start"), F.lit(1).cast("bigint").alias("windows"))
+    single = mark_repeats(each, "debruijn-windows")
+    spans = marked.drop("hashes", "node").unionByName(single).filter("repeat")
+    return spans.select("doc_id", "uid", "start", (F.col("start") + F.col("windows") + window - 1).alias("end"))
 
 
 def kept_words(text: bytes, ranges: list[tuple[int, int]]) -> tuple[int, list[bytes]]:
@@ -216,7 +226,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(d, window, k)
-    gone = spans.distinct().groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    gone = spans.distinct().groupBy("doc_id", "uid").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     gone = stored(gone, "substring-ranges")
     some = d.sparkSession.sparkContext.broadcast(Bits.collected(gone, "uid", row_count(gone)))
     result = "kept_sha256" if digests else "kept"
@@ -239,7 +249,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
                 out[result].append(None if waits else finish(kept))
             yield as_batch(out, target)
 
-    met = d.select("doc_id", "text", "uid").mapInArrow(whole, schema).join(gone.withColumnRenamed("uid", "_uid"), F.col("uid") == F.col("_uid"), "left").drop("_uid", "uid")
+    met = d.select("doc_id", "text", "uid").mapInArrow(whole, schema).join(gone.withColumnsRenamed({"uid": "_uid", "doc_id": "_id"}), (F.col("uid") == F.col("_uid")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id", "_uid", "uid")
     final = StructType([d.schema["doc_id"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256" if digests else "text", StringType())])
     final_target = arrow_schema(final)
 

@@ -110,7 +110,7 @@ class Bits:
     """A set of 64-bit hashes kept as bits: finds all that are in it, and a few that aren't. At most 2^MOST bits (16 MB)
     however many are put in; an overfull one finds more, which costs work and never changes a result."""
 
-    MOST = 27
+    LEAST, MOST = 10, 27
 
     def __init__(self, size: int):
         self.bits = np.zeros(1 << (size - 6), np.uint64)
@@ -121,7 +121,7 @@ class Bits:
         """Of the column's values; tasks join bits by word, so the driver gets 2^MOST / 64 words at most."""
         from pyspark.sql import functions as F
 
-        out = cls(min(cls.MOST, max(10, (16 * count).bit_length())))
+        out = cls(min(cls.MOST, max(cls.LEAST, (16 * count).bit_length())))
         place = F.col(hash_col).bitwiseAND(F.lit(int(out.mask)))
         word = F.shiftright(place, 6).alias("word")
         bit = F.expr(f"shiftleft(1L, cast(`{hash_col}` & 63 as int))").alias("bit")

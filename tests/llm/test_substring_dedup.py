@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from tests.llm.cases import awkward, documents
 
-from tarnlake.llm.substring_dedup import substring_dedup
+from tarnlake.llm.substring_dedup import path_lengths, substring_dedup
 from tarnlake.llm.vec import Bits, rolling, sliding_argmin, text_bytes, word_hashes, words
 
 
@@ -45,6 +45,37 @@ def test_random_repeats_with_few_words(spark):
     assert result(substring_dedup(docs, window=6, k=3, digests=True)) == brute(docs.collect(), 6)
 
 
+def test_more_nodes_than_the_sets_hold(spark, monkeypatch):
+    """Sets of 64 bits say yes to everything: more rows are read, and the result is the same."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(400)]
+    passages = [" ".join(rng.choice(words, 60)) for _ in range(40)]
+    rows = [(i, " ".join([" ".join(rng.choice(words, 30)), passages[int(rng.integers(40))], passages[int(rng.integers(40))][: int(rng.integers(50, 300))], " ".join(rng.choice(words, 30))])) for i in range(150)]
+    docs = documents(spark, rows)
+    want = brute(docs.collect(), 20)
+    assert sum(r[2] for r in want) > 3000 and result(substring_dedup(docs, digests=True)) == want
+    monkeypatch.setattr(Bits, "MOST", 6)
+    monkeypatch.setattr(Bits, "LEAST", 6)
+    assert result(substring_dedup(docs, digests=True)) == want
+
+
+def test_paths_are_compacted_by_joins(spark):
+    """Chains of 1, 2, 5 and 300 nodes, of one edge each, and a chain that leads into a branching node."""
+    chains = [[1], [2, 3], [10, 11, 12, 13, 14], list(range(1000, 1300)), [50, 51]]
+    after = {a: b for c in chains for a, b in zip(c, c[1:])} | {51: 99}
+    nodes = spark.createDataFrame([(n, 2, after.get(n, 0), n % 7 + 1) for c in chains for n in c], "node bigint, n bigint, after bigint, windows bigint")
+    got = {r.node: r.windows for r in path_lengths(nodes).collect()}
+    assert got == {c[0]: sum(n % 7 + 1 for n in c) for c in chains}
+
+
+def test_long_copies(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(5000)]
+    long = " ".join(rng.choice(words, 6000))
+    docs = documents(spark, [(1, f"a {long} b"), (2, long), (3, f"{long} {long[: len(long) // 2]}"), (None, long), (5, " ".join(long.split()[100:4000]))])
+    assert result(substring_dedup(docs, digests=True)) == brute(docs.collect(), 20)
+
+
 def test_text_and_empty(spark):
     assert substring_dedup(documents(spark, [])).count() == 0
     line = " ".join(f"w{i}" for i in range(30))
