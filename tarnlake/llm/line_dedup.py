@@ -37,8 +37,8 @@ def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("pos").alias("pos"))
     sources = windows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("source")).filter("n > 1")
     repeats = attach(windows, sources, ["k1", "k2"], "n", row_count(windows)).filter(F.col("source").isNotNull() & (place > F.col("source")))
-    gone = repeats.select(F.col("uid").alias("_uid"), "pos").distinct().groupBy("_uid").agg(F.collect_list("pos").alias("_at"))
-    out = d.join(gone, F.col("uid") == F.col("_uid"), "left").withColumn("_lines", F.split("text", "\n"))
+    gone = repeats.select(F.col("doc_id").alias("_id"), F.col("uid").alias("_uid"), "pos").distinct().groupBy("_id", "_uid").agg(F.collect_list("pos").alias("_at"))
+    out = d.join(gone, (F.col("uid") == F.col("_uid")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("_lines", F.split("text", "\n"))
     covered = F.flatten(F.transform("_at", lambda p: F.sequence(p, p + size - 1)))
     kept = F.when(F.col("_at").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), covered))
     out = out.withColumn("_kept", kept)
