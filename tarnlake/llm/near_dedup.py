@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.llm.common import attach, documents, row_count, slices, stored
@@ -219,31 +219,41 @@ def components(links: DataFrame, name: str) -> DataFrame:
 
     Every node takes the smallest label among its own and its neighbours', and then that label's label, so that paths
     get shorter by half in a round, until no label moves. Labels are minimised before the shuffle, never gathered, and
-    stored in each round; plain joins, which Spark splits where a node has very many neighbours.
+    stored in each round. A node with very many neighbours, and a label that very many nodes have, meet them by
+    `attach`, so that no task gets them all.
     """
     one = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     edges = stored(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{name}-edges")
-    labels = stored(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label"), F.lit(True).alias("moved")).withColumnRenamed("u", "node"), f"{name}-0")
-    number = 0
+    total = row_count(edges)
+    first = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label"), F.count("*").alias("n"), F.lit(True).alias("moved"))
+    labels = stored(first.withColumnRenamed("u", "node"), f"{name}-0")
+    nodes, number = row_count(labels), 0
     while labels.filter("moved").head(1):
         number += 1
-        own = labels.select("node", "label")
-        near = edges.join(own.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("low"))
-        new = own.join(near, F.col("node") == F.col("u")).select("node", "label", F.least("label", "low").alias("low"))
-        onward = own.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        new = new.join(onward, F.col("low") == F.col("_n"), "left").withColumn("low", F.least("low", F.coalesce("_l", "low")))
-        labels = stored(new.select("node", F.col("low").alias("label"), (F.col("low") != F.col("label")).alias("moved")), f"{name}-{number}")
+        own = labels.select("node", "label", "n")
+        near = attach(edges, own.withColumnRenamed("node", "v"), ["v"], "n", total).groupBy("u").agg(F.min("label").alias("low"))
+        new = own.join(near, F.col("node") == F.col("u")).select("node", "label", "n", F.least("label", "low").alias("low"))
+        new = stored(new, f"{name}-{number}-low")
+        held = new.groupBy("low").agg(F.count("*").alias("holders"))
+        onward = held.join(own.select(F.col("node").alias("_n"), F.col("label").alias("to")), F.col("low") == F.col("_n")).drop("_n")
+        new = attach(new, onward, ["low"], "holders", nodes).withColumn("low", F.least("low", F.coalesce("to", "low")))
+        labels = stored(new.select("node", F.col("low").alias("label"), "n", (F.col("low") != F.col("label")).alias("moved")), f"{name}-{number}")
     return labels.select("node", "label")
 
 
-def links_of(members: DataFrame, elements: DataFrame, threshold: float, block: int = 256) -> DataFrame | None:
+def _blocks(some: Column, nodes: int, elements: int) -> Column:
+    """Into how many blocks a bucket's nodes are dealt: aggregate over the rows for which `some` holds."""
+    return F.greatest(F.ceil(F.count_if(some) / nodes), F.ceil(F.coalesce(F.sum(F.when(some, F.col("size"))), F.lit(0)) / elements))
+
+
+def links_of(members: DataFrame, elements: DataFrame, threshold: float, block: int = 128, block_elements: int = 1 << 18) -> DataFrame | None:
     """Labels (node, label) of the components of all nodes that are alike in a bucket, from members (bucket, node, size);
     None if no two nodes share one.
 
     1. Every node of a bucket is compared with its lead, the smallest by (size, node).
     2. What the lead has left open: buckets whose other nodes are in more than one component. Their nodes are dealt
-       into blocks of about `block`, those of the lead's component into others than the rest, and each block of the rest
-       is compared with every block, by one matrix product in a task of its own that gives at most a link per node.
+       into blocks of about `block` nodes, or fewer if they have more than block_elements elements (a single text may
+       have more), those of the lead's component into others than the rest, and each block of the rest is compared with every block, by one matrix product in a task of its own that gives at most a link per node.
        Blocks of the lead's component aren't compared with each other, so a bucket of n copies takes n comparisons.
        Buckets with equal nodes, as bands often have, are done once.
     """
@@ -262,14 +272,14 @@ def links_of(members: DataFrame, elements: DataFrame, threshold: float, block: i
     open_ = stored(open_.withColumn("rest", F.col("label") != F.col("top_label")), "near-open")
     if not open_.head(1):
         return labels
-    parts = open_.groupBy("bucket").agg(F.count("*").alias("n2"), F.ceil(F.count_if("rest") / block).alias("r"), F.ceil(F.count_if(~F.col("rest")) / block).alias("c"))
+    parts = open_.groupBy("bucket").agg(F.count("*").alias("n2"), _blocks(F.col("rest"), block, block_elements).alias("r"), _blocks(~F.col("rest"), block, block_elements).alias("c"), (_blocks(F.lit(True), block, block_elements) > 1).alias("many"))
     dealt = attach(open_.drop("n"), parts, ["bucket"], "n2", row_count(open_))
     hashed, zero = F.xxhash64("node"), F.lit(0).cast("bigint")
-    mine = F.when(F.col("n2") <= block, zero).when(F.col("rest"), F.pmod(hashed, "r")).otherwise(F.col("r") + F.pmod(hashed, F.greatest("c", F.lit(1))))
+    mine = F.when(~F.col("many"), zero).when(F.col("rest"), F.pmod(hashed, "r")).otherwise(F.col("r") + F.pmod(hashed, F.greatest("c", F.lit(1))))
     dealt = dealt.withColumn("mine", mine)
     # pairs of blocks (i, j), i <= j, of which i is one of the rest
     to = lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j"))
-    count = F.when(F.col("n2") <= block, F.lit(1)).when(F.col("rest"), F.col("r") + F.col("c")).otherwise(F.col("r")).cast("bigint")
+    count = F.when(~F.col("many"), F.lit(1)).when(F.col("rest"), F.col("r") + F.col("c")).otherwise(F.col("r")).cast("bigint")
     tasks = dealt.select("bucket", "node", "label", "mine", F.explode(F.transform(F.sequence(zero, count - 1), to)).alias("t"))
     rows = tasks.select("bucket", "t.i", "t.j", "node", "label", F.when(F.col("t.i") != F.col("t.j"), F.col("mine") != F.col("t.i")).otherwise(F.lit(False)).alias("side"))
     rows = rows.join(elements.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n")
@@ -333,7 +343,8 @@ def near_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 
 def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
-    """The rows of docs, with all their columns, that are kept by near_classes. Ids are taken to be unique."""
+    """The rows of docs, with all their columns, that are kept by near_classes. Rows that share an id, null included, stay
+    if one of them does; null and empty texts are one class, of which the smallest id stays."""
     kept = near_classes(docs, text_col, id_col, threshold).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
 
