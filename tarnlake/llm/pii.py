@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
+from heapq import merge
 from itertools import product
 
 import numpy as np
@@ -32,19 +34,40 @@ LOOSE = [
     (ID, re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     (SECRET, re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")),
 ]
-#: Gazetteer: words that announce a kind when they stand shortly before it.
+# The gazetteer. Words that announce a kind when they stand shortly before it, given names, and places.
 HINTS = {
-    EMAIL: ["mail", "contact", "write to", "correo", "courriel"],
-    IP: ["ip", "host", "server", "addr", "login"],
-    CARD: ["card", "visa", "credit", "payment", "karte", "carte", "tarjeta"],
-    PHONE: ["phone", "tel", "call", "fax", "mobile"],
-    SECRET: ["token", "key", "secret", "password", "passwd", "bearer", "credential"],
-    ID: ["ssn", "social", "passport", "tax", "identity"],
+    EMAIL: ["mail", "email", "e-mail", "contact", "write to", "reach", "correo", "courriel"],
+    IP: ["ip", "host", "server", "addr", "address", "login", "logged in from"],
+    CARD: ["card", "visa", "mastercard", "credit", "payment", "paid with", "karte", "carte", "tarjeta"],
+    PHONE: ["phone", "telephone", "tel", "call", "fax", "mobile", "cell"],
+    SECRET: ["token", "key", "api_key", "apikey", "secret", "password", "passwd", "bearer", "credential"],
+    ID: ["ssn", "social", "social security", "passport", "tax", "identity", "id"],
 }
+NAMES = [
+    "james", "mary", "john", "patricia", "robert", "jennifer", "michael", "linda", "david", "elizabeth", "william", "barbara", "richard", "susan", "joseph", "jessica",
+    "thomas", "sarah", "anna", "peter", "maria", "jose", "juan", "carmen", "antonio", "ana", "luis", "laura", "hans", "klaus", "petra", "ursula", "jean", "pierre",
+    "marie", "claire", "sophie", "paul", "lucas", "emma", "nguyen", "minh", "lan", "wei", "li", "chen", "ahmed", "fatima", "omar", "aisha",
+]
+PLACES = [
+    "london", "paris", "berlin", "madrid", "rome", "new york", "chicago", "boston", "san francisco", "los angeles", "toronto", "sydney", "hanoi", "tokyo", "delhi",
+    "street", "avenue", "road", "suite", "apt", "zip", "calle", "rue", "platz",
+]
 LABELERS = ["pattern", "checksum", "gazetteer", "context", "shape"]
+#: How many values each further feature of a candidate has: its size, a name or place before it, its share of digits,
+#: what follows it, and whether it begins its line.
+EXTRAS = (4, 2, 4, 3, 2)
 BEFORE = 24
 
 
+def _listed(words: list[str]) -> re.Pattern:
+    """Any of the words, whole."""
+    return re.compile(r"(?<![^\W\d])(?:" + "|".join(map(re.escape, sorted(words, key=len, reverse=True))) + r")s?(?![^\W\d])")
+
+
+ANNOUNCED = {kind: _listed(words) for kind, words in HINTS.items()}
+PERSONAL = _listed([*NAMES, *PLACES])
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -57,8 +80,16 @@ def _emails(text: str):
     end = 0
     at = text.find("@")
     while at >= 0:
-        # The run of local characters before the sign; what an earlier match took is no part of it.
-        start = end + len(text[end:at].rstrip(LOCAL))
+        # The run of local characters before the sign; what an earlier match took is no part of it. No sign is in it, so
+        # the stretches looked at, however they grow, add up to a few times the text.
+        span = 64
+        while True:
+            low = max(end, at - span)
+            left = text[low:at].rstrip(LOCAL)
+            if left or low == end:
+                break
+            span *= 4
+        start = low + len(left)
         m = DOMAIN.match(text, at + 1)
         if m and start < at:
             end = m.end()
@@ -97,7 +128,7 @@ def votes(text: str, kind: int, start: int, end: int, is_base: bool) -> list[int
         checksum = -1 if found.startswith(("000", "666", "9")) or found[4:6] == "00" or found.endswith("0000") else 1
     else:
         checksum = 1 if valid(kind, found) else -1
-    gazetteer = 1 if any(w in near for w in HINTS[kind]) else 0
+    gazetteer = 1 if ANNOUNCED[kind].search(near) else 0
     touching = (start > 0 and (text[start - 1].isalnum() or text[start - 1] == "_")) or (end < len(text) and (text[end].isalnum() or text[end] == "_"))
     context = -1 if touching else 1 if re.search(r"[=:]\s?[\"']?$", near) else 0
     digits = NOT_DIGIT.sub("", found)
@@ -105,8 +136,29 @@ def votes(text: str, kind: int, start: int, end: int, is_base: bool) -> list[int
     return [pattern, checksum, gazetteer, context, shape]
 
 
+def extras(text: str, start: int, end: int) -> list[int]:
+    """The further features of a candidate, by EXTRAS."""
+    found, line = text[start:end], text[max(0, start - BEFORE) : start]
+    digits = sum(c.isdigit() for c in found)
+    after = text[end : end + 1]
+    return [min(3, (end - start) // 12), int(PERSONAL.search(line.lower()) is not None), min(3, 4 * digits // len(found)), 0 if not after or after.isspace() else 1 if not after.isalnum() else 2, int(not line or line.endswith("\n"))]
+
+
+def disjoint(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that sorted spans cover."""
+    starts, ends = [], []
+    for s, e in spans:
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def candidates(text: str) -> list[tuple[int, int, int, int, bool]]:
-    """(start, kind, end, code, is_base): base spans, and looser ones that overlap none of them; code holds the votes and a size class."""
+    """(start, kind, end, code, is_base): base spans, and looser ones that overlap none of them nor one of an earlier
+    pattern; code holds the votes and extras."""
     if not SOME.search(text) and "at" not in text:
         return []
     base = base_spans(text)
@@ -115,28 +167,37 @@ def candidates(text: str) -> list[tuple[int, int, int, int, bool]]:
     for kind, form in LOOSE:
         if kind == EMAIL and not ("(at" in text or "[at" in text):
             continue
+        starts, ends = disjoint(taken)
+        new = []
         for m in form.finditer(text):
             if kind == SECRET and not re.search("[0-9]", m[0]):
                 continue
-            if not any(s < m.end() and m.start() < e for s, e in taken):
-                out.append((m.start(), kind, m.end(), False))
-                taken.append((m.start(), m.end()))
+            i = bisect_right(ends, m.start())
+            if i == len(ends) or starts[i] >= m.end():
+                new.append(m.span())
+        out += [(s, kind, e, False) for s, e in new]
+        taken = list(merge(taken, new))
     rows = []
     for start, kind, end, is_base in sorted(out):
         code = 0
         for v in votes(text, kind, start, end, is_base):
             code = code * 3 + v + 1
-        rows.append((start, kind, end, code * 4 + min(3, (end - start) // 12), is_base))
+        for value, size in zip(extras(text, start, end), EXTRAS, strict=True):
+            code = code * size + value
+        rows.append((start, kind, end, code, is_base))
     return rows
 
 
-def decode(code: int) -> tuple[list[int], int]:
-    """The votes and the size class in a code."""
-    size, code, out = code % 4, code // 4, []
+def decode(code: int) -> tuple[list[int], list[int]]:
+    """The votes and the extras in a code."""
+    more, out = [], []
+    for size in reversed(EXTRAS):
+        more.append(code % size)
+        code //= size
     for _ in LABELERS:
         out.append(code % 3 - 1)
         code //= 3
-    return out[::-1], size
+    return out[::-1], more[::-1]
 
 
 def expectation_maximisation(kinds: np.ndarray, table: np.ndarray, counts: np.ndarray, rounds: int = 50):
@@ -174,26 +235,36 @@ def train_classifier(features: np.ndarray, target: np.ndarray, counts: np.ndarra
 
 
 def features(kinds: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """One-hot columns of kind, each labeler's vote and size class, with a constant."""
-    rows = np.zeros((len(codes), 1 + len(KINDS) + 3 * len(LABELERS) + 4))
+    """One-hot columns of kind, each labeler's vote and each of the extras, with a constant: the extras let the classifier
+    tell candidates apart that have the same votes."""
+    sizes = [len(KINDS), *[3] * len(LABELERS), *EXTRAS]
+    first = 1 + np.cumsum([0, *sizes[:-1]])
+    rows = np.zeros((len(codes), 1 + sum(sizes)))
     rows[:, 0] = 1
     for i, (kind, code) in enumerate(zip(kinds.tolist(), codes.tolist(), strict=True)):
-        vote, size = decode(code)
-        rows[i, [1 + kind, *(1 + len(KINDS) + 3 * j + v + 1 for j, v in enumerate(vote)), 1 + len(KINDS) + 3 * len(LABELERS) + size]] = 1
+        vote, more = decode(code)
+        rows[i, first + np.array([kind, *(v + 1 for v in vote), *more])] = 1
     return rows
 
 
+#: More than any code.
+CODES = 100_000
+
+
 def fit(patterns: list[tuple[int, int, int]]) -> dict[int, float]:
-    """The final classifier's chance for each pattern (kind, code, count), by kind * 1000 + code."""
+    """The final classifier's chance for each pattern (kind, code, count), by kind * CODES + code."""
     if not patterns:
         return {}
     kinds, codes, counts = (np.array(x) for x in zip(*sorted(patterns), strict=True))
     table = np.array([decode(c)[0] for c in codes.tolist()])
-    post, _ = expectation_maximisation(kinds, table, counts.astype(float))
+    # EM sees kinds and votes alone
+    both, at = np.unique(np.hstack([kinds[:, None], table]), axis=0, return_inverse=True)
+    post, _ = expectation_maximisation(both[:, 0], both[:, 1:], np.bincount(at.ravel(), counts, len(both)))
+    post = post[at.ravel()]
     x = features(kinds, codes)
     w = train_classifier(x, post, counts.astype(float))
     chance = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-    return dict(zip((kinds * 1000 + codes).tolist(), chance.tolist(), strict=True))
+    return dict(zip((kinds * CODES + codes).tolist(), chance.tolist(), strict=True))
 
 
 def _found(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -216,7 +287,7 @@ def _found(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
 
 def _patterns(found: DataFrame) -> list[tuple[int, int, int]]:
-    """How often each kind and code occurs in all texts; 6 * 3^5 * 4 rows at most, whatever the corpus."""
+    """How often each kind and code occurs in all texts; 6 * 3^5 * 192 rows at most (and a few hundred in practice), whatever the corpus."""
     c = found.select(F.explode("found").alias("f")).groupBy("f.kind", "f.code").count()
     return [tuple(r) for r in c.collect()]
 
@@ -233,8 +304,7 @@ def pii_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", t
     found = stored(_found(docs, text_col, id_col), "pii-spans")
     chance = fit(_patterns(found))
     accepted = sorted(k for k, p in chance.items() if p >= threshold)
-    keep = F.array(*[F.lit(k) for k in accepted]) if accepted else F.array().cast("array<int>")
-    spans = F.filter("found", lambda s: s["base"] | F.array_contains(keep, s["kind"] * 1000 + s["code"]))
+    spans = F.filter("found", lambda s: s["base"] | (s["kind"] * CODES + s["code"]).isin(accepted))
     count = lambda kind: F.size(F.filter("found", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
     names = F.array(*[F.lit(k) for k in KINDS])
     shown = F.transform(spans, lambda s: F.struct(F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
@@ -258,7 +328,7 @@ def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", thre
             return None
         out, end = [], 0
         for s, kind, e, code, is_base in candidates(text):
-            if s >= end and (is_base or kind * 1000 + code in accepted):
+            if s >= end and (is_base or kind * CODES + code in accepted):
                 out += [text[end:s], f"[{KINDS[kind].upper()}]"]
                 end = e
         return "".join([*out, text[end:]])
