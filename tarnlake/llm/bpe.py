@@ -17,8 +17,33 @@ from tarnlake.llm.pieces import PLAIN_BELOW, RankedMerges, byte_alphabet, le32
 
 #: How the vocabulary's own pre-tokenizer splits text before merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A space between two ASCII non-spaces always begins a token of the vocabulary's pattern, so a cut before it is safe.
-SAFE_CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
+#: A space between two non-spaces always begins a token of the vocabulary's pattern, so a cut before it is safe. (What
+#: Python takes for white space includes all that the pattern does.)
+SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+# The second and third bytes of the ideographic comma and full stop, after E3, and of full-width , ! ? ; :
+# after EF. Before them, after an ideograph or hiragana, which are letters, a token of the pattern always begins.
+STOPS = np.zeros((2, 256, 256), bool)
+STOPS[0, 0x80, [0x81, 0x82]] = True
+STOPS[1, 0xBC, [0x8C, 0x81, 0x9F, 0x9B, 0x9A]] = True
+
+
+def safe_places(data: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 bytes before which a token surely begins: single spaces between characters of one byte (printable),
+    of two (from U+00C0) or of three (U+4000 to U+D7FF), none of which is white space; and the STOPS after a letter."""
+    n = len(data)
+    if n < 8:
+        return np.empty(0, np.int64)
+    tail = (data & 0xC0) == 0x80
+    at = np.flatnonzero(data[3:-1] == 32) + 3
+    a, b, c, after = data[at - 1], data[at - 2], data[at - 3], data[at + 1]
+    before = ((a > 32) & (a < 127)) | (tail[at - 1] & (b >= 0xC3) & (b <= 0xDF)) | (tail[at - 1] & tail[at - 2] & (c >= 0xE4) & (c <= 0xED))
+    follows = ((after > 32) & (after < 127)) | ((after >= 0xC3) & (after <= 0xDF)) | ((after >= 0xE4) & (after <= 0xED))
+    spaces = at[before & follows]
+    lead = np.flatnonzero((data[3:-2] == 0xE3) | (data[3:-2] == 0xEF)) + 3
+    stop = STOPS[(data[lead] == 0xEF).astype(int), data[lead + 1], data[lead + 2]]
+    first, second = data[lead - 3], data[lead - 2]
+    letter = ((first >= 0xE5) & (first <= 0xE8)) | ((first == 0xE9) & (second != 0xBF)) | ((first == 0xE3) & (second == 0x81) & (data[lead - 1] != 0x80))
+    return np.sort(np.concatenate([spaces, lead[stop & letter]]))
 
 
 class ChunkEncoder:
@@ -60,7 +85,7 @@ class ChunkEncoder:
         return plain and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
 
     def boundaries(self, data: np.ndarray) -> np.ndarray:
-        """Places in the bytes, before a safe space, that the rolling hash chooses."""
+        """Safe places in the bytes that the rolling hash chooses."""
         n = len(data)
         if n <= self.WINDOW:
             return np.empty(0, np.int64)
@@ -70,9 +95,8 @@ class ChunkEncoder:
             wider = h.copy()
             wider[span:] += h[:-span] * power
             h, span, power = wider, span * 2, np.uint32(int(power) ** 2 % (1 << 32))
-        at = np.flatnonzero(data[1:-1] == 32) + 1
-        before, after = data[at - 1], data[at + 1]
-        at = at[(before > 32) & (before < 127) & (after > 32) & (after < 127) & (at >= self.WINDOW)]
+        at = safe_places(data)
+        at = at[at >= self.WINDOW]
         x = h[at - 1]
         x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
         return at[((x >> np.uint32(12)) & np.uint32(self.MASK)) == 0]

@@ -45,6 +45,27 @@ def test_joins_without_safe_cut_are_repaired():
         assert np.frombuffer(e.encode_all([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_cuts_in_other_scripts():
+    """Chunks begin where tokens begin in any script, and passages are shared there too."""
+    rng = np.random.default_rng(7)
+    e, t = ChunkEncoder(BYTE), plain(BYTE)
+    cjk = [chr(c) for c in [*range(0x5000, 0x5100), *range(0x3041, 0x3060)]]
+    cyrillic = [chr(c) for c in range(0x430, 0x450)]
+    def prose(letters, space):
+        return "".join("".join(rng.choice(letters, rng.integers(2, 9))) + str(rng.choice(space)) for _ in range(1500))
+    passages = [prose(cjk, ["。", "、", "，", "？", " ", ""]), prose(cyrillic, [" ", " ", ", ", ". ", "\n"])]
+    odd = ["\u3000", "\u00a0", "\u2003", "\u0085", " ", "  ", "。", "、", "！", "'s", "é", "字", "あ", "゙", "〇", "䷀", "Ж", "a", "1", "·", "\u1680", "龿", "\u3040", "\u0301"]
+    texts = passages + ["".join(rng.choice(odd, rng.integers(1, 60))) for _ in range(3000)] + ["x" * 9 + "".join(rng.choice(odd, 300)) for _ in range(50)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in e.encode_all(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    for text in passages:
+        own = ChunkEncoder(BYTE)
+        own.encode_all([text])
+        before = len(own.chunks)
+        assert before > 10
+        own.encode_all([f"前 Вот {text} end"])
+        assert len(own.chunks) <= before + 4  # all but the ends are known
+
+
 def test_cache_is_emptied_when_full():
     e, t = ChunkEncoder(BYTE, max_kept=50), plain(BYTE)
     texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(20)]
