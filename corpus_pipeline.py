@@ -1,13 +1,17 @@
 """The corpus pipeline: toxicity, line dedup, near-dedup, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written and read again for the next.
+
+Rows with null or empty texts pass the first stage as they are; of them, one stays after near-dedup (all texts without
+words are one class). A null id is an id like others; rows that share an id are judged by their own texts in every stage
+but near-dedup, where they stay if one of them does. Empty tables give empty results; further columns stay as they are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.llm.common import documents, stored
+from tarnlake.llm.common import clear_scratch, documents, scratch_count, stored
 from tarnlake.llm.line_dedup import line_dedup
 from tarnlake.llm.near_dedup import drop_near_copies
 from tarnlake.llm.packing import default_vocabulary, pack
@@ -59,7 +63,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """All stages. Each stage's own tables are deleted once its result is written; the last one's input stays until
+    clear_scratch is called."""
+    docs, before = documents(spark, sf_dir), scratch_count(spark)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        clear_scratch(spark, before, last=1)
     return STAGES[-1][1](spark, docs, sf_dir)
