@@ -49,14 +49,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession, keep: int = 0) -> int:
-    """Deletes the tables that `stored` has written for this session, but the first `keep`; to be called once results are
-    written. Returns their number."""
-    jvm, count, paths = spark.sparkContext._jvm, 0, _WRITTEN.get(spark, [])
-    while len(paths) > keep:
-        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
-        count += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return count
+def clear_scratch(spark: SparkSession, keep: int = 0, last: int = 0) -> int:
+    """Deletes the tables that `stored` has written for this session, but the first `keep` and the last `last`; to be
+    called once results that read them are written. Returns their number."""
+    jvm, paths = spark.sparkContext._jvm, _WRITTEN.get(spark, [])
+    gone = paths[keep : len(paths) - last]
+    for p in gone:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del paths[keep : len(paths) - last]
+    return len(gone)
 
 
 def scratch_count(spark: SparkSession) -> int:
