@@ -73,11 +73,21 @@ def collection_stats(documents: DataFrame) -> DataFrame:
     return documents.groupBy("knowledge_id").agg(F.count("*").alias("document_count"), F.coalesce(F.sum("file_size_bytes"), F.lit(0)).alias("total_size_bytes"))
 
 
-def content_hashes(df: DataFrame, content: str) -> DataFrame:
-    """file_hash (MD5) of each row's content, and how many rows have it."""
+def content_hashes(df: DataFrame, content: str, hot_share: int = 512) -> DataFrame:
+    """file_hash (MD5) of each row's content, and how many rows have it.
+
+    Contents that at least 1 / hot_share of all rows have, which are hot_share at most, are broadcast with their counts;
+    their rows take keys of their own in the join that all other rows meet their counts in, and so are spread over it.
+    """
     hashed = df.withColumn("file_hash", F.md5(F.col(content)))
     counts = hashed.groupBy("file_hash").agg(F.count("*").alias("copies"))
-    return hashed.join(counts, "file_hash")
+    least = max(2, -(-df.count() // hot_share))
+    hot = counts.filter(F.col("copies") >= least).select(F.col("file_hash").alias("_hot"), F.col("copies").alias("_hot_copies"))
+    cold = counts.filter(F.col("copies") < least).select(F.col("file_hash").alias("_cold"), "copies")
+    met = hashed.join(F.broadcast(hot), F.col("file_hash") == F.col("_hot"), "left").drop("_hot")
+    key = F.when(F.col("_hot_copies").isNull(), F.col("file_hash")).otherwise(F.concat(F.lit("-"), F.xxhash64(*hashed.columns).cast("string")))
+    met = met.withColumn("_key", key).join(cold, F.col("_key") == F.col("_cold"), "left")
+    return met.select("file_hash", *[c for c in hashed.columns if c != "file_hash"], F.coalesce("_hot_copies", "copies").alias("copies"))
 
 
 def first_seen(df: DataFrame, key: str, position: str) -> DataFrame:
@@ -114,12 +124,27 @@ def recent_history(messages: DataFrame, session: str, position: str, most: int =
     return newest.withColumn("nth", F.row_number().over(Window.partitionBy(session).orderBy(position)))
 
 
-def adjacent_similarity(df: DataFrame, by: str, position: str, embedding: str) -> DataFrame:
-    """similarity of each row to the one before it in its group."""
+def adjacent_similarity(df: DataFrame, by: str, position: str, embedding: str, rows: int = 10_000) -> DataFrame:
+    """similarity of each row to the one before it in its group, null for the first.
+
+    Groups may be large and few, so their rows are dealt into stretches of about `rows` neighbouring positions, by
+    approximate percentiles of the positions; a stretch's last row is copied to the stretch that follows it in its group.
+    What is kept of stretches (a percentile, and of each group and stretch the last position) is short.
+    """
     from tarnlake.functions.vectors import cosine
 
-    before = F.lag(embedding).over(Window.partitionBy(by).orderBy(position))
-    return df.withColumn("_before", before).withColumn("similarity", cosine(F.col("_before"), F.col(embedding))).drop("_before")
+    parts = max(1, min(4096, df.count() // rows))
+    cuts = sorted(set(df.select(F.percentile_approx(position, [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or [])) if parts > 1 else []
+    stretch = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col(position))) if cuts else F.lit(0)
+    dealt = df.withColumn("_stretch", stretch)
+    ends = dealt.groupBy(by, "_stretch").agg(F.max(position).alias("_last"))
+    onward = ends.withColumn("_to", F.lead("_stretch").over(Window.partitionBy(by).orderBy("_stretch"))).filter("_to is not null")
+    keys = onward.select(F.col(by).alias("_by"), F.col("_last"), "_to")
+    same = F.col(by).eqNullSafe(F.col("_by")) & (F.col(position) == F.col("_last"))
+    extra = df.join(F.broadcast(keys) if parts < 4096 else keys, same).select(*df.columns, F.col("_to").alias("_stretch"), F.lit(True).alias("_extra"))
+    every = dealt.withColumn("_extra", F.lit(False)).unionByName(extra)
+    before = F.lag(embedding).over(Window.partitionBy(by, "_stretch").orderBy(F.desc("_extra"), position))
+    return every.withColumn("_before", before).filter("not _extra").withColumn("similarity", cosine(F.col("_before"), F.col(embedding))).drop("_before", "_stretch", "_extra")
 
 
 def carry_forward(df: DataFrame, value: str, by: str, position: str) -> Column:

@@ -63,29 +63,23 @@ def dispatch(batch: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFra
     return out, batch.filter(~F.coalesce(F.col("type").isin(list(handlers)), F.lit(False)))
 
 
-def run_jobs(spark: SparkSession, queue: str, out: str, checkpoint: str, handlers: dict[str, Callable[[DataFrame], DataFrame]], once: bool = True, every: str = "3 seconds"):
-    """Starts the stream. Results, dead letters and finished ids of batch n are written to folders named after n, so that
-    a batch that runs again after a failure replaces what it wrote; ids that an earlier batch finished are left out."""
+def run_jobs(spark: SparkSession, queue: str, out: str, checkpoint: str, handlers: dict[str, Callable[[DataFrame], DataFrame]], once: bool = True, every: str = "3 seconds", delay: str = "1 hour"):
+    """Starts the stream. An id is worked on once, as long as its repeats come within `delay` of event time: fresh_jobs
+    keeps the ids, and forgets those that are older. Results, dead letters and finished ids of batch n are written to
+    folders named after n, so that a batch that runs again after a failure replaces what it wrote."""
 
     def work(batch: DataFrame, number: int) -> None:
-        done_path = f"{out}/done"
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(done_path)
-        fresh = batch.dropDuplicates(["id"])
-        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            done = spark.read.parquet(done_path).filter(F.col("batch") < number)
-            fresh = fresh.join(done.select("id"), "id", "left_anti")
-        fresh = fresh.persist()
+        fresh = batch.persist()
         try:
             results, dead = dispatch(fresh, handlers)
             if results is not None:
                 results.write.mode("overwrite").parquet(f"{out}/results/batch={number}")
             dead.write.mode("overwrite").parquet(f"{out}/dead/batch={number}")
-            fresh.select("id").write.mode("overwrite").parquet(f"{done_path}/batch={number}")
+            fresh.select("id").write.mode("overwrite").parquet(f"{out}/done/batch={number}")
         finally:
             fresh.unpersist()
 
-    writer = read_jobs(spark, queue).writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
+    writer = fresh_jobs(read_jobs(spark, queue), delay).writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 

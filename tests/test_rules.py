@@ -1,5 +1,6 @@
 """Golden cases worked out by hand from the services' rules."""
 
+import hashlib
 from datetime import datetime
 
 import numpy as np
@@ -153,6 +154,26 @@ def test_cosines_in_one_pass(spark, size):
     assert all(abs(r.s - r.t) < 1e-12 and abs(r.s - want[r.id, 1]) < 1e-6 for r in one)
 
 
+def test_adjacent_similarity_over_stretches(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(3)) if i % 50 else None, i, rng.normal(size=4).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "g int, i int, v array<double>")
+    want, last = {}, {}
+    for g, i, v in rows:
+        if g in last:
+            want[i] = float(np.dot(last[g], v) / np.linalg.norm(last[g]) / np.linalg.norm(v))
+        last[g] = v
+    for size in (100, 10_000):
+        got = {r.i: r.similarity for r in relational.adjacent_similarity(df, "g", "i", "v", size).collect()}
+        assert len(got) == 900 and {i: pytest.approx(s) for i, s in got.items() if s is not None} == want
+
+
+def test_hot_contents(spark):
+    df = spark.createDataFrame([(i, "same" if i % 3 else f"t{i // 6}") for i in range(600)], "i int, c string")
+    got = {r.i: (r.file_hash, r.copies) for r in relational.content_hashes(df, "c", 4).collect()}
+    assert got == {i: (hashlib.md5(("same" if i % 3 else f"t{i // 6}").encode()).hexdigest(), 400 if i % 3 else 2) for i in range(600)}
+
+
 def test_fusion(spark):
     ranked = spark.createDataFrame([("x", 1), ("y", 2), ("y", 1)], "id string, rank int")
     rows = search.fuse(ranked, "id").collect()
