@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import time
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -64,18 +66,60 @@ def sentence_encoder(size: int = 768) -> Callable[[list[str]], np.ndarray]:
     return encode
 
 
+class TimedCache:
+    """Values by key, at most `size` of them and none older than `seconds`; the least recently used one goes first. The
+    clock is a parameter, so that a run may be repeated."""
+
+    def __init__(self, size: int = 500, seconds: float = 3600.0, clock: Callable[[], float] = time.monotonic):
+        self.size, self.seconds, self.clock = size, seconds, clock
+        self._held: OrderedDict = OrderedDict()
+
+    def get(self, key, default=None):
+        held = self._held.get(key)
+        if held is None:
+            return default
+        if self.clock() - held[1] > self.seconds:
+            del self._held[key]
+            return default
+        self._held.move_to_end(key)
+        return held[0]
+
+    def put(self, key, value) -> None:
+        self._held[key] = (value, self.clock())
+        self._held.move_to_end(key)
+        if len(self._held) > self.size:
+            self._held.popitem(last=False)
+
+    def __len__(self) -> int:
+        now = self.clock()
+        for key in [k for k, (_, at) in self._held.items() if now - at > self.seconds]:
+            del self._held[key]
+        return len(self._held)
+
+
+def cached(model: Callable[[list[str]], list], cache: TimedCache) -> Callable[[list[str]], list]:
+    """The model, asked only for texts that the cache hasn't, each once."""
+
+    def run(texts: list[str]) -> list:
+        found = {t: cache.get(t) for t in dict.fromkeys(texts)}
+        missing = [t for t, v in found.items() if v is None]
+        for t, v in zip(missing, model(missing) if missing else [], strict=True):
+            found[t] = v
+            cache.put(t, v)
+        return [found[t] for t in texts]
+
+    return run
+
+
 def embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None, size: int = 768) -> Callable[[Column], Column]:
     """A column function text -> array<float>. load() is called once in each task and gives a function of a list of
-    texts, which gets equal texts of a batch once; without it, hash_vector."""
+    texts, which gets texts of the task's last 500 distinct ones (TimedCache's size and age) once; without it, hash_vector."""
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load() if load else lambda texts: [hash_vector(t, size) for t in texts]
+        model = cached(load() if load else lambda texts: [hash_vector(t, size) for t in texts], TimedCache())
         for batch in batches:
-            texts = batch.fillna("")
-            once = list(dict.fromkeys(texts))
-            known = dict(zip(once, model(once), strict=True))
-            yield texts.map(known)
+            yield pd.Series(model(batch.fillna("").tolist()), dtype=object)
 
     return embed
 

@@ -35,6 +35,9 @@ OLDER_LABELS = ["greeting", "invalid", "personal_info", "trend_analysis", "relat
 NOTE_TREND = "Lần trước, tôi đã phân tích xu hướng cho bạn."
 NOTE_ASKED = "Bạn đã hỏi trước đó, nhưng chưa phân tích xu hướng chi tiết."
 QUESTION_LABEL = "Câu hỏi: "
+# The parts of the prompt that the service renders for a question with documents.
+RAG_HISTORY, RAG_QUESTION, RAG_EVIDENCE = "### Ngữ cảnh trước đó", "### Câu hỏi", "### Bằng chứng y khoa"
+RAG_ASKED, RAG_ANSWERED, RAG_NOTHING = "Người hỏi", "Trả lời", "Không có tài liệu liên quan đến câu hỏi này."
 
 DEFAULT_WORDS = {"greetings": GREETINGS, "question_words": QUESTION_WORDS, "time_words": TIME_WORDS, "personal": PERSONAL, "health": HEALTH, "diseases": DISEASES, "comparisons": COMPARISONS, "invalid": INVALID}
 
@@ -125,6 +128,18 @@ def rag_prompt(question: Column, contexts: Column, history: Column, most: int =
     return F.concat_ws("\n\n", F.array_join(F.filter(contexts, lambda c: F.trim(c) != ""), "\n"), F.array_join(last, "\n"), F.concat(F.lit(QUESTION_LABEL), question))
 
 
+def render_rag(system: Column, question: Column, contexts: Column, history: Column, guidance: str = "", most: int = 4) -> Column:
+    """The service's template for a question with documents: system prompt, the last `most` turns of history (array of
+    role and content, oldest first) from the newest on, the question, the evidence or a note that there is none, and
+    guidance. Parts without content are left out; contexts is one text, null or empty if there is none."""
+    turns = F.reverse(F.slice(history, F.greatest(F.size(history) - most + 1, F.lit(1)), most))
+    line = lambda m: F.concat(F.lit("- "), F.when(m["role"] == "user", RAG_ASKED).otherwise(RAG_ANSWERED), F.lit(": "), F.coalesce(m["content"], F.lit("")))
+    before = F.when(F.size(history) > 0, F.concat_ws("\n", F.lit(RAG_HISTORY), F.array_join(F.transform(turns, line), "\n")))
+    evidence = F.when(F.coalesce(contexts, F.lit("")) != "", F.concat_ws("\n", F.lit(RAG_EVIDENCE), contexts)).otherwise(RAG_NOTHING)
+    asked = F.concat(F.lit(f'{RAG_QUESTION}\n"'), question, F.lit('"'))
+    return F.trim(F.concat_ws("\n\n", F.nullif(system, F.lit("")), before, asked, evidence, F.lit(guidance or None)))
+
+
 def address(age: Column) -> Column:
     """How to address a person of this age."""
     return F.when(age >= 50, "bác").otherwise("bạn")

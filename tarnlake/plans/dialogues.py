@@ -53,6 +53,17 @@ def history_lines(spark, sf_dir):
     return c.groupBy("conv_id").agg(relational.joined_text(F.col("line"), F.col("turn"), "\n").alias("lines"))
 
 
+def rag_prompts(spark, sf_dir):
+    """The prompt of each session's last user message, with its turns as history; every second one has evidence."""
+    c = _turns(spark, sf_dir)
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    history = c.groupBy("conv_id").agg(turns.alias("history"))
+    asked = search.rewritten(c, "conv_id", "turn").join(history, "conv_id")
+    evidence = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("about "), "question"))
+    prompt = dialogue.render_rag(F.lit("system"), F.coalesce("question", F.lit("")), evidence, F.col("history"))
+    return asked.select("conv_id", F.md5(prompt).alias("prompt_md5"))
+
+
 def last_user_message(spark, sf_dir):
     return search.rewritten(_turns(spark, sf_dir), "conv_id", "turn").select("conv_id", F.md5("question").alias("question_md5"))
 
@@ -96,6 +107,7 @@ ENTRIES = {
     "history_oldest20": (history_oldest20, "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'ai' END AS role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations QUALIFY rn <= 20"),
     "history_last10": (history_last10, "WITH r AS (SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 10) SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM r"),
     "history_lines": (history_lines, "SELECT conv_id, string_agg(upper(role[1]) || lower(role[2:]) || ': ' || text, chr(10) ORDER BY turn) AS lines FROM conversations GROUP BY conv_id"),
+    "rag_prompts": (rag_prompts, f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations), h AS (SELECT conv_id, string_agg('- ' || CASE WHEN role = 'user' THEN '{dialogue.RAG_ASKED}' ELSE '{dialogue.RAG_ANSWERED}' END || ': ' || text, chr(10) ORDER BY n) FILTER (WHERE n <= 4) AS lines, coalesce(arg_max(text, turn) FILTER (WHERE role = 'user'), '') AS q, count(*) FILTER (WHERE role = 'user') > 0 AS asked FROM r GROUP BY conv_id) SELECT conv_id, md5(trim('system' || chr(10) || chr(10) || '{dialogue.RAG_HISTORY}' || chr(10) || lines || chr(10) || chr(10) || '{dialogue.RAG_QUESTION}' || chr(10) || chr(34) || q || chr(34) || chr(10) || chr(10) || CASE WHEN conv_id % 2 = 0 AND asked THEN '{dialogue.RAG_EVIDENCE}' || chr(10) || 'about ' || q ELSE '{dialogue.RAG_NOTHING}' END)) AS prompt_md5 FROM h"),
     "last_user_message": (last_user_message, "SELECT conv_id, md5(arg_max(text, turn) FILTER (WHERE role = 'user')) AS question_md5 FROM conversations GROUP BY conv_id"),
     "rewrite_gate": (rewrite_gate, f"WITH c AS (SELECT conv_id, count(*) AS n, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id) SELECT conv_id, n >= 2 AND {PRONOUNS} AS rewrite FROM c"),
     "role_normalised": (role_normalised, "SELECT CASE WHEN lower(role) = 'user' THEN 'user' ELSE 'ai' END AS role, count(*) AS n FROM conversations GROUP BY 1"),

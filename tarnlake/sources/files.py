@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.errors import InvalidArgument
-from tarnlake.functions.text import HEADING_NOISE, NOISE_BLOCKS, clean_text, extension, is_txt_heading
+from tarnlake.functions.text import COMPRESSED, COMPRESSIBLE, HEADING_NOISE, NOISE_BLOCKS, clean_text, extension, is_txt_heading
 
 #: What a parser gives: text with marks, metadata, and tables (rows of cells).
 PARSED = "path string, content string, metadata map<string,string>, file_type string, tables array<array<array<string>>>, error string"
@@ -178,6 +179,50 @@ class Bucket:
         finally:
             stream.close()
 
+    def chunks(self, name: str, size: int = 64 * 1024, start: int = 0, length: int | None = None):
+        """The bytes from `start` on (`length` of them, or all), `size` at a time: never more of an object is held."""
+        fs, path = self._fs(name)
+        left = max(0, fs.getFileStatus(path).getLen() - start)
+        left = left if length is None else min(left, length)
+        stream = fs.open(path)
+        try:
+            stream.seek(min(start, fs.getFileStatus(path).getLen()))
+            while left > 0:
+                part = bytes(stream.readNBytes(min(size, left)))
+                if not part:
+                    break
+                left -= len(part)
+                yield part
+        finally:
+            stream.close()
+
+    def download(self, name: str, accept: str = "", size: int = 64 * 1024) -> dict:
+        """stat() with encoding (gzip, br or None) and the stream of chunks, compressed on the way if the reader accepts it
+        and the file is of a kind and size that gains by it; br where the brotli library is installed."""
+        out = self.stat(name)
+        suffix = "." + name.rsplit(".", 1)[-1].lower()
+        gains = "." in name and suffix in COMPRESSIBLE and suffix not in COMPRESSED and 1024 <= out["size"] <= 100 * 1024 * 1024
+        low, encoder = accept.lower(), None
+        if gains and "br" in low:
+            try:
+                import brotli  # an optional library
+
+                work = brotli.Compressor()
+                encoder = ("br", work.process, work.finish)
+            except ImportError:
+                pass
+        if gains and encoder is None and "gzip" in low:
+            work = zlib.compressobj(6, zlib.DEFLATED, 31)
+            encoder = ("gzip", work.compress, work.flush)
+
+        def encoded():
+            for part in self.chunks(name, size):
+                if piece := encoder[1](part):
+                    yield piece
+            yield encoder[2]()
+
+        return out | {"encoding": encoder[0] if encoder else None, "stream": encoded() if encoder else self.chunks(name, size)}
+
     def delete(self, name: str) -> None:
         fs, path = self._fs(name)
         fs.delete(path, False)

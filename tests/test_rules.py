@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.errors import InvalidArgument
 from tarnlake.functions import text as T
-from tarnlake.functions.registry import embedder, generator, register_sql
+from tarnlake.functions.registry import TimedCache, cached, embedder, generator, register_sql
 from tarnlake.functions.vectors import cosine, cosine_to, cosines_to
 from tarnlake.operators import dialogue, health, paging, predicates, relational, scoring, search
 from tarnlake.operators.chunking import Packer, structure
@@ -174,6 +174,32 @@ def test_hot_contents(spark):
     assert got == {i: (hashlib.md5(("same" if i % 3 else f"t{i // 6}").encode()).hexdigest(), 400 if i % 3 else 2) for i in range(600)}
 
 
+def test_timed_cache():
+    now = [0.0]
+    c = TimedCache(2, 10, lambda: now[0])
+    c.put("a", 1)
+    c.put("b", 2)
+    assert c.get("a") == 1
+    c.put("c", 3)  # b was used least recently
+    assert (c.get("a"), c.get("b"), c.get("c"), len(c)) == (1, None, 3, 2)
+    now[0] = 10.5
+    assert c.get("a") is None and len(c) == 0
+    asked = []
+    model = cached(lambda texts: [asked.append(t) or len(t) for t in texts], TimedCache(3))
+    assert model(["a", "bb", "a"]) == [1, 2, 1] and model(["bb", "ccc"]) == [2, 3] and asked == ["a", "bb", "ccc"]
+    assert model([str(i) for i in range(9)] * 2) == [1] * 18 and len(asked) == 12
+
+
+def test_rag_template(spark):
+    turns = [("user", "q1"), ("assistant", "a1"), ("user", "q2"), ("assistant", "a2"), ("user", "q3")]
+    df = spark.createDataFrame([("S", "hỏi?", "E", turns), ("", "x", None, [])], "s string, q string, c string, h array<struct<role:string,content:string>>")
+    got = [r[0] for r in df.select(dialogue.render_rag(F.col("s"), F.col("q"), F.col("c"), F.col("h"))).collect()]
+    assert got == [
+        'S\n\n### Ngữ cảnh trước đó\n- Người hỏi: q3\n- Trả lời: a2\n- Người hỏi: q2\n- Trả lời: a1\n\n### Câu hỏi\n"hỏi?"\n\n### Bằng chứng y khoa\nE',
+        '### Câu hỏi\n"x"\n\nKhông có tài liệu liên quan đến câu hỏi này.',
+    ]
+
+
 def test_fusion(spark):
     ranked = spark.createDataFrame([("x", 1), ("y", 2), ("y", 1)], "id string, rank int")
     rows = search.fuse(ranked, "id").collect()

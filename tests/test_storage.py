@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+import gzip
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +142,15 @@ def test_files(spark, tmp_path):
     b.ensure()
     b.put("x/y.html", b"<p>hi</p>")
     assert b.get("x/y.html") == b"<p>hi</p>" and b.stat("x/y.html") == {"size": 9, "name": "y.html", "content_type": "text/html"}
+    big = bytes(range(256)) * 1000
+    b.put("big.txt", big)
+    assert [len(c) for c in b.chunks("big.txt", 100_000)] == [100_000, 100_000, 56_000] and b"".join(b.chunks("big.txt")) == big
+    assert b"".join(b.chunks("big.txt", 7, 5, 20)) == big[5:25] and list(b.chunks("big.txt", start=300_000)) == []
+    plain, packed = b.download("big.txt"), b.download("big.txt", "gzip, deflate")
+    assert plain["encoding"] is None and b"".join(plain["stream"]) == big and packed["encoding"] == "gzip"
+    parts = list(packed["stream"])
+    assert gzip.decompress(b"".join(parts)) == big and sum(map(len, parts)) < len(big)
+    assert b.download("x/y.html", "gzip")["encoding"] is None  # too small to gain
     b.delete("x/y.html")
     with pytest.raises(Exception):
         b.get("x/y.html")
