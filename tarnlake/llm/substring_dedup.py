@@ -68,7 +68,7 @@ def _int64(x: np.ndarray) -> pa.Array:
 def mark_repeats(rows: DataFrame, name: str) -> DataFrame:
     """rows with `repeat`: whether a row with the same (k1, k2) has an earlier place (doc_id, null last; start).
 
-    Rows are sorted by key and place over ranges of both, so a key with any share of the rows is spread over as many
+    The key's own columns are left out. Rows are sorted by key and place over ranges of both, so a key with any share of the rows is spread over as many
     tasks as its rows need; each task reads its rows once, in order. Only of the rows with a task's first key and place
     it can't tell; the last key of the task before settles that: two keys a task go to the driver. `hashes`, if there,
     becomes null in repeats.
@@ -146,6 +146,50 @@ def path_lengths(nodes: DataFrame, name: str = "debruijn-paths", most_rounds: in
     return heads.join(steps.select("node", "windows"), "node")
 
 
+def verified_paths(docs: DataFrame, paths: DataFrame, window: int) -> DataFrame:
+    """Of the places of paths (node, doc_id, uid, start, windows) all but each path's first, by source coordinates, whose
+    words are those at that first place: doc_id, uid, start and end.
+
+    Both places' words are read again at their coordinates, in the texts that have any, and compared by SHA-256; digests
+    meet by `attach`, so a path may be in any share of the texts. (The hashes that found them are quick, not secure.)
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start")
+    sources = paths.groupBy("node").agg(F.count("*").alias("n"), F.min(place).alias("s"), F.min_by("uid", place).alias("s_uid")).filter("n > 1")
+    met = attach(paths, sources, ["node"], "n", row_count(paths)).filter("n is not null")
+    end = (F.col("start") + F.col("windows") + window - 1).alias("end")
+    wanted = met.withColumn("source", F.col("doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("start") == F.col("s.start")) & (F.col("uid") == F.col("s_uid")))
+    wanted = wanted.filter(F.col("source") | (place > F.col("s"))).select("doc_id", "uid", "start", end, "node", "source")
+    asked = wanted.distinct().groupBy("doc_id", "uid").agg(F.collect_list(F.struct("start", "end", "node", "source")).alias("spans"))
+    asked = stored(asked.withColumnsRenamed({"doc_id": "_id", "uid": "_uid"}), "debruijn-asked")
+    some = docs.sparkSession.sparkContext.broadcast(Bits.collected(asked, "_uid", row_count(asked)))
+
+    def involved(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(some.value.has(batch.column(1).to_numpy().view(np.uint64))))
+
+    met = docs.mapInArrow(involved, docs.schema).join(asked, (F.col("uid") == F.col("_uid")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "uid", "text", "spans")
+    fields = [docs.schema["doc_id"], *(StructField(n, LongType()) for n in ("uid", "start", "end", "node")), StructField("source", BooleanType()), StructField("digest", BinaryType())]
+    target = arrow_schema(StructType(fields))
+
+    def read(batches):
+        for batch in slices(batches, 2):
+            rows = {f.name: [] for f in target}
+            for doc_id, uid, text, spans in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                parts = text.encode().split()
+                for x in spans:
+                    digest = hashlib.sha256(b" ".join(parts[x["start"] : x["end"]])).digest()
+                    for name, value in zip(target.names, (doc_id, uid, *x.values(), digest), strict=True):
+                        rows[name].append(value)
+            yield as_batch(rows, target)
+
+    found = stored(met.mapInArrow(read, StructType(fields)), "debruijn-verified")
+    again = found.filter("not source")
+    counts = again.groupBy("node").agg(F.count("*").alias("n"))
+    first = found.filter("source").select("node", F.col("digest").alias("first")).dropDuplicates(["node"]).join(counts, "node")
+    both = attach(again, first, ["node"], "n", row_count(again))
+    return both.filter(F.col("digest") == F.col("first")).select("doc_id", "uid", "start", "end")
+
+
 def repeated_spans(docs: DataFrame, window: int = 20, k: int = 8) -> DataFrame:
     """Spans of words, all of whose windows also start earlier: doc_id, uid, start, end.
 
@@ -155,8 +199,9 @@ def repeated_spans(docs: DataFrame, window: int = 20, k: int = 8) -> DataFrame:
     2. path_lengths compacts nonbranching edges into paths by joins. A path is the same words wherever its first edge is.
     3. Texts are read again for the places of paths' first edges, joined to the paths' lengths, and of branching edges.
        Which minimisers are wanted is told by Bits, whose false answers the join removes (first edges), or which are
-       edges that don't repeat (others): a row each. mark_repeats finds the earliest place of each path and edge, by
-       128-bit hashes of all words and source coordinates; all others are repeats as a whole.
+       edges that don't repeat (others): a row each. Paths, the long ones, are read again at their coordinates and
+       compared with their first place (verified_paths). mark_repeats finds the earliest place of each edge, by 128-bit
+       hashes of all words; all others are repeats as a whole.
     4. Edges at one branching minimiser may share windows though they differ. The first places of such edges, joined to
        the branching minimisers, give a row per window, and mark_repeats finds the windows that also start earlier.
     """
@@ -196,14 +241,15 @@ def repeated_spans(docs: DataFrame, window: int = 20, k: int = 8) -> DataFrame:
     begins = found.filter("hashes is null").drop("windows")
     lengths = paths.select("node", "n", "windows")
     begins = attach(begins, lengths, ["node"], "n", row_count(begins)).filter("windows is not null").drop("n")
-    marked = mark_repeats(begins.select(found.columns).unionByName(found.filter("hashes is not null")), "debruijn-marked")
-    first = marked.filter("not repeat and hashes is not null").select("doc_id", "uid", "start", "node", "hashes")
+    long = verified_paths(d, begins.select("node", "doc_id", "uid", "start", "windows"), window)
+    marked = mark_repeats(found.filter("hashes is not null"), "debruijn-marked")
+    first = marked.filter("not repeat").select("doc_id", "uid", "start", "node", "hashes")
     first = attach(first, branching, ["node"], "n", row_count(first)).filter("n is not null")
     each = first.select(F.col("node").alias("k1"), "doc_id", "uid", "start", F.posexplode("hashes").alias("pos", "k2"))
     each = each.select("k1", "k2", "doc_id", "uid", (F.col("start") + F.col("pos")).alias("start"), F.lit(1).cast("bigint").alias("windows"))
     single = mark_repeats(each, "debruijn-windows")
-    spans = marked.drop("hashes", "node").unionByName(single).filter("repeat")
-    return spans.select("doc_id", "uid", "start", (F.col("start") + F.col("windows") + window - 1).alias("end"))
+    short = marked.drop("hashes", "node").unionByName(single).filter("repeat")
+    return long.unionByName(short.select("doc_id", "uid", "start", (F.col("start") + F.col("windows") + window - 1).alias("end")))
 
 
 def kept_words(text: bytes, ranges: list[tuple[int, int]]) -> tuple[int, list[bytes]]:

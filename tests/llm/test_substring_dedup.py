@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from tests.llm.cases import awkward, documents
 
-from tarnlake.llm.substring_dedup import path_lengths, substring_dedup
+from tarnlake.llm.substring_dedup import path_lengths, substring_dedup, verified_paths
 from tarnlake.llm.vec import Bits, rolling, sliding_argmin, text_bytes, word_hashes, words
 
 
@@ -76,6 +76,16 @@ def test_long_copies(spark):
     assert result(substring_dedup(docs, digests=True)) == brute(docs.collect(), 20)
 
 
+def test_places_with_other_words_are_refused(spark):
+    """Rows that claim to be one path, of which one has other words."""
+    words = [f"w{i}" for i in range(40)]
+    texts = [(1, 11, " ".join(words)), (2, 22, "a " + " ".join(words)), (3, 33, " ".join([*words[:30], "x", *words[31:]])), (None, 44, " ".join(words))]
+    docs = spark.createDataFrame(texts, "doc_id bigint, uid bigint, text string")
+    paths = spark.createDataFrame([(7, 1, 11, 0, 21), (7, 2, 22, 1, 21), (7, 3, 33, 0, 21), (7, None, 44, 0, 21), (9, 1, 11, 3, 21)], "node bigint, doc_id bigint, uid bigint, start bigint, windows bigint")
+    got = sorted(map(tuple, verified_paths(docs, paths, 20).collect()), key=str)
+    assert got == [(2, 22, 1, 41), (None, 44, 0, 40)]
+
+
 def test_text_and_empty(spark):
     assert substring_dedup(documents(spark, [])).count() == 0
     line = " ".join(f"w{i}" for i in range(30))
