@@ -37,7 +37,7 @@ def ingest(files: DataFrame, known: DataFrame, knowledge_id: str, embed: Embed |
     without a sentence encoder in `load`, hash_vector finds where neighbouring sentences differ.
     """
     new, duplicates = dedupe_contents(files, known)
-    parsed = parse_files(new).join(new.select("path", "file_hash", "length"), "path")
+    parsed = parse_files(new, ("file_hash", "length"))
     good = parsed.filter("error is null").withColumn("document_id", stable_id(F.lit(knowledge_id), F.col("file_hash")))
     texts = good.select("document_id", inject_tables(marked_lines(F.col("content")), F.col("tables")).alias("text"))
     pieces = chunk_documents(texts, id_col="document_id", **{"load": sentence_encoder, "min_tokens": 50, "threshold": 0.7} | chunking)

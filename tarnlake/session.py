@@ -23,7 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Gives this package to the Python workers, once a context; they need not find it on a path of their own."""
+    import atexit
     import os
+    import shutil
     import tempfile
     import zipfile
 
@@ -31,12 +33,14 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_has_tarnlake", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="tarnlake-"), "tarnlake_package.zip")
+    folder = tempfile.mkdtemp(prefix="tarnlake-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "tarnlake_package.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(root):
+        for place, _, names in os.walk(root):
             for name in sorted(names):
                 if name.endswith(".py"):
-                    path = os.path.join(folder, name)
+                    path = os.path.join(place, name)
                     z.write(path, os.path.join("tarnlake", os.path.relpath(path, root)))
     context.addPyFile(target)
     context._has_tarnlake = True

@@ -111,9 +111,10 @@ def objects(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
     return df if content else df.drop("content")
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """Rows of `objects` parsed by suffix; what can't be parsed gets an error instead of text."""
+def parse_files(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of `objects` parsed by suffix, with the columns in `keep`; what can't be parsed gets an error instead of text."""
     parsers = dict(PARSERS)
+    kept = [f"{c} {files.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(batches):
         for batch in batches:
@@ -128,9 +129,10 @@ def parse_files(files: DataFrame) -> DataFrame:
                     rows.append((path, text, {"size": str(len(data))}, suffix, tables, None))
                 except Exception as e:  # one bad file must not stop the others
                     rows.append((path, None, {}, suffix, [], f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "content", "metadata", "file_type", "tables", "error"])
+            out = pd.DataFrame(rows, columns=["path", "content", "metadata", "file_type", "tables", "error"])
+            yield out.assign(**{c: batch[c].to_numpy() for c in keep})
 
-    return files.select("path", "content").mapInPandas(run, PARSED)
+    return files.select("path", "content", *keep).mapInPandas(run, ", ".join([PARSED, *kept]))
 
 
 def marked_lines(text: Column, per_line: bool = False) -> Column:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tarnlake.functions import text as T
 from tarnlake.functions.registry import hash_vector, sentence_encoder
 from tarnlake.functions.text import MEDICAL_TERMS, is_noise_block, is_pdf_heading, is_valid_heading
 from tarnlake.operators import relational, search
@@ -119,6 +120,33 @@ def test_chunks_of_a_fixture(spark):
     assert len(got["alike"]) == 1 and len(got["other"]) == 2
 
 
+def plain_guard(text):
+    """The output guard, a line at a time."""
+    if not text.strip(" "):
+        return T.GUARD_EMPTY
+    if any(w in text.lower() for w in T.CODE_WORDS):
+        return T.GUARD_CODE
+    thinking, lines = False, []
+    for line in text.split("\n"):
+        if any(w in line.lower() for w in T.THINKING):
+            thinking = True
+        elif line.startswith("### "):
+            thinking = False
+        if not thinking and line.strip(" "):
+            lines.append(line)
+    out = "\n".join(lines).strip(" ")
+    return T.GUARD_ENGLISH if out.startswith(tuple(T.ENGLISH_STARTS)) else out or T.GUARD_NOTHING
+
+
+def test_answer_guard_on_the_whole_table(spark, sf_small):
+    rows = table(spark, sf_small, "conversations").filter("role = 'assistant'").collect()
+    want = {(r.conv_id, r.turn): hashlib.md5(plain_guard(r.text).encode()).hexdigest() for r in rows}
+    assert {(r.conv_id, r.turn): r.answer_md5 for r in texts.answer_guard(spark, sf_small).collect()} == want
+    odd = ["", "  ", "import x", "I am", "phân tích\nx\n### y\n\nz", "a\nlet me think\nb", "You\n", "step by step"]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    assert [r[0] for r in df.select(T.guard_answer(F.col("t"))).collect()] == [plain_guard(t) for t in odd]
+
+
 def test_ingest_breaks_at_differences(spark, tmp_path):
     (tmp_path / "a.txt").write_text(" ".join(f"Câu số {i} nói về chuyện khác x{i} y{i} z{i}." for i in range(120)))
     assert ingest(objects(spark, f"file://{tmp_path}"), spark.createDataFrame([], "file_hash string"), "k")["document_chunks"].count() > 1
