@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnlake.llm import bpe, exact_dedup, fingerprints, licenses, line_dedup, near_dedup, packing, pii, prefix_trie, substring_dedup, toxicity
+from tarnlake.llm import bpe, exact_dedup, fingerprints, licenses, line_dedup, near_dedup, packing, pii, prefix_trie, spelling, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_bpe": bpe.op9_bpe,
         "op10_packing": packing.op10_packing,
         "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op13_spelling": spelling.op13_spelling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE}
+    return {"op4_exact_dedup": exact_dedup.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE, "op13_spelling": spelling.ORACLE}
