@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnlake.llm import bpe, exact_dedup, fingerprints, licenses, line_dedup, near_dedup, packing, pii, prefix_trie, spelling, substring_dedup, toxicity
+from tarnlake.llm import bpe, exact_dedup, fingerprints, licenses, line_dedup, near_dedup, packing, pii, prefix_trie, quality, spelling, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_bpe": bpe.op9_bpe,
         "op10_packing": packing.op10_packing,
         "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op12_quality": quality.op12_quality,
         "op13_spelling": spelling.op13_spelling,
     }
 

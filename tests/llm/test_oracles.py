@@ -34,5 +34,5 @@ def test_query_covers_the_table(spark, sf_small, name):
 def test_names():
     import __spark_entry__
 
-    assert {n.split("_")[0] for n in queries()} == {f"op{i}" for i in (*range(1, 12), 13)}
+    assert {n.split("_")[0] for n in queries()} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in __spark_entry__.queries()
