@@ -156,6 +156,11 @@ def minimised(all_: np.ndarray, good: np.ndarray, prior: float, ridge: float = 1
     return best
 
 
+def ridge(good: np.ndarray) -> float:
+    """Falls with the number of trusted texts, down to 1/1000."""
+    return max(1e-3, 3 / good[0, 0])
+
+
 def fit(rows: DataFrame, labels: DataFrame, max_rows: int = 40_000, folds: int = 4, held: int = 2) -> Model:
     """The model, from coded rows and the labels with crc32(doc_id) mod folds other than `held`.
 
@@ -173,7 +178,7 @@ def fit(rows: DataFrame, labels: DataFrame, max_rows: int = 40_000, folds: int =
     # told from all texts, trusted ones score high: where no bad text does, the share of good ones shows in the half that
     # hasn't been fitted
     half = first if 0 < first[0, 0] < good[0, 0] else good
-    apart = np.linalg.solve(all_ / all_[0, 0] + half / half[0, 0] + np.eye(FEATURES) * 1e-3, half[0] / half[0, 0] - all_[0] / all_[0, 0])
+    apart = np.linalg.solve(all_ / all_[0, 0] + half / half[0, 0] + np.eye(FEATURES) * ridge(half), half[0] / half[0, 0] - all_[0] / all_[0, 0])
     shared = rows.sparkSession.sparkContext.broadcast((apart, half is first))
 
     def bins(batches):
@@ -190,7 +195,7 @@ def fit(rows: DataFrame, labels: DataFrame, max_rows: int = 40_000, folds: int =
 
     found = texts.mapInArrow(bins, "bin long, n long, good long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).orderBy("bin").toArrow()  # 2,001 rows at most
     prior = estimated_prior(found["n"].to_numpy(), found["good"].to_numpy())
-    return Model(minimised(all_, good, prior), prior)
+    return Model(minimised(all_, good, prior, ridge(good)), prior)
 
 
 def score_documents(rows: DataFrame, model: Model, folds: int = 4, held: int = 2, least: float = 0.7) -> DataFrame:
