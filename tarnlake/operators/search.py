@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from tarnlake.errors import InvalidArgument
 from tarnlake.functions.text import contains_any, to_markdown_tags
@@ -89,65 +86,3 @@ def rewritten(messages: DataFrame, session: str, position: str, rewrite: Callabl
     mine = F.when(F.lower("role") == "user", F.col("text"))
     last = messages.groupBy(session).agg(F.max_by(mine, F.when(mine.isNotNull(), F.col(position))).alias("question"))
     return last.withColumn("question", F.coalesce(rewrite(F.col("question")), "question")) if rewrite else last
-
-
-def approximate(points: DataFrame, query: list[float], top_k: int = 5, vector: str = "embedding", id_col: str = "id", tables: int = 8, bits: int = 6, seed: int = 7, flips: int = 1) -> DataFrame:
-    """Approximate search: only points whose random-hyperplane bucket in any of `tables` tables is the query's, or differs from it in up to `flips` bits, are scored."""
-    planes = _planes(tables, bits, len(query), seed)
-    signs = (planes @ np.asarray(query, float)) >= 0
-    near = F.lit(False)
-    for t in range(tables):
-        other = F.lit(0)
-        for b in range(bits):
-            side = F.aggregate(F.zip_with(F.col(vector), F.lit(planes[t, b].tolist()), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x) >= 0
-            other = other + (side != F.lit(bool(signs[t, b]))).cast("int")
-        near = near | (other <= flips)
-    return points.filter(near).withColumn("score", cosine_to(F.col(vector), query)).orderBy(F.desc("score"), id_col).limit(top_k)
-
-
-def _planes(tables: int, bits: int, size: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).normal(size=(tables, bits, size))
-
-
-def _vectors(column: pa.ChunkedArray) -> np.ndarray:
-    return np.asarray(column.to_pylist(), float)
-
-
-def approximate_many(points: DataFrame, queries: DataFrame, top_k: int = 5, vector: str = "embedding", id_col: str = "id", tables: int = 8, bits: int = 6, seed: int = 7, flips: int = 1, slice_rows: int = 2048, block_rows: int = 1024) -> DataFrame:
-    """approximate() for each row of queries (query, vector): query, id_col, score and rank.
-
-    Points are dealt into slices and queries into blocks by hashes of their ids, and each slice meets each block in one
-    Python step, where buckets are compared and what is near is scored as a matrix product; top_k rows a query leave it.
-    Vectors that are null, and points of length zero, are never found. Two row counts go through the driver.
-    """
-    p = points.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).filter("v is not null")
-    q = queries.select("query", F.col(vector).alias("v")).filter("v is not null")
-    slices, blocks = max(1, -(-p.count() // slice_rows)), max(1, -(-q.count() // block_rows))
-    p = p.withColumns({"slice": F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
-    q = q.withColumns({"block": F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"), "slice": F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))})
-    schema = pa.schema([("query", to_arrow_type(q.schema["query"].dataType)), ("id", to_arrow_type(p.schema["id"].dataType)), ("score", pa.float64())])
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        left = left.sort_by("id")
-        v, w = _vectors(left["v"]), _vectors(right["v"])
-        planes = _planes(tables, bits, v.shape[1], seed)
-        weights = 1 << np.arange(bits)
-        a, b = ((np.einsum("nd,tbd->tnb", x, planes) >= 0) @ weights for x in (v, w))
-        close = np.array([x.bit_count() <= flips for x in range(1 << bits)])
-        near = np.zeros((len(w), len(v)), bool)
-        for t in range(tables):
-            near |= close[b[t][:, None] ^ a[t][None, :]]
-        lengths = np.linalg.norm(w, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
-        near &= lengths > 0
-        score = np.where(near, (w @ v.T) / np.where(lengths > 0, lengths, 1), -np.inf)
-        order = np.argsort(-score, axis=1, kind="stable")[:, :top_k]  # of equal scores the lower id first
-        rows = np.repeat(np.arange(len(w)), order.shape[1])
-        found = np.isfinite(score[rows, order.ravel()])
-        rows, columns = rows[found], order.ravel()[found]
-        return pa.Table.from_arrays([right["query"].take(pa.array(rows)), left["id"].take(pa.array(columns)), pa.array(score[rows, columns])], schema=schema)
-
-    kinds = f"query {q.schema['query'].dataType.simpleString()}, id {p.schema['id'].dataType.simpleString()}, score double"
-    hits = p.groupBy("slice", "block").cogroup(q.groupBy("slice", "block")).applyInArrow(run, kinds)
-    return last_n(hits.withColumnRenamed("id", id_col), ["query"], [F.desc("score"), F.col(id_col)], top_k, "rank")

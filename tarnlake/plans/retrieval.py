@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.operators import search
+from tarnlake.operators import ivf, search
 from tarnlake.operators.chunking import semantic_breaks
 from tarnlake.operators.mutations import delete_points, set_payload
 from tarnlake.operators.relational import adjacent_similarity
@@ -71,11 +71,30 @@ def multi_query_search(spark, sf_dir):
     return rows.select("id", F.round("fused", 8).alias("fused"), F.md5("content").alias("content_md5"))
 
 
-def approximate_search(spark, sf_dir):
+def asked(e: DataFrame) -> DataFrame:
     """Every twentieth vector as a query."""
+    return e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
+
+
+def approximate_search(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    cells = ivf.fit(e, "vec_id")
+    found = ivf.approximate_search(e, ivf.index(e, cells, "vec_id"), cells, asked(e), id_col="vec_id")
+    return found.select("query", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+def nearest_vectors(spark, sf_dir):
+    """The exact way over the same queries."""
+    e = table(spark, sf_dir, "embeddings")
+    return ivf.exact_search(e, asked(e), id_col="vec_id").select("query", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+def nearest_by_code(spark, sf_dir):
+    """Through the inverted file with all cells and all candidates, of each collection: exact, by the whole of its path."""
     e = table(spark, sf_dir, "embeddings")
-    queries = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
-    return search.approximate_many(e, queries, id_col="vec_id").select("query", "rank", "vec_id", F.round("score", 6).alias("score"))
+    cells = ivf.fit(e, "vec_id")
+    found = ivf.approximate_search(e, ivf.index(e, cells, "vec_id"), cells, asked(e), top_k=2, threshold=0.2, share=1.0, rerank=1 << 30, id_col="vec_id", collection="label")
+    return found.select("query", "label", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
 def adjacent_breaks(spark, sf_dir):
@@ -101,6 +120,8 @@ ENTRIES = {
     "relevance_filter": (relevance_filter, f"WITH {QUERY.format(0)}, s AS (SELECT e.vec_id, {COSINE} AS similarity FROM embeddings e, q) SELECT vec_id, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.2"),
     "multi_query_search": (multi_query_search, f"WITH {POINTS}, q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 2), s AS (SELECT qid, e.knowledge_id, e.id, e.text, {COSINE} AS score FROM p e, q), r AS (SELECT *, row_number() OVER (PARTITION BY qid, knowledge_id ORDER BY score DESC, id) AS n FROM s WHERE score >= 0), f AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM r WHERE n <= 2), u AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS fused FROM f GROUP BY id) SELECT u.id, round(fused, 8) AS fused, md5(replace(replace(replace(replace(s.text, '[HEADING]', '### '), '[SUBHEADING]', '#### '), '[/HEADING]', chr(10)), '[/SUBHEADING]', chr(10))) AS content_md5 FROM u JOIN s ON s.id = u.id AND s.qid = 0 WHERE s.score >= 0.05 ORDER BY u.fused DESC, u.id LIMIT 8"),
     "approximate_search": (approximate_search, None),
+    "nearest_vectors": (nearest_vectors, f"WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query, e.vec_id, {COSINE} AS score FROM embeddings e, q), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5"),
+    "nearest_by_code": (nearest_by_code, f"WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query, e.label, e.vec_id, {COSINE} AS score FROM embeddings e, q), r AS (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY score DESC, vec_id) AS rank FROM s WHERE score >= 0.2) SELECT query, label, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 2"),
     "adjacent_breaks": (adjacent_breaks, "WITH a AS (SELECT label, vec_id, embedding::DOUBLE[] AS x, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS y FROM embeddings), s AS (SELECT label, vec_id, list_inner_product(x, y) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y))) AS similarity FROM a WHERE y IS NOT NULL) SELECT label, vec_id, round(similarity, 6) AS similarity FROM s WHERE similarity < 0.1"),
     "payload_update": (payload_update, f"WITH {POINTS} SELECT knowledge_id, count(*) AS points, count(*) FILTER (WHERE active AND knowledge_id <> 3) AS active FROM p WHERE knowledge_id <> 5 GROUP BY knowledge_id"),
 }

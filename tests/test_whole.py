@@ -12,46 +12,14 @@ from pyspark.sql import functions as F
 from tarnlake.functions import text as T
 from tarnlake.functions.registry import hash_vector, sentence_encoder
 from tarnlake.functions.text import MEDICAL_TERMS, is_noise_block, is_pdf_heading, is_valid_heading
-from tarnlake.operators import relational, search
+from tarnlake.operators import relational
 from tarnlake.operators.chunking import Packer, chunk_documents
-from tarnlake.plans import dialogues, retrieval, texts
+from tarnlake.plans import dialogues, texts
 from tarnlake.plans.ingestion import ingest
 from tarnlake.session import table
 from tarnlake.sources.files import objects, parse_pdf, pdf_lines
 
 
-def nearest(ids, vectors, at, k=5):
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    return [ids[j] for j in np.lexsort((ids, -np.round(unit @ unit[at], 12)))[:k]]
-
-
-@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
-def test_approximate_search_recall(spark, sf):
-    rows = table(spark, f"/root/testdata/{sf}", "embeddings").orderBy("vec_id").collect()
-    ids, vectors = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
-    found = {}
-    for r in retrieval.approximate_search(spark, f"/root/testdata/{sf}").collect():
-        found.setdefault(r["query"], []).append(r.vec_id)
-    asked = [i for i in range(len(ids)) if ids[i] % 20 == 0]
-    assert set(found) == {int(ids[i]) for i in asked}
-    hits, others = [], []
-    for i in asked:
-        got = set(found[int(ids[i])])
-        best = nearest(ids, vectors, i)
-        hits += [b in got for b in best]
-        others += [b in got for b in best if b != ids[i]]
-    assert np.mean(hits) >= 0.9 and np.mean(others) >= 0.9
-
-
-def test_approximate_search_of_one_and_many(spark, sf_small):
-    e = table(spark, sf_small, "embeddings")
-    query = retrieval.query_vector(spark, sf_small, 40)
-    one = [(r.vec_id, round(r.score, 9)) for r in search.approximate(e, query, id_col="vec_id").collect()]
-    asked = e.filter("vec_id % 20 = 0").selectExpr("vec_id AS query", "embedding")
-    many = search.approximate_many(e, asked, id_col="vec_id", slice_rows=90, block_rows=7).filter("query = 40").orderBy("rank")
-    assert one == [(r.vec_id, round(r.score, 9)) for r in many.collect()]
-
-
 def cut_sentences(text):
     return [s.strip() for s in re.split(r"(?<=[.!?…])\s+", " ".join(text.split())) if len(s.strip()) > 3]
 
