@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tarnlake.plans import dialogues, listings, readings, retrieval, texts, upkeep
+from tarnlake.plans import dialogues, listings, readings, retrieval, streams, texts, upkeep
 
-ENTRIES = {k: v for m in (readings, retrieval, listings, texts, dialogues, upkeep) for k, v in m.ENTRIES.items()}
+ENTRIES = {k: v for m in (readings, retrieval, listings, texts, dialogues, upkeep, streams) for k, v in m.ENTRIES.items()}
 
 
 def queries() -> dict:
