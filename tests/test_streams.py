@@ -100,7 +100,7 @@ def test_windows_over_batches(spark, feed, tmp_path):
     schema = "user_id long, event_id long, ts timestamp, kind string"
     kinds = {
         "slide": lambda s: sliding_counts(s, "ts", ["kind"], "6 hours", "2 hours", "2 hours"),
-        "session": lambda s: session_counts(s, "ts", ["user_id"], "3 hours", "2 hours"),
+        "session": lambda s: session_counts(s, "ts", ["user_id"], "174 minutes", "2 hours"),
         "join": lambda s: followed_by(s.filter("kind = 'view'"), s.filter("kind = 'purchase'"), "user_id", "ts", "event_id", "3 hours", "2 hours"),
     }
     for part in (rows[:25], rows[25:40], rows[40:]):
