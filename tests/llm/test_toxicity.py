@@ -43,6 +43,44 @@ def test_segments_against_brute_force():
     assert maximal_segments([], 1.0) == []
 
 
+def test_segments_take_linear_time():
+    """Hits far apart leave as many open segments as there are hits; each is passed over once."""
+    import time
+
+    rng = np.random.default_rng(1)
+    hits = [(60 * i, 1.0 + float(x)) for i, x in enumerate(rng.random(200_000))]
+    began = time.process_time()
+    assert len(maximal_segments(hits, 0.05)) == len(hits)  # nothing reaches from one hit to the next
+    assert len(maximal_segments(hits, 0.02)) < len(hits)  # some do
+    falling = [(i, 1.0 if i % 2 else -1.0 - i * 1e-6) for i in range(200_000)]
+    maximal_segments(falling, 0.0)
+    assert time.process_time() - began < 15
+
+
+def test_labelled_rows_stay_but_for_near_copies(spark):
+    """Texts that share a passage all count; of near copies, and of one text's copies, the first; rows that share an id count by their texts."""
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"common{i}" for i in range(40))
+    rows = [(i, passage + " " + " ".join(f"own{i}x{j} vilex" if i % 2 else f"own{i}x{j}" for j in rng.integers(0, 99, 60))) for i in range(200)]
+    long = " ".join(f"w{i}" for i in range(300))
+    rows += [(1000 + i, long + f" tail{i}") for i in range(50)] + [(2000, "first text of an id it shares"), (2000, "second text with other words here"), (2000, "first text of an id it shares")]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 2 == 1 and i < 200)) for i, _ in {r[0]: r for r in rows}.items()], "doc_id bigint, toxic int")
+    seen = []
+    from tarnlake.llm import toxicity
+
+    original = toxicity._calibrated
+    try:
+        toxicity._calibrated = lambda model, sample: seen.append(sample.select("doc_id", "text").collect()) or original(model, sample)
+        one, two = fit(docs, labels), fit(docs.repartition(5), labels)
+    finally:
+        toxicity._calibrated = original
+    used = lambda i: zlib.crc32(str(i).encode()) % 5 != 0
+    ids = sorted(r.doc_id for r in seen[0])
+    assert ids == sorted([i for i in range(200) if used(i)] + [min(1000 + i for i in range(50) if used(1000 + i))] + [2000] * (2 * used(2000)))
+    assert one.weights == two.weights and one.pivot == two.pivot
+
+
 def test_log_odds_prior_shrinks(spark):
     df = spark.createDataFrame([(0, 50, 1), (1, 1, 0), (2, 5, 50), (3, 2, 500)], "i int, t bigint, c bigint")
     rows = df.select(*log_odds(F.col("t"), F.col("c"), 1000.0, 9000.0, 0.1)).collect()
