@@ -133,7 +133,8 @@ def blocks(c: Column) -> Column:
     pieces = F.regexp_extract_all(c, F.lit(rf"{SEPARATOR}|(?s:.+?)(?={SEPARATOR}|\z)"), F.lit(0))
     parts = F.filter(F.transform(pieces, strip), lambda p: p != "")
     kind = lambda p: F.when(p == "[PAGE_BREAK]", "page_break").when(p.startswith("[HEADING]"), "heading").otherwise("paragraph")
-    return F.transform(parts, lambda p: F.struct(kind(p).alias("kind"), F.when(kind(p) == "heading", strip_heading_tags(p)).otherwise(p).alias("content")))
+    content = lambda p: F.when(kind(p) == "heading", strip_heading_tags(p)).when(kind(p) == "page_break", "").otherwise(p)
+    return F.transform(parts, lambda p: F.struct(kind(p).alias("kind"), content(p).alias("content")))
 
 
 def sentences(c: Column) -> Column:
@@ -143,11 +144,14 @@ def sentences(c: Column) -> Column:
 
 
 def table_markdown(table: Column) -> Column:
-    """A table (array of rows of cells, the first being the header) as Markdown; an empty one gives a mark."""
-    line = lambda cells: F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda x: F.coalesce(x, F.lit(""))), " | "), F.lit(" |"))
-    rule = line(F.transform(F.get(table, 0), lambda x: F.lit("---")))
-    rows = F.concat(F.array(line(F.get(table, 0)), rule), F.transform(F.slice(table, 2, F.greatest(F.size(table) - 1, F.lit(0))), line))
-    return F.when(F.coalesce(F.size(table), F.lit(0)) > 0, F.array_join(rows, "\n")).otherwise("[BẢNG]")
+    """A table (array of rows of cells, the first being the header) as Markdown. Rows without cells are left out; without a
+    table, or a header with cells, it is an empty text; a cell that is null gives a mark instead of the table."""
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+    some = lambda row: F.coalesce(F.size(row), F.lit(0)) > 0
+    head, rows = F.get(table, 0), F.filter(table, some)
+    broken = F.exists(rows, lambda row: F.exists(row, lambda x: x.isNull()))
+    lines = F.concat(F.array(line(head), line(F.transform(head, lambda x: F.lit("---")))), F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), line))
+    return F.when(~(some(table) & some(head)), "").when(broken, "[BẢNG]").otherwise(F.array_join(lines, "\n"))
 
 
 def inject_tables(c: Column, tables: Column, token: str = "[TABLE]") -> Column:

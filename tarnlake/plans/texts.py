@@ -119,6 +119,32 @@ def table_markdown(spark, sf_dir):
     return n.select("n_nationkey", T.table_markdown(t).alias("markdown"), T.inject_tables(text, F.array(t)).alias("injected"))
 
 
+#: Pages as marked text: headings, and page breaks where a navigation or a footer begins.
+MARKS = [("<h1>", "[HEADING]"), ("</h1>", "[/HEADING]"), ("<(nav|footer)>", "[PAGE_BREAK]"), ("<[^>]*>", " ")]
+
+
+def page_blocks(spark, sf_dir):
+    marked = F.col("html")
+    for pattern, new in MARKS:
+        marked = F.regexp_replace(marked, pattern, new)
+    b = table(spark, sf_dir, "pages").select("page_id", F.posexplode(T.blocks(marked)).alias("pos", "b"))
+    return b.select("page_id", "pos", "b.kind", "b.content")
+
+
+LINK = '<a href="([^"]*)">([^<]*)</a>'
+
+
+def page_tables(spark, sf_dir):
+    """Each page's links as a table; by their numbers, pages have none, an empty header, an empty row, a null cell, or all."""
+    links = [F.regexp_extract_all("html", F.lit(LINK), F.lit(i)) for i in (1, 2)]
+    rows = F.zip_with(*links, lambda a, b: F.array(a, b))
+    none, other = F.array().cast("array<string>"), F.array(F.array(F.lit("link"), F.lit(None).cast("string")))
+    k = F.pmod("page_id", F.lit(5))
+    t = F.when(k == 0, F.slice(rows, 1, 0)).when(k == 1, F.concat(F.array(none), rows)).when(k == 2, F.concat(F.slice(rows, 1, 1), F.array(none), rows)).when(k == 3, F.concat(rows, other)).otherwise(rows)
+    text = F.concat(F.lit("a [TABLE] b [TABLE] "), "url")
+    return table(spark, sf_dir, "pages").select("page_id", T.table_markdown(t).alias("markdown"), T.inject_tables(text, F.array(t)).alias("injected"))
+
+
 def embed_texts(spark, sf_dir):
     d = _docs(spark, sf_dir).withColumn("v", embedder(size=64)(F.col("text")))
     return d.select("doc_id", F.size("v").alias("dimensions"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x), 3).alias("length"))
@@ -152,7 +178,11 @@ WHEN c >= 2 AND d > 0.25 THEN least(d + 0.3 + w, 0.9) WHEN c >= 1 AND d > 0.4 TH
 HEAD = "CASE WHEN ((length(line) < 100 AND line = upper(line)) OR ends_with(line, ':')) AND trim(line) <> '' THEN line END"
 LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)"
 
-PB = "'[PAGE_BREAK]'"
+PB = "''"
+
+MARKED = "html"
+for _old, _new in MARKS:
+    MARKED = f"regexp_replace({MARKED}, '{_old}', '{_new}', 'g')"
 
 ENTRIES = {
     "clean_text": (clean_text, f"SELECT doc_id, md5(trim(regexp_replace({CLEAN.format('nfc_normalize(text)')}, '{SPACES}', ' ', 'g'))) AS clean_md5 FROM documents"),
@@ -174,6 +204,12 @@ SELECT doc_id, out_idx AS chunk_index, out_words AS words, out_sentences AS sent
     "format_dispatch": (format_dispatch, "WITH p AS (SELECT page_id, 'f' || page_id || ['.TXT', '.pdf', '.docx?v=1', '.exe#x', ''][(page_id % 5 + 1)::INT] AS path FROM pages) SELECT page_id, path, lower(regexp_extract(path, '(\\.[^.?#/]+)(?:[?#].*)?$', 1)) AS extension FROM p"),
     "compressible": (compressible, "WITH d AS (SELECT doc_id, n_chars, ['.txt', '.pdf', '.html', '.JSON', ''][(doc_id % 5 + 1)::INT] AS e FROM documents) SELECT doc_id, n_chars BETWEEN 1024 AND 104857600 AND lower(e) IN ('.txt', '.html', '.json') AS compress, CASE WHEN doc_id % 2 = 0 THEN 'gzip' ELSE 'br' END AS encoding FROM d"),
     "table_markdown": (table_markdown, "WITH n AS (SELECT n_nationkey, n_name, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_nationkey || ' | ' || n_name || ' |' AS markdown FROM nation) SELECT n_nationkey, markdown, 'a ' || markdown || ' b [TABLE] ' || n_name AS injected FROM n"),
+    "page_blocks": (page_blocks, f"""WITH p AS (SELECT page_id, {MARKED} AS t FROM pages), b AS (SELECT page_id, list_filter(list_transform(string_split(regexp_replace(t, '(\\[PAGE_BREAK\\]|\\[HEADING\\][^\\[]*\\[/HEADING\\])', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS b FROM p),
+e AS (SELECT page_id, unnest(range(len(b))) AS i, unnest(b) AS x FROM b) SELECT page_id, i::INT AS pos, CASE WHEN x = '[PAGE_BREAK]' THEN 'page_break' WHEN starts_with(x, '[HEADING]') THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN x = '[PAGE_BREAK]' THEN '' WHEN starts_with(x, '[HEADING]') THEN trim(regexp_replace(x, '\\[/?HEADING\\]', '', 'g')) ELSE x END AS content FROM e"""),
+    "page_tables": (page_tables, f"""WITH l AS (SELECT page_id, url, list_transform(list_zip(regexp_extract_all(html, '{LINK}', 1), regexp_extract_all(html, '{LINK}', 2)), lambda x: [x[1], x[2]]) AS r FROM pages),
+t AS (SELECT page_id, url, CASE page_id % 5 WHEN 0 THEN [] WHEN 1 THEN list_concat([[]], r) WHEN 2 THEN list_concat(r[1:1], [[]], r) WHEN 3 THEN list_concat(r, [['link', NULL]]) ELSE r END::VARCHAR[][] AS t FROM l),
+m AS (SELECT page_id, url, CASE WHEN len(t) = 0 OR len(t[1]) = 0 THEN '' WHEN len(list_filter(flatten(t), lambda x: x IS NULL)) > 0 THEN '[BẢNG]' ELSE array_to_string(list_concat(['| ' || t[1][1] || ' | ' || t[1][2] || ' |', '| --- | --- |'], list_transform(list_filter(t[2:], lambda x: len(x) > 0), lambda x: '| ' || x[1] || ' | ' || x[2] || ' |')), chr(10)) END AS markdown FROM t)
+SELECT page_id, markdown, 'a ' || markdown || ' b [TABLE] ' || url AS injected FROM m"""),
     "embed_texts": (embed_texts, None),
     "answer_guard": (answer_guard, None),
 }

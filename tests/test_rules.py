@@ -131,7 +131,7 @@ def test_structure_follows_the_brackets(spark):
         "no marks", "", "[HEADING]open", "[HEADING]a[/HEADING][HEADING]b[/HEADING]tail [/HEADING]",
     ]
     for t in texts:
-        got = [(b.kind, "" if b.kind == "page_break" else b.content) for b in value(spark, t, T.blocks)]
+        got = [(b.kind, b.content) for b in value(spark, t, T.blocks)]
         assert got == structure(t)
     assert structure(texts[0]) == [("heading", "a [1] b c")] and structure(texts[1]) == [("paragraph", "x [HEADING]a [1] b[/HEADING] c")]
     assert structure(texts[2])[:2] == [("heading", "A\nB"), ("paragraph", "text \x01 more")]
@@ -265,3 +265,10 @@ def test_registered_sql_and_models(spark):
     assert [len(r[0]) for r in df.select(embedder(size=8)(F.col("t"))).collect()] == [8, 8]
     assert df.select(generator(lambda: (lambda p: p.upper()), "sorry")(F.col("t"))).collect()[0][0] == "A B"
     assert df.select(generator(None, "sorry")(F.col("t"))).first()[0] == "sorry"
+
+
+def test_tables_as_markdown(spark):
+    """Tables and rows without cells, null rows and cells."""
+    cases = [([], ""), (None, ""), ([[]], ""), ([None, ["a"]], ""), ([[], ["a"]], ""), ([["a"]], "| a |\n| --- |"), ([["a", "b"], [], None, ["c"]], "| a | b |\n| --- | --- |\n| c |"), ([["a"], [None]], "[BẢNG]"), ([[None]], "[BẢNG]"), ([[""]], "|  |\n| --- |")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t array<array<string>>")
+    assert [r.m for r in df.select("i", T.table_markdown(F.col("t")).alias("m")).orderBy("i").collect()] == [want for _, want in cases]
