@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import asyncio
+import contextlib
 import hashlib
+import inspect
+import threading
 import time
 from collections import OrderedDict
-from collections.abc import Callable, Iterator
+from collections.abc import Awaitable, Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -141,3 +145,67 @@ def generator(load: Callable[[], Callable[[str], str]] | None, apology: str) ->
             yield batch.map(one)
 
     return generate
+
+
+async def _in_thread(call: Callable[[str], str], prompt: str) -> str:
+    """A call that blocks, in a thread of its own: one that never ends holds up neither the others nor the worker's end."""
+    loop = asyncio.get_running_loop()
+    answer = loop.create_future()
+
+    def settle(set_, value) -> None:
+        if not answer.done():
+            set_(value)
+
+    def run() -> None:
+        try:
+            done = (answer.set_result, call(prompt))
+        except Exception as e:
+            done = (answer.set_exception, e)
+        with contextlib.suppress(RuntimeError):  # the loop may be closed by then
+            loop.call_soon_threadsafe(settle, *done)
+
+    threading.Thread(target=run, daemon=True).start()
+    return await answer
+
+
+async def answered(model: Callable[[str], str] | Callable[[str], Awaitable[str]], prompts: list[str | None], apology: str, concurrent: int, call_seconds: float, row_seconds: float, retries: int) -> list[tuple[str, str | None, int]]:
+    """Answer, error (none: it went well) and number of calls of each prompt, `concurrent` of them at work at a time."""
+    gate, loop = asyncio.Semaphore(concurrent), asyncio.get_running_loop()
+    blocks = not inspect.iscoroutinefunction(model) and not inspect.iscoroutinefunction(getattr(model, "__call__", None))
+
+    async def one(prompt: str | None) -> tuple[str, str | None, int]:
+        if prompt is None:
+            return apology, "no prompt", 0
+        async with gate:
+            end, error, calls = loop.time() + row_seconds, "", 0
+            for _ in range(1 + retries):
+                left = min(call_seconds, end - loop.time())
+                if left <= 0:
+                    return apology, f"out of time: {error}", calls
+                calls += 1
+                try:
+                    return await asyncio.wait_for(_in_thread(model, prompt) if blocks else model(prompt), left), None, calls
+                except TimeoutError:
+                    error = "timed out"
+                except Exception as e:  # a service that fails must not fail the job
+                    error = f"{type(e).__name__}: {e}"
+            return apology, error, calls
+
+    return await asyncio.gather(*map(one, prompts))
+
+
+def concurrent_generator(load: Callable[[], Callable], apology: str, concurrent: int = 8, call_seconds: float = 45.0, row_seconds: float = 120.0, retries: int = 2) -> Callable[[Column], Column]:
+    """A column function prompt -> struct<answer, error, calls>. load() is called once a task and gives a function, plain or asynchronous,
+    of a prompt. A task has up to `concurrent` calls under way at a time; a call has call_seconds, all tries of a row row_seconds. Where
+    none succeeds the answer is the apology, and error says why; equal prompts of a batch are asked once."""
+
+    @F.pandas_udf("answer string, error string, calls int")
+    def generate(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for batch in batches:
+            prompts = [None if p is None or p != p else p for p in batch]
+            asked = list(dict.fromkeys(prompts))
+            got = dict(zip(asked, asyncio.run(answered(model, asked, apology, concurrent, call_seconds, row_seconds, retries)), strict=True))
+            yield pd.DataFrame([got[p] for p in prompts], columns=["answer", "error", "calls"])
+
+    return generate

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tarnlake.operators import mutations, paging, predicates, relational
 from tarnlake.operators.relational import absent_from, exists_in, repeated_keys
 from tarnlake.schemas import flatten, with_file_struct
-from tarnlake.session import table
+from tarnlake.session import shared_folder, table
 
 WORDS = ["the", "of"]
 
@@ -29,6 +29,20 @@ def list_page(spark, sf_dir):
     return paging.page_of(d, page=2, limit=7, sort_by="n_chars", order="desc", tie="doc_id")
 
 
+DEEP = [1, 1_111, 10_000, 11_999]
+
+
+def deep_pages(spark, sf_dir):
+    """Pages of all lines by price, the deepest as cheap as the first."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    index = paging.RankIndex.build(lines, shared_folder(spark, "ranks"), "l_extendedprice", "desc", ["l_orderkey", "l_linenumber"], range_rows=4096)
+    out = None
+    for page in DEEP:
+        rows = index.page(page, 5).withColumn("page", F.lit(page))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 def search_page(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter(predicates.matches("text", "licen[sc]e|RESERVED")).select("doc_id", "source", "n_chars")
     return paging.page_of(d, page=1, limit=20, sort_by="n_chars", order="asc", tie="doc_id")
@@ -142,6 +156,7 @@ def training_jobs(spark, sf_dir):
 
 ENTRIES = {
     "list_page": (list_page, "SELECT doc_id, source, lang, n_chars FROM documents WHERE source = 'src3' ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 7 OFFSET 7"),
+    "deep_pages": (deep_pages, f"WITH r AS (SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice DESC NULLS LAST, l_orderkey, l_linenumber) AS n FROM lineitem) SELECT l_orderkey, l_linenumber, l_extendedprice, (1 + (n - 1) // 5)::INT AS page FROM r WHERE 1 + (n - 1) // 5 IN ({', '.join(map(str, DEEP))})"),
     "search_page": (search_page, "SELECT doc_id, source, n_chars FROM documents WHERE regexp_matches(text, 'licen[sc]e|RESERVED', 'i') ORDER BY n_chars NULLS FIRST, doc_id LIMIT 20"),
     "literal_search": (literal_search, "SELECT doc_id, source FROM documents WHERE contains(lower(text), lower('Version 2.0.'))"),
     "chunk_page_tiebreak": (chunk_page_tiebreak, f"WITH {CHUNKS} SELECT doc_id, score, is_active FROM c WHERE score BETWEEN 0.5 AND 1 ORDER BY score DESC, doc_id LIMIT 10 OFFSET 20"),

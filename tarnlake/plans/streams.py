@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.session import shared_folder, table
+from tarnlake.sources.queue import JobQueue
 from tarnlake.streaming import states
 from tarnlake.streaming.history import HashHistory, deduplicate
 from tarnlake.streaming.windows import followed_by, run_once, session_counts, sliding_counts
@@ -65,6 +66,17 @@ def duplicate_contents(spark, sf_dir):
     return history.results(spark)
 
 
+def queued_jobs(spark, sf_dir):
+    """Orders as jobs: written to a queue, read from it as a stream, each once, with what the other side sees of them."""
+    spark.dataSource.register(JobQueue)
+    folder = shared_folder(spark, "queue")
+    kind = F.when(F.col("o_orderstatus") == "O", "upload_document").otherwise("training_document")
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), kind.alias("type"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
+    jobs.write.format("job_queue").mode("append").save(f"{folder}/jobs")
+    found = run_once(spark.readStream.format("job_queue").option("split", str(1 << 20)).load(f"{folder}/jobs"), folder)
+    return found.groupBy("type", F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("jobs"), F.countDistinct("id").alias("ids"), F.min("id").alias("first"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+
+
 WATERMARK = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events{})"
 LEGAL = "coalesce(CASE WHEN pre IS NULL THEN ev = 'pending' WHEN pre = 'pending' THEN ev IN ('processing', 'failed') WHEN pre = 'processing' THEN ev IN ('processing', 'completed', 'failed') END, false)"
 
@@ -83,5 +95,6 @@ SELECT id, CASE WHEN over THEN 'failed' ELSE status END AS status, CASE WHEN ove
 r AS (SELECT DISTINCT id, 0::BIGINT AS n, NULL::TIMESTAMP AS computed, 0::BIGINT AS hits, 0::BIGINT AS misses FROM o
  UNION ALL SELECT o.id, o.n, CASE WHEN o.ts <= r.computed + INTERVAL 1 DAY THEN r.computed ELSE o.ts END, r.hits + (CASE WHEN o.ts <= r.computed + INTERVAL 1 DAY THEN 1 ELSE 0 END), r.misses + (CASE WHEN o.ts <= r.computed + INTERVAL 1 DAY THEN 0 ELSE 1 END) FROM r JOIN o ON o.id = r.id AND o.n = r.n + 1)
 SELECT id, hits, misses, computed AS last_computed, 'vector of ' || id AS value FROM r WHERE n = (SELECT max(n) FROM o WHERE o.id = r.id)"""),
+    "queued_jobs": (queued_jobs, "SELECT CASE WHEN o_orderstatus = 'O' THEN 'upload_document' ELSE 'training_document' END AS type, strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS jobs, count(DISTINCT o_orderkey) AS ids, min(o_orderkey::VARCHAR) AS first, 0::BIGINT AS errors FROM orders GROUP BY ALL"),
     "duplicate_contents": (duplicate_contents, "WITH d AS (SELECT lpad(doc_id::VARCHAR, 12, '0') AS path, md5(text) AS file_hash FROM documents), f AS (SELECT file_hash, min(path) AS first FROM d GROUP BY 1) SELECT path, file_hash, CASE WHEN path <> first THEN first END AS duplicate_of FROM d LEFT JOIN f USING (file_hash)"),
 }
