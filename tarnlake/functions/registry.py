@@ -10,6 +10,7 @@ import threading
 import time
 from collections import OrderedDict
 from collections.abc import Awaitable, Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -46,24 +47,25 @@ def hash_vector(text: str, size: int) -> list[float]:
 
 def sentence_encoder(size: int = 768) -> Callable[[list[str]], np.ndarray]:
     """hash_vector of many texts at once, a row each; words met before aren't hashed again."""
-    known: dict[str, tuple[int, float]] = {}
 
-    def place(word: str) -> tuple[int, float]:
-        if (found := known.get(word)) is None:
+    class Places(dict):
+        """Of each word its cell, made negative by its sign: -1 - cell."""
+
+        def __missing__(self, word: str) -> int:
             h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-            found = (h % size, 1.0 if h >> 63 else -1.0)
-            if len(known) < 1 << 18:
-                known[word] = found
-        return found
+            if len(self) >= 1 << 18:
+                self.clear()
+            self[word] = found = h % size if h >> 63 else -1 - h % size
+            return found
+
+    place = Places().__getitem__
 
     def encode(texts: list[str]) -> np.ndarray:
         words = [t.lower().split() for t in texts]
-        cells = [place(w) for ws in words for w in ws]
-        if not cells:
-            return np.zeros((len(texts), size), np.float32)
-        columns, signs = zip(*cells, strict=True)
+        cells = np.fromiter(map(place, chain.from_iterable(words)), np.int64)
         rows = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
-        out = np.bincount(rows * size + np.array(columns), signs, len(texts) * size).reshape(len(texts), size)
+        away = cells < 0
+        out = np.bincount(rows * size + np.where(away, -1 - cells, cells), np.where(away, -1.0, 1.0), len(texts) * size).reshape(len(texts), size)
         lengths = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(lengths > 0, lengths, 1)).astype(np.float32)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions.text import MEDICAL_TERMS, SEPARATOR, word_count
 
+#: Sentences that the model gets at once, but for those of one text that has more.
+SENTENCES = 4096
 Encode = Callable[[list[str]], "np.ndarray"]
 CHUNK = "struct<content:string,chunk_index:int,word_count:int,section:string,chunking_strategy:string>"
 
@@ -66,14 +68,48 @@ class Packer:
         self.limits = (max_tokens, min_tokens, overlap_tokens, short)
         self.threshold, self.encode, self.count, self.split, self.terms = threshold, encode, count, split, terms
 
+    def prepared(self, text: str) -> list[tuple[str, str, list[str]]]:
+        """The blocks of a text: kind, content and, of paragraphs, their sentences."""
+        return [(kind, content, self.split(content) if kind == "paragraph" else []) for kind, content in structure(text)]
+
     def segments(self, sentences: list[str]) -> list[str]:
-        """Sentences joined up to each place where neighbours are less alike than the threshold; one segment without a model."""
-        if self.encode is None or len(sentences) < 2:
-            return [" ".join(sentences)]
-        v = np.asarray(self.encode(sentences), float)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        ends = [*(np.flatnonzero((v[1:] * v[:-1]).sum(1) < self.threshold) + 1).tolist(), len(sentences)]
-        return [" ".join(sentences[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return self.runs([sentences])[0]
+
+    def runs(self, paragraphs: list[list[str]]) -> list[list[str]]:
+        """Of each paragraph's sentences, runs joined up to each place where neighbours are less alike than the threshold;
+        one run without a model, which is called once for all of them."""
+        if self.encode is None:
+            return [[" ".join(p)] for p in paragraphs]
+        several = [i for i, p in enumerate(paragraphs) if len(p) > 1]
+        out = [[" ".join(p)] for p in paragraphs]
+        if several:
+            v = np.asarray(self.encode([s for i in several for s in paragraphs[i]]), float)
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+            apart, at = (v[1:] * v[:-1]).sum(1) < self.threshold, 0
+            for i in several:
+                p = paragraphs[i]
+                ends = [*(np.flatnonzero(apart[at : at + len(p) - 1]) + 1).tolist(), len(p)]
+                out[i] = [" ".join(p[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                at += len(p)
+        return out
+
+    def all(self, texts: Iterable[str]) -> Iterator[list[dict]]:
+        """The chunks of each text. Sentences of many texts go to the model at once: texts are gathered until they have
+        SENTENCES of them."""
+        held: list = []
+        count = 0
+        for text in texts:
+            held.append(self.prepared(text))
+            count += sum(len(s) for _, _, s in held[-1])
+            if count >= SENTENCES:
+                yield from self._packed(held)
+                held, count = [], 0
+        yield from self._packed(held)
+
+    def _packed(self, prepared: list) -> Iterator[list[dict]]:
+        runs = iter(self.runs([s for blocks in prepared for _, _, s in blocks if s]))
+        for blocks in prepared:
+            yield self.fold([(kind, content, next(runs) if s else []) for kind, content, s in blocks])
 
     def overlap(self, text: str) -> str:
         taken, used = [], 0
@@ -86,6 +122,10 @@ class Packer:
         return " ".join(taken)
 
     def __call__(self, text: str) -> list[dict]:
+        return next(self.all([text]))
+
+    def fold(self, blocks: list[tuple[str, str, list[str]]]) -> list[dict]:
+        """Chunks of the blocks (kind, content, segments) in order."""
         most, least, _, short = self.limits
         chunks: list[dict] = []
         held, tokens, section = "", 0, "Unknown"
@@ -95,7 +135,7 @@ class Packer:
             if not noisy(content):
                 chunks.append({"content": content, "chunk_index": len(chunks), "word_count": len(held.split()), "section": section, "chunking_strategy": "semantic_chunk"})
 
-        for kind, content in structure(text):
+        for kind, content, segments in blocks:
             if kind == "heading":
                 section = content
             elif kind == "page_break":
@@ -103,7 +143,7 @@ class Packer:
                     close()
                     held, tokens = "", 0
             else:
-                for segment in self.segments(self.split(content)) if self.split(content) else []:
+                for segment in segments:
                     n = self.count(segment)
                     glue = held and n < short and phrase_cut(" ".join(held.rsplit(" ", 5)[-5:]), segment, self.terms)
                     if not glue and tokens + n > most and tokens >= least:
@@ -127,7 +167,7 @@ def chunk_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     def run(batches):
         pack = Packer(encode=load() if load else None, **options)
         for batch in batches:
-            found = [pack(t) for t in batch.column(1).to_pylist()]
+            found = list(pack.all(batch.column(1).to_pylist()))
             kind = pa.list_(pa.struct([("content", pa.string()), ("chunk_index", pa.int32()), ("word_count", pa.int32()), ("section", pa.string()), ("chunking_strategy", pa.string())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], [id_col, "chunks"])
 

@@ -272,3 +272,22 @@ def test_tables_as_markdown(spark):
     cases = [([], ""), (None, ""), ([[]], ""), ([None, ["a"]], ""), ([[], ["a"]], ""), ([["a"]], "| a |\n| --- |"), ([["a", "b"], [], None, ["c"]], "| a | b |\n| --- | --- |\n| c |"), ([["a"], [None]], "[BẢNG]"), ([[None]], "[BẢNG]"), ([[""]], "|  |\n| --- |")]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t array<array<string>>")
     assert [r.m for r in df.select("i", T.table_markdown(F.col("t")).alias("m")).orderBy("i").collect()] == [want for _, want in cases]
+
+
+def test_the_model_is_called_for_many_texts_at_once():
+    """Chunks are those of each text by itself, with a call for SENTENCES of them."""
+    from tarnlake.functions.registry import sentence_encoder
+    from tarnlake.operators import chunking
+
+    calls = []
+
+    def encode(sentences, own=sentence_encoder(64)):
+        calls.append(len(sentences))
+        return own(sentences)
+
+    texts = [". ".join(f"word{(i * j) % 7} of sentence {j % 5} again" for j in range(i % 40)) + ". [PAGE_BREAK] [HEADING]h[/HEADING] One more here. And its like here." * (i % 3) for i in range(300)]
+    pack = chunking.Packer(max_tokens=40, min_tokens=5, overlap_tokens=9, threshold=0.5, encode=encode)
+    want = [pack(t) for t in texts]
+    alone, calls[:] = len(calls), []
+    assert list(pack.all(texts)) == want and any(len(c) > 2 for c in want)
+    assert len(calls) <= 2 + sum(calls) // chunking.SENTENCES and alone > 200
