@@ -41,6 +41,8 @@ CLASSES = [(1, 1, 1), (4, 2, 2), (16, 8, 8)]
 SPAN = CLASSES[-1][0]
 #: Band values of templates that may be broadcast (24 bytes each); more are joined by a shuffle.
 BROADCAST_BANDS = 1_000_000
+#: Rows of a table of bits, of 64 bits each: it is broadcast, and takes 8 MB at most.
+FILTER_WORDS = 1 << 19
 #: The value that stands for a document itself among its band values.
 SELF = -1
 
@@ -122,6 +124,10 @@ def prepared(templates: DataFrame) -> DataFrame:
     return rows.select("name", "template", "n", F.least("n", F.lit(SHINGLE)).alias("size"), F.array_distinct("s").alias("shingles"), found.alias("bands"))
 
 
+def _match() -> Column:
+    return F.struct("template", "name", (-F.col("m.late")).alias("start"), F.col("m.containment").alias("containment"))
+
+
 def license_matches(docs: DataFrame, templates: list[tuple[str, str]] | DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id", least: float = 0.8) -> DataFrame:
     """One row per row of docs: doc_id and matches, a sorted array of (template, name, start, containment).
 
@@ -134,7 +140,7 @@ def license_matches(docs: DataFrame, templates: list[tuple[str, str]] | DataFram
     2. Bands of texts are joined with the table of template bands. A hit says where in the text the template would begin.
     3. There the shingles are compared exactly. Of a template's hits in a stretch of its length the best one stays.
     Templates are rows, so the plan is the same for any number of them. Their bands are broadcast up to BROADCAST_BANDS;
-    no text is shuffled then: hits and one short row per document are.
+    no text is shuffled then: hits and one short row per document are. More bands are joined by a shuffle, see _beyond.
 
     Null texts count as empty; rows are told apart by id and text, and equal rows each get their matches; null ids
     are ids like others. An empty table gives an empty result; other columns are ignored.
@@ -150,10 +156,7 @@ def license_matches(docs: DataFrame, templates: list[tuple[str, str]] | DataFram
     # the outer forms of inline and posexplode, as Spark would push a test of the others' arrays below all steps that make them
     bands = table.select("template", F.inline_outer("bands")).filter("band is not null").groupBy("band", "template", F.floor(F.col("offset") / SPAN)).agg(F.min("offset").alias("offset"))
     bands = bands.select("band", "template", "offset")
-    own = spark.createDataFrame([(SELF, None, 0)], f"band bigint, template {number.simpleString()}, offset int")
-    bands = bands.unionByName(own)
     few = bands.count() <= BROADCAST_BANDS
-    bands = F.broadcast(bands) if few else bands
     sizes = sorted(r["n"] for r in table.filter(F.col("n") < SHINGLE).select("n").distinct().collect())
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -164,30 +167,78 @@ def license_matches(docs: DataFrame, templates: list[tuple[str, str]] | DataFram
         for name, value in _banded(F.col("s"), i):
             d = d.withColumn(name, value)
     lists = [*[f"b{i}" for i in range(len(CLASSES))], *[f"small{m}" for m in sizes]]
-    flat = d.select("doc_id", "uid", "s", F.array(*[F.size(c) for c in lists]).alias("sizes"), F.concat(*lists, F.array(F.lit(SELF).cast("bigint"))).alias("flat"))
-    hits = flat.select("doc_id", "uid", "s", "sizes", F.posexplode_outer("flat").alias("pos", "band")).join(bands, "band")
+    flat = F.array(*[F.size(c) for c in lists]).alias("sizes"), F.concat(*lists, F.array(F.lit(SELF).cast("bigint")))
     # the window's first word, from the value's place in the list of its class
     before, at = F.lit(0), F.lit(0)
     for i, (_, step, count) in reversed([*enumerate([*CLASSES, *[(1, 1, 1)] * len(sizes)])]):
         before = sum((F.get("sizes", j) for j in range(i)), F.lit(0))
         place = F.floor((F.col("pos") - before) / count).cast("int") * step
         at = F.when(F.col("pos") >= before, place) if i == len(lists) - 1 else at.when(F.col("pos") >= before, place)
-    hits = hits.select("doc_id", "uid", "s", "template", F.greatest(at - F.col("offset"), F.lit(0)).alias("start"))
+    begin = F.greatest(at - F.col("offset"), F.lit(0)).alias("start")
     facts = table.select(F.col("template").alias("_t"), "name", "n", "shingles")
-    facts = F.broadcast(facts) if few else facts
-    met = hits.join(facts, F.col("template") == F.col("_t"), "left")
+    if not few:
+        return _beyond(d, flat, at, bands, facts, least)
+
+    own = spark.createDataFrame([(SELF, None, 0)], f"band bigint, template {number.simpleString()}, offset int")
+    rows = d.select("doc_id", "uid", "s", flat[0], flat[1].alias("flat"))
+    hits = rows.select("doc_id", "uid", "s", "sizes", F.posexplode_outer("flat").alias("pos", "band")).join(F.broadcast(bands.unionByName(own)), "band")
+    met = _compared(_regions(hits.select("doc_id", "uid", "s", "template", begin).join(F.broadcast(facts), F.col("template") == F.col("_t"), "left"), "shingles"))
+    best = _best(met.filter(F.col("template").isNull() | (F.col("containment") >= least)))
+    match = F.when(F.col("template").isNotNull(), _match())
+    out = best.groupBy("doc_id", "uid").agg(F.array_sort(F.collect_list(match)).alias("matches"), F.max(F.when(F.col("template").isNull(), F.col("copies"))).alias("copies"))
+    return out.select("doc_id", "matches", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy")).drop("copy")
+
+
+def _regions(hits: DataFrame, *more: str) -> DataFrame:
+    """The shingles of each hit's surroundings in its text, in place of all of them (s)."""
     pad = F.ceil(F.col("n") / 4).cast("int") + SPAN
     low = F.greatest(F.col("start") - pad, F.lit(0))
     region = F.when(F.col("n") >= SHINGLE, F.slice("s", low + 1, F.col("start") + F.col("n") - SHINGLE + 1 + pad - low))
-    met = met.select("doc_id", "uid", "template", "name", "n", "shingles", "start", low.alias("low"), region.alias("region")).withColumn("common", F.array_intersect("region", "shingles"))
+    return hits.select("doc_id", "uid", "template", "name", "n", *more, "start", low.alias("low"), region.alias("region"))
+
+
+def _compared(regions: DataFrame) -> DataFrame:
+    """doc_id, uid, template, name, n, start and containment of each hit with its region and its template's shingles."""
+    met = regions.withColumn("common", F.array_intersect("region", "shingles"))
     share = F.when(F.col("n") < SHINGLE, 1.0).otherwise(F.size("common") / F.size("shingles"))
     start = F.when(F.col("n") < SHINGLE, F.col("start")).when(F.size("common") > 0, F.col("low") + F.array_position("region", F.get("common", 0)).cast("int") - 1)
-    met = met.select("doc_id", "uid", "template", "name", "n", start.alias("start"), share.alias("containment")).filter(F.col("template").isNull() | (F.col("containment") >= least))
-    keys = ["doc_id", "uid", "template"]
-    best = met.groupBy(*keys, F.floor(F.col("start") / F.col("n")).alias("stretch")).agg(F.max(F.struct("containment", (-F.col("start")).alias("late"))).alias("m"), F.first("name").alias("name"), F.count("*").alias("copies"))
-    match = F.when(F.col("template").isNotNull(), F.struct("template", "name", (-F.col("m.late")).alias("start"), F.col("m.containment").alias("containment")))
-    out = best.groupBy("doc_id", "uid").agg(F.array_sort(F.collect_list(match)).alias("matches"), F.max(F.when(F.col("template").isNull(), F.col("copies"))).alias("copies"))
-    return out.select("doc_id", "matches", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy")).drop("copy")
+    return met.select("doc_id", "uid", "template", "name", "n", start.alias("start"), share.alias("containment"))
+
+
+def _best(met: DataFrame) -> DataFrame:
+    """Of a template's hits in a stretch of its length, the best."""
+    stretch = F.floor(F.col("start") / F.col("n")).alias("stretch")
+    return met.groupBy("doc_id", "uid", "template", stretch).agg(F.max(F.struct("containment", (-F.col("start")).alias("late"))).alias("m"), F.first("name").alias("name"), F.count("*").alias("copies"))
+
+
+def _beyond(d: DataFrame, flat: tuple[Column, Column], at: Column, bands: DataFrame, facts: DataFrame, least: float) -> DataFrame:
+    """The matches where bands are too many for a broadcast.
+
+    Only values that template bands may have leave the texts: a table of bits, of FILTER_WORDS rows at most, is broadcast
+    and tells the others. What is left is shuffled as short rows (document, place, band), and only texts with a hit bring
+    their shingles to the comparison, picked by another table of bits. Overfull bits let more rows pass and change nothing.
+    """
+    d, bands = d.withColumns({"sizes": flat[0], "flat": flat[1]}), stored(bands, "license-bands")
+    rows = d.select("doc_id", "uid", "sizes", F.posexplode_outer("flat").alias("pos", "band")).select("doc_id", "uid", "band", at.alias("at"))
+    hits = _passing(rows, "band", bands).join(bands.hint("shuffle_merge"), "band")
+    hits = hits.select("doc_id", "uid", "template", F.greatest(F.col("at") - F.col("offset"), F.lit(0)).alias("start")).distinct()
+    hits = stored(hits.join(facts.select("_t", "name", "n"), F.col("template") == F.col("_t")).drop("_t"), "license-hits")
+    texts = _passing(d.select("doc_id", "uid", "s"), "uid", hits).withColumnRenamed("doc_id", "_d").withColumnRenamed("uid", "_u")
+    met = _regions(hits.join(texts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("uid") == F.col("_u"))))
+    met = met.join(facts.select("_t", "shingles"), F.col("template") == F.col("_t"))
+    best = _best(_compared(met).filter(F.col("containment") >= least))
+    found = best.groupBy(F.col("doc_id").alias("_d"), F.col("uid").alias("_u")).agg(F.array_sort(F.collect_list(_match())).alias("matches"))
+    out = d.select("doc_id", "uid").join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("uid") == F.col("_u")), "left")
+    return out.select("doc_id", F.coalesce("matches", F.array().cast(found.schema["matches"].dataType)).alias("matches"))
+
+
+def _passing(rows: DataFrame, column: str, of: DataFrame) -> DataFrame:
+    """The rows whose value may be among those of `of`: their bits are in a table that is broadcast."""
+    word = lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(FILTER_WORDS - 1))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(`{c}` & 63 as int))")
+    bits = of.select(word(F.col(column)).alias("_word"), bit(column).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    met = rows.join(F.broadcast(bits), word(F.col(column)) == F.col("_word"))
+    return met.filter(F.col("_bits").bitwiseAND(bit(column)) != 0).select(rows.columns)
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import time
 
 from tests.llm.cases import awkward, documents
 
+from tarnlake.llm import licenses
 from tarnlake.llm.licenses import CLASSES, SHINGLE, SPAN, TEMPLATES, class_of, collision, license_matches
 
 
@@ -108,3 +109,37 @@ def test_no_python_in_the_plan(spark, sf_small):
 def test_bands_are_enough():
     assert collision(0.5) > 0.99 and collision(1.0) == 1 and CLASSES[-1] == (16, 8, 8)
     assert [class_of(n) for n in (1, 4, 5, 22, 23, 500)] == [0, 0, 1, 1, 2, 2]
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_more_bands_than_may_be_broadcast(spark, sf_small, monkeypatch):
+    """The join by a shuffle gives the same rows, with a few times the texts' bytes shuffled, and no Python; for 600 templates of full length too."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    many = [(f"L{i}", " ".join(rng.choices(words, k=1500))) for i in range(600)]
+    rows = [(i, " ".join(rng.choices(words, k=300)) + " " + many[i][1] + " " + " ".join(rng.choices(words, k=200))) for i in range(0, 600, 20)]
+    rows += [(1000 + i, " ".join(rng.choices(words, k=2000))) for i in range(100)] + [(0, rows[0][1])]
+    whole = lambda df: sorted(str(r) for r in df.collect())
+    small = awkward(documents(spark)).unionByName(spark.read.parquet(f"{sf_small}/documents.parquet"), allowMissingColumns=True).unionByName(documents(spark, [(7000 + i, t) for i, (_, t) in enumerate(TEMPLATES)] * 2), allowMissingColumns=True)
+    want = whole(license_matches(small))
+    monkeypatch.setattr(licenses, "BROADCAST_BANDS", 0)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        df = license_matches(small)
+        assert whole(df) == want and any("MIT" in r for r in want)
+        size = sum(len(r.text or "") for r in small.collect())
+        assert shuffled(spark) - before < 6 * size, (shuffled(spark) - before, size)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
+        docs = documents(spark, rows)
+        got = license_matches(docs, many).collect()
+        assert len(got) == len(rows) and all([(m.name, m.start, m.containment) for m in r.matches] == ([(f"L{r.doc_id}", 300, 1.0)] if r.doc_id < 1000 else []) for r in got)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
