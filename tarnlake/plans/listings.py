@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnlake.operators import mutations, paging, predicates, relational
+from tarnlake.operators import mutations, paging, predicates, relational, trigrams
 from tarnlake.operators.relational import absent_from, exists_in, repeated_keys
 from tarnlake.schemas import flatten, with_file_struct
 from tarnlake.session import shared_folder, table
@@ -48,6 +48,13 @@ def search_page(spark, sf_dir):
     return paging.page_of(d, page=1, limit=20, sort_by="n_chars", order="asc", tie="doc_id")
 
 
+def indexed_search(spark, sf_dir):
+    """All texts that match, by the index of trigrams."""
+    d = table(spark, sf_dir, "documents")
+    posted = trigrams.index(d, shared_folder(spark, "postings"))
+    return trigrams.search(d, posted, "licen[sc]e|RESERVED|(example|test)\\.(com|org)").select("doc_id", "source", "n_chars")
+
+
 def literal_search(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter(predicates.matches("text", "Version 2.0.", literal=True))
     return d.select("doc_id", "source")
@@ -158,6 +165,7 @@ ENTRIES = {
     "list_page": (list_page, "SELECT doc_id, source, lang, n_chars FROM documents WHERE source = 'src3' ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 7 OFFSET 7"),
     "deep_pages": (deep_pages, f"WITH r AS (SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice DESC NULLS LAST, l_orderkey, l_linenumber) AS n FROM lineitem) SELECT l_orderkey, l_linenumber, l_extendedprice, (1 + (n - 1) // 5)::INT AS page FROM r WHERE 1 + (n - 1) // 5 IN ({', '.join(map(str, DEEP))})"),
     "search_page": (search_page, "SELECT doc_id, source, n_chars FROM documents WHERE regexp_matches(text, 'licen[sc]e|RESERVED', 'i') ORDER BY n_chars NULLS FIRST, doc_id LIMIT 20"),
+    "indexed_search": (indexed_search, "SELECT doc_id, source, n_chars FROM documents WHERE regexp_matches(text, 'licen[sc]e|RESERVED|(example|test)\\.(com|org)', 'i')"),
     "literal_search": (literal_search, "SELECT doc_id, source FROM documents WHERE contains(lower(text), lower('Version 2.0.'))"),
     "chunk_page_tiebreak": (chunk_page_tiebreak, f"WITH {CHUNKS} SELECT doc_id, score, is_active FROM c WHERE score BETWEEN 0.5 AND 1 ORDER BY score DESC, doc_id LIMIT 10 OFFSET 20"),
     "job_history_page": (job_history_page, "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_totalprice < 200000 AND o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 15 OFFSET 15"),
