@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -165,6 +166,17 @@ def is_txt_heading(line: Column) -> Column:
     return ((F.length(line) < 100) & (line == F.upper(line))) | line.endswith(":")
 
 
+def sections(lines: Column, is_head: Callable[[Column], Column]) -> Column:
+    """array<struct<section, first, lines>>: an array of lines cut before each heading, which is the section of its own line and of those
+    up to the next; null before the first. first is the number of a section's first line, from 0. Each line is copied once."""
+    at = F.filter(F.transform(lines, lambda x, i: F.when(F.coalesce(is_head(x), F.lit(False)), i)), lambda i: i.isNotNull())
+    starts = F.when(F.coalesce(F.get(at, 0), F.lit(-1)) == 0, at).otherwise(F.concat(F.array(F.lit(0)), at))
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(lines)))
+    first_is_head = F.get(at, 0) == 0
+    section = lambda a: F.when((a > 0) | F.coalesce(first_is_head, F.lit(False)), F.get(lines, a))
+    return F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(section(a).alias("section"), a.alias("first"), F.slice(lines, a + 1, b - a).alias("lines"))), lambda s: F.size(s["lines"]) > 0)
+
+
 def is_docx_heading(style: Column, text: Column) -> Column:
     letters = text.rlike(r"^\p{L}+$")
     return style.startswith("Heading") | (style == "Title") | ((F.length(text) < 100) & (text == F.upper(text)) & letters)

@@ -204,3 +204,9 @@ def chunk_stats(chunks: DataFrame, by: str, position: str, content: str) -> Data
     w = Window.partitionBy(by)
     index = F.row_number().over(w.orderBy(position)) - 1
     return chunks.withColumns({"word_count": word_count(F.col(content)), "chunk_index": index, "chunk_count": F.count("*").over(w).cast("int")})
+
+
+def chunk_stats_of(df: DataFrame, chunks: str) -> DataFrame:
+    """chunk_stats of chunks that stand in an array of each row (position and content, in order), one row each: nothing is shuffled."""
+    rows = df.select(*[c for c in df.columns if c != chunks], F.size(chunks).alias("chunk_count"), F.posexplode(chunks).alias("chunk_index", "_c"))
+    return rows.select(*[c for c in df.columns if c != chunks], "_c.*", "chunk_index", "chunk_count").withColumn("word_count", word_count(F.col("content")))

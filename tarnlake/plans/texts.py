@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tarnlake.functions import text as T
 from tarnlake.functions.registry import embedder, sentence_encoder
 from tarnlake.operators.chunking import chunk_documents, pack_sentences
-from tarnlake.operators.relational import carry_forward
 from tarnlake.operators.scoring import relevance
 from tarnlake.session import table
 from tarnlake.sources.files import with_format
@@ -46,17 +45,14 @@ def lexicon_score_with_model(spark, sf_dir):
     return rows.select("doc_id", relevance(F.col("text"), F.col("quality") * F.lit(0.5), F.col("toxic") * F.lit(0.7), LEXICON).alias("score"))
 
 
-def _lines(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-
-
 def heading_split(spark, sf_dir):
-    """Heading lines of each document, carried forward as the section of the lines after them."""
-    lines = _lines(spark, sf_dir)
-    head = F.when(T.is_txt_heading(F.col("line")) & (F.trim("line") != ""), F.col("line"))
-    section = F.coalesce(carry_forward(lines.withColumn("head", head), "head", "doc_id", "pos"), F.lit("Unknown"))
-    rows = lines.withColumn("head", head).withColumn("section", section)
-    return rows.groupBy("doc_id").agg(F.count("head").alias("headings"), F.count("*").alias("n_lines"), F.count_if(F.col("section") != "Unknown").alias("in_sections"))
+    """Heading lines of each document, carried forward as the section of the lines after them: by arrays, a document is one row."""
+    head = lambda line: T.is_txt_heading(line) & (F.trim(line) != "")
+    lines = F.split("text", "\n")
+    rows = _docs(spark, sf_dir).filter("text is not null").select("doc_id", lines.alias("lines")).select("doc_id", F.size("lines").cast("long").alias("n_lines"), T.sections(F.col("lines"), head).alias("s"))
+    inside = lambda s: F.when(s["section"] != "Unknown", F.size(s["lines"])).otherwise(0).cast("long")
+    headings = F.size(F.filter("s", lambda s: s["section"].isNotNull())).cast("long")
+    return rows.select("doc_id", headings.alias("headings"), "n_lines", F.aggregate("s", F.lit(0).cast("long"), lambda n, s: n + inside(s)).alias("in_sections"))
 
 
 def structure_blocks(spark, sf_dir):

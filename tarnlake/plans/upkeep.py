@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions import text as T
 from tarnlake.operators import dialogue, health, mutations
-from tarnlake.operators.chunking import chunk_stats
+from tarnlake.operators.chunking import chunk_stats_of
 from tarnlake.plans.readings import anchor_of
 from tarnlake.session import table
 from tarnlake.streaming.jobs import dedupe_contents
@@ -136,8 +136,9 @@ def heading_rules(spark, sf_dir):
 
 
 def chunk_statistics(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "content")).filter(F.trim("content") != "")
-    return chunk_stats(lines, "doc_id", "pos", "content").select("doc_id", "pos", "chunk_index", "chunk_count", "word_count")
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("content")))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.filter(lines, lambda x: F.trim(x["content"]) != "").alias("chunks"))
+    return chunk_stats_of(d, "chunks").select("doc_id", "pos", "chunk_index", "chunk_count", "word_count")
 
 
 def duplicate_uploads(spark, sf_dir):

@@ -291,3 +291,28 @@ def test_the_model_is_called_for_many_texts_at_once():
     alone, calls[:] = len(calls), []
     assert list(pack.all(texts)) == want and any(len(c) > 2 for c in want)
     assert len(calls) <= 2 + sum(calls) // chunking.SENTENCES and alone > 200
+
+
+def test_sections_and_statistics_in_place(spark):
+    """Against a loop over lines, and against windows over a table of chunks; with no shuffle in the plan."""
+    import random
+
+    from tarnlake.operators.chunking import chunk_stats, chunk_stats_of
+
+    rng = random.Random(2)
+    rows = [(i, [rng.choice(["# a", "# b", "x", "y", ""]) for _ in range(rng.randrange(12))]) for i in range(60)] + [(99, None)]
+    df = spark.createDataFrame(rows, "id int, lines array<string>")
+    out = df.select("id", T.sections(F.col("lines"), lambda x: x.startswith("#")).alias("s"))
+    for r in out.collect():
+        own, section, want = dict(rows)[r.id], None, []
+        for x in own or []:
+            section = x if x.startswith("#") else section
+            want.append((section, x))
+        assert [(s.section, x) for s in r.s or [] for x in s.lines] == want
+        assert [x for s in r.s or [] for x in own[s.first : s.first + len(s.lines)]] == (own or [])
+    chunks = df.select("id", F.transform("lines", lambda x, i: F.struct(i.alias("pos"), x.alias("content"))).alias("c"))
+    got = chunk_stats_of(chunks, "c")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString() + out._jdf.queryExecution().executedPlan().toString()
+    table_ = df.select("id", F.posexplode("lines").alias("pos", "content"))
+    key = lambda d: sorted(tuple(r) for r in d.select("id", "pos", "chunk_index", "chunk_count", "word_count").collect())
+    assert key(got) == key(chunk_stats(table_, "id", "pos", "content"))
