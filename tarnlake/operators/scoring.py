@@ -47,8 +47,8 @@ def lexicon_hits(text: Column, lexicon: list[tuple[str, float]] = WEIGHTED, **op
     return let(F.lower(text), hits)
 
 
-def relevance(text: Column, topic: Column | None = None, lifestyle: Column | None = None, lexicon: list[tuple[str, float]] = WEIGHTED, **options) -> Column:
-    """Relevance from 0 to 1, to three places. topic and lifestyle are a model's scores, 0 without a model; blank text scores 0."""
+def relevance(text: Column, topic: Column | None = None, lifestyle: Column | None = None, lexicon: list[tuple[str, float]] = WEIGHTED, hits: Callable[..., Column] = lexicon_hits, **options) -> Column:
+    """Relevance from 0 to 1, to three places; hits gives the weights (words.lexicon_hits_at_once for a large lexicon). topic and lifestyle are a model's scores, 0 without a model; blank text scores 0."""
     d, side = (F.lit(0.0) if x is None else F.coalesce(x.cast("double"), F.lit(0.0)) for x in (topic, lifestyle))
     clean = F.coalesce(text, F.lit(""))
 
@@ -66,5 +66,5 @@ def relevance(text: Column, topic: Column | None = None, lifestyle: Column | Non
     def counted(weights: Column) -> Column:
         return F.struct(F.size(weights).alias("count"), F.aggregate(weights, F.lit(0.0), lambda s, x: s + x).alias("weight"))
 
-    value = let(let(lexicon_hits(clean, lexicon, **options), counted), score)
+    value = let(let(hits(clean, lexicon, **options), counted), score)
     return F.round(F.when(F.trim(clean) == "", 0.0).otherwise(value), 3)

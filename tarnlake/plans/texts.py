@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions import text as T
 from tarnlake.functions.registry import embedder, sentence_encoder
+from tarnlake.functions.words import cuts_phrase_at_once, lexicon_hits_at_once
 from tarnlake.operators.chunking import chunk_documents, pack_sentences
 from tarnlake.operators.scoring import relevance
 from tarnlake.session import table
@@ -38,6 +39,11 @@ def lexicon_score(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", relevance(F.col("text"), lexicon=LEXICON).alias("score"))
 
 
+def lexicon_score_at_once(spark, sf_dir):
+    """By one automaton for all words."""
+    return _docs(spark, sf_dir).select("doc_id", relevance(F.col("text"), lexicon=LEXICON, hits=lexicon_hits_at_once).alias("score"))
+
+
 def lexicon_score_with_model(spark, sf_dir):
     """The labels' quality stands for a model's topic score."""
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "l_id")
@@ -77,12 +83,12 @@ def semantic_chunks(spark, sf_dir):
     return chunk_documents(_docs(spark, sf_dir), load=sentence_encoder, min_tokens=50, threshold=0.7).select("doc_id", "chunk_index", "word_count", "section", F.md5("content").alias("content_md5"))
 
 
-def sentence_borders(df, terms, *keys):
+def sentence_borders(df, terms, *keys, cuts=T.cuts_phrase):
     """Whether the border after each sentence but a text's last cuts a term; pos counts from 0."""
     s = T.sentences(F.col("text"))
     rows = df.select(*keys, s.alias("s")).filter(F.size("s") > 1)
     pairs = F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("before"), F.slice("s", 2, F.size("s") - 1).alias("after"))
-    return rows.select(*keys, F.posexplode(pairs).alias("pos", "p")).select(*keys, "pos", T.cuts_phrase(F.col("p.before"), F.col("p.after"), terms).alias("cut"))
+    return rows.select(*keys, F.posexplode(pairs).alias("pos", "p")).select(*keys, "pos", cuts(F.col("p.before"), F.col("p.after"), terms).alias("cut"))
 
 
 def phrase_cut_guard(spark, sf_dir):
@@ -90,6 +96,11 @@ def phrase_cut_guard(spark, sf_dir):
     return sentence_borders(table(spark, sf_dir, "conversations"), BORDER_TERMS, "conv_id", "turn")
 
 
+def phrase_cuts_at_once(spark, sf_dir):
+    """By lookups of what the sentences end with."""
+    return sentence_borders(table(spark, sf_dir, "conversations"), BORDER_TERMS, "conv_id", "turn", cuts=cuts_phrase_at_once)
+
+
 def path_parts(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("path"))
     return p.select("page_id", T.bucket_of(F.col("path")).alias("bucket"), T.object_of(F.col("path")).alias("object"), T.base_name(F.col("path")).alias("base"))
@@ -184,6 +195,7 @@ ENTRIES = {
     "clean_text": (clean_text, f"SELECT doc_id, md5(trim(regexp_replace({CLEAN.format('nfc_normalize(text)')}, '{SPACES}', ' ', 'g'))) AS clean_md5 FROM documents"),
     "clean_pages": (clean_pages, f"SELECT page_id, md5(trim(regexp_replace({CLEAN.format('html')}, '{SPACES}', ' ', 'g'))) AS clean_md5 FROM pages"),
     "noisy_chunks": (noisy_chunks, f"SELECT doc_id, {WORDS} < 10 OR {PIPES} / ({WORDS} + 1) > 0.3 OR (contains(text, 'Wikipedia') AND NOT contains(text, '://')) AS noisy, {WORDS} AS words, {PIPES} AS pipes FROM documents"),
+    "lexicon_score_at_once": (lexicon_score_at_once, _score_sql("documents", "0", "0")),
     "lexicon_score": (lexicon_score, _score_sql("documents", "0", "0")),
     "lexicon_score_with_model": (lexicon_score_with_model, _score_sql("documents JOIN labels USING (doc_id)", "quality * 0.5", "toxic * 0.7")),
     "heading_split": (heading_split, f"WITH {LINES}, h AS (SELECT *, {HEAD} AS head FROM l), s AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM h) SELECT doc_id, count(head) AS headings, count(*) AS n_lines, count(*) FILTER (WHERE coalesce(section, 'Unknown') <> 'Unknown') AS in_sections FROM s GROUP BY doc_id"),
@@ -209,3 +221,4 @@ SELECT page_id, markdown, 'a ' || markdown || ' b [TABLE] ' || url AS injected F
     "embed_texts": (embed_texts, None),
     "answer_guard": (answer_guard, None),
 }
+ENTRIES["phrase_cuts_at_once"] = (phrase_cuts_at_once, ENTRIES["phrase_cut_guard"][1])
