@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarnlake.functions import sentences
 from tarnlake.functions import text as T
 from tarnlake.functions.registry import embedder, sentence_encoder
 from tarnlake.functions.words import cuts_phrase_at_once, lexicon_hits_at_once
@@ -73,6 +74,12 @@ def sentence_counts(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.size(s).alias("n"), F.md5(F.array_join(s, "\n")).alias("joined_md5"))
 
 
+def abbreviation_scores(spark, sf_dir):
+    """How much like an abbreviation each word with a full stop is."""
+    words = sentences.scored(sentences.dotted_words(_docs(spark, sf_dir))).filter("dotted > 0")
+    return words.select("word", "n", "dotted", (F.round("score", 4) + 0.0).alias("score"))
+
+
 def greedy_chunks(spark, sf_dir):
     d = _docs(spark, sf_dir).withColumn("s", T.sentences(F.col("text")))
     return d.select("doc_id", F.posexplode(pack_sentences(F.col("s"), 120, 20)).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.words", "c.sentences")
@@ -201,6 +208,9 @@ ENTRIES = {
     "heading_split": (heading_split, f"WITH {LINES}, h AS (SELECT *, {HEAD} AS head FROM l), s AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM h) SELECT doc_id, count(head) AS headings, count(*) AS n_lines, count(*) FILTER (WHERE coalesce(section, 'Unknown') <> 'Unknown') AS in_sections FROM s GROUP BY doc_id"),
     "structure_blocks": (structure_blocks, f"SELECT page_id, unnest(range(9))::INT AS pos, unnest(['heading', 'paragraph', 'page_break', 'page_break', 'paragraph', 'page_break', 'heading', 'page_break', 'paragraph']) AS kind, unnest([url, 'first part', {PB}, {PB}, 'a [HEADING]x [1] y[/HEADING] z', {PB}, 'x [1] y' || chr(10) || 'z', {PB}, 'second ' || page_id]) AS content FROM pages"),
     "sentence_counts": (sentence_counts, f"SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(10))) AS joined_md5 FROM (SELECT doc_id, {SENTENCES} AS s FROM documents)"),
+    "abbreviation_scores": (abbreviation_scores, r"""WITH t AS (SELECT regexp_replace(unnest(regexp_split_to_array(text, '\s+')), '^[(\[{]+', '') AS t FROM documents), w AS (SELECT lower(regexp_replace(t, '\.$', '')) AS word, ends_with(t, '.') AS dot FROM t),
+c AS (SELECT word, count(*) AS n, count(*) FILTER (WHERE dot) AS dotted FROM w WHERE regexp_full_match(word, '\pL+(\.\pL+)*') GROUP BY word), p AS (SELECT sum(dotted)::DOUBLE / sum(n) AS p FROM c)
+SELECT word, n, dotted, round(2 * ((dotted * ln(0.99) + (n - dotted) * ln(1 - 0.99)) - (dotted * ln(p) + (n - dotted) * ln(1 - p))) * exp(-length(replace(word, '.', ''))::DOUBLE) * (length(word) - length(replace(word, '.', '')) + 1) * pow(length(replace(word, '.', '')), dotted - n), 4) + 0.0 AS score FROM c, p WHERE dotted > 0"""),
     "greedy_chunks": (greedy_chunks, f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, list_transform({SENTENCES}, lambda x: len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> ''))) AS n FROM documents),
 f AS (SELECT doc_id, n, 1 AS i, 0 AS idx, 0::BIGINT AS words, 0 AS sentences, NULL::BIGINT AS out_words, NULL::INT AS out_sentences, 0 AS out_idx FROM d
 UNION ALL SELECT doc_id, n, i + 1, CASE WHEN closed THEN idx + 1 ELSE idx END, CASE WHEN closed THEN x ELSE words + x END, CASE WHEN closed THEN 1 ELSE sentences + 1 END, CASE WHEN closed THEN words END, CASE WHEN closed THEN sentences END, idx
