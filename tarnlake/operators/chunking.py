@@ -62,9 +62,14 @@ def phrase_cut(before: str, after: str, terms: list[str]) -> bool:
 
 class Packer:
     """The chunks of one document. Text is gathered segment by segment; a chunk is closed when the next segment would
-    pass max_tokens and it has min_tokens at least, and the next one then starts with up to two of its last sentences."""
+    pass max_tokens and it has min_tokens at least, and the next one then starts with up to two of its last sentences.
 
-    def __init__(self, max_tokens: int = 512, min_tokens: int = 100, overlap_tokens: int = 64, threshold: float = 0.6, encode: Encode | None = None, count: Callable[[str], int] = count_words, split: Callable[[str], list[str]] = split_sentences, terms: list[str] = MEDICAL_TERMS, short: int = 50):
+    These are the service's limits, which a long segment passes. With hard, no chunk has more than max_tokens by `count`: segments that
+    are longer are cut between words (a longer word between letters), a chunk is closed whatever it has, and the
+    sentences before and phrases that a border would cut give way."""
+
+    def __init__(self, max_tokens: int = 512, min_tokens: int = 100, overlap_tokens: int = 64, threshold: float = 0.6, encode: Encode | None = None, count: Callable[[str], int] = count_words, split: Callable[[str], list[str]] = split_sentences, terms: list[str] = MEDICAL_TERMS, short: int = 50, hard: bool = False):
+        self.hard = hard
         self.limits = (max_tokens, min_tokens, overlap_tokens, short)
         self.threshold, self.encode, self.count, self.split, self.terms = threshold, encode, count, split, terms
 
@@ -111,6 +116,28 @@ class Packer:
         for blocks in prepared:
             yield self.fold([(kind, content, next(runs) if s else []) for kind, content, s in blocks])
 
+    def within(self, segment: str) -> list[str]:
+        """The segment in parts of max_tokens at most, as long as they can be."""
+        out, rest, glue = [], segment.split(), " "
+        if self.count(segment) <= self.limits[0]:
+            return [segment]
+        while rest:
+            low, high = 0, len(rest)  # `low` of them fit
+            while low < high:
+                mid = (low + high + 1) // 2
+                low, high = (mid, high) if self.count(glue.join(rest[:mid])) <= self.limits[0] else (low, mid - 1)
+            if low:
+                out.append(glue.join(rest[:low]))
+                rest = rest[low:]
+            elif len(rest[0]) == 1:
+                raise ValueError("max_tokens is less than a letter has")
+            else:  # a word that is too long by itself
+                size = len(rest[0])
+                while size > 1 and self.count(rest[0][:size]) > self.limits[0]:
+                    size = (size + 1) // 2
+                rest = [rest[0][:size], rest[0][size:], *rest[1:]]
+        return out
+
     def overlap(self, text: str) -> str:
         taken, used = [], 0
         for s in reversed(self.split(text)[-2:]):
@@ -143,13 +170,14 @@ class Packer:
                     close()
                     held, tokens = "", 0
             else:
-                for segment in segments:
+                for segment in segments if not self.hard else (part for s in segments for part in self.within(s)):
                     n = self.count(segment)
-                    glue = held and n < short and phrase_cut(" ".join(held.rsplit(" ", 5)[-5:]), segment, self.terms)
-                    if not glue and tokens + n > most and tokens >= least:
+                    full = self.hard and held and self.count(f"{held} {segment}") > most
+                    glue = held and n < short and not full and phrase_cut(" ".join(held.rsplit(" ", 5)[-5:]), segment, self.terms)
+                    if full or (not self.hard and not glue and tokens + n > most and tokens >= least):
                         close()
                         before = self.overlap(held)
-                        held = f"{before} {segment}" if before else segment
+                        held = f"{before} {segment}" if before and not (self.hard and self.count(f"{before} {segment}") > most) else segment
                         tokens = self.count(held)
                     else:
                         held = f"{held} {segment}" if held else segment
