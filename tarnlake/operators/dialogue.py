@@ -140,6 +140,23 @@ def render_rag(system: Column, question: Column, contexts: Column, history: Colu
     return F.trim(F.concat_ws("\n\n", F.nullif(system, F.lit("")), before, asked, evidence, F.lit(guidance or None)))
 
 
+# The parts of the template for a question about trends.
+TREND_OLDER, TREND_YOUNGER, TREND_AGAIN = ("Chào bác ", "bác"), ("Chào anh/chị ", "anh/chị"), "Dạ, theo dõi gần đây,"
+TREND_PATIENT, TREND_DATA, TREND_NOTES, TREND_QUESTION = "### Thông tin bệnh nhân", "### Dữ liệu sức khỏe", "### Ghi chú theo dõi", "### Câu hỏi của "
+
+
+def render_trend(system: Column, question: Column, full_name: Column, age: Column, patient: Column, summary: Column, notes: Column, first_time: Column, guidance: str = "") -> Column:
+    """The service's template for a question about trends: system prompt, a greeting by age the first time and a link to what was said
+    else, what is known of the patient, the data, notes if there are any, the question and guidance. A null age is a younger one's."""
+    older = F.coalesce(age >= 50, F.lit(False))
+    greeting, name = (F.when(older, TREND_OLDER[i]).otherwise(TREND_YOUNGER[i]) for i in (0, 1))
+    opening = F.when(F.coalesce(first_time, F.lit(False)), F.concat(greeting, F.coalesce(full_name, F.lit("")), F.lit(","))).otherwise(TREND_AGAIN)
+    part = lambda head, body: F.concat(F.lit(f"{head}\n"), F.coalesce(body, F.lit("")))
+    noted = F.when(F.coalesce(notes, F.lit("")) != "", part(TREND_NOTES, notes))
+    asked = F.concat(F.lit(TREND_QUESTION), name, F.lit('\n"'), F.coalesce(question, F.lit("")), F.lit('"'))
+    return F.trim(F.concat_ws("\n\n", F.nullif(system, F.lit("")), opening, part(TREND_PATIENT, patient), part(TREND_DATA, summary), noted, asked, F.lit(guidance or None)))
+
+
 def address(age: Column) -> Column:
     """How to address a person of this age."""
     return F.when(age >= 50, "bác").otherwise("bạn")

@@ -64,6 +64,15 @@ def rag_prompts(spark, sf_dir):
     return asked.select("conv_id", F.md5(prompt).alias("prompt_md5"))
 
 
+def trend_prompts(spark, sf_dir):
+    """The prompt of each customer about their orders, greeted or not, with and without notes."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"))
+    c = table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"))
+    notes = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("last "), F.col("last").cast("string")))
+    prompt = dialogue.render_trend(F.lit("system"), F.concat(F.lit("how is "), "c_name"), F.col("c_name"), (F.col("c_custkey") % 90).cast("int"), F.col("c_mktsegment"), F.concat(F.col("n").cast("string"), F.lit(" orders")), notes, F.col("c_custkey") % 2 == 0, "### end")
+    return c.select("c_custkey", F.md5(prompt).alias("prompt_md5"))
+
+
 def last_user_message(spark, sf_dir):
     return search.rewritten(_turns(spark, sf_dir), "conv_id", "turn").select("conv_id", F.md5("question").alias("question_md5"))
 
@@ -100,6 +109,8 @@ KIND = f"CASE WHEN {_Q['greetings']} AND NOT {_Q['question_words']} THEN 'rag_on
 PRONOUNS = _any("lower(text)", search.PRONOUNS)
 OLDER = f"CASE WHEN {_any('q', ['ung', 'ow'])} THEN 'invalid' WHEN {_any('q', ['hello', 'ing'])} THEN 'greeting' WHEN {_any('q', ['der '])} THEN 'trend_analysis' WHEN {_any('q', ['the '])} THEN 'relational' WHEN {_any('q', ['e'])} THEN 'personal_info' ELSE 'rag_only' END"
 
+GAP = "chr(10) || chr(10)"
+
 ENTRIES = {
     "question_route": (question_route, f"WITH c AS (SELECT conv_id, turn, lower(substr(trim(text), 1, 500)) AS q, lower(text) AS t FROM conversations WHERE role = 'user'), k AS (SELECT *, {KIND} AS kind, {_any('t', WORDS['greetings'])} AND NOT {_any('t', WORDS['question_words'])} AS hello FROM c) SELECT conv_id, turn, kind, CASE WHEN hello THEN 'greeting' WHEN kind = 'invalid' THEN 'invalid' WHEN kind = 'trend' THEN 'status' WHEN kind = 'personal' AND turn > 2 THEN 'status' WHEN conv_id % 2 = 0 THEN 'rag' ELSE 'guidance' END AS route FROM k"),
     "canned_answer": (canned_answer, "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'thing') THEN 'one' WHEN contains(lower(text), 'tion') THEN 'two' WHEN contains(lower(text), 'und') THEN 'three' WHEN contains(lower(text), 'est') THEN 'complications' ELSE 'default' END AS topic FROM conversations WHERE role = 'user'"),
@@ -108,6 +119,7 @@ ENTRIES = {
     "history_last10": (history_last10, "WITH r AS (SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 10) SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM r"),
     "history_lines": (history_lines, "SELECT conv_id, string_agg(upper(role[1]) || lower(role[2:]) || ': ' || text, chr(10) ORDER BY turn) AS lines FROM conversations GROUP BY conv_id"),
     "rag_prompts": (rag_prompts, f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations), h AS (SELECT conv_id, string_agg('- ' || CASE WHEN role = 'user' THEN '{dialogue.RAG_ASKED}' ELSE '{dialogue.RAG_ANSWERED}' END || ': ' || text, chr(10) ORDER BY n) FILTER (WHERE n <= 4) AS lines, coalesce(arg_max(text, turn) FILTER (WHERE role = 'user'), '') AS q, count(*) FILTER (WHERE role = 'user') > 0 AS asked FROM r GROUP BY conv_id) SELECT conv_id, md5(trim('system' || chr(10) || chr(10) || '{dialogue.RAG_HISTORY}' || chr(10) || lines || chr(10) || chr(10) || '{dialogue.RAG_QUESTION}' || chr(10) || chr(34) || q || chr(34) || chr(10) || chr(10) || CASE WHEN conv_id % 2 = 0 AND asked THEN '{dialogue.RAG_EVIDENCE}' || chr(10) || 'about ' || q ELSE '{dialogue.RAG_NOTHING}' END)) AS prompt_md5 FROM h"),
+    "trend_prompts": (trend_prompts, f"WITH o AS (SELECT o_custkey, count(*) AS n, max(o_orderkey) AS last FROM orders GROUP BY 1) SELECT c_custkey, md5('system' || {GAP} || CASE WHEN c_custkey % 2 <> 0 THEN '{dialogue.TREND_AGAIN}' WHEN c_custkey % 90 >= 50 THEN '{dialogue.TREND_OLDER[0]}' || c_name || ',' ELSE '{dialogue.TREND_YOUNGER[0]}' || c_name || ',' END || {GAP} || '{dialogue.TREND_PATIENT}' || chr(10) || c_mktsegment || {GAP} || '{dialogue.TREND_DATA}' || chr(10) || n || ' orders' || {GAP} || CASE WHEN c_custkey % 3 = 0 THEN '{dialogue.TREND_NOTES}' || chr(10) || 'last ' || last || {GAP} ELSE '' END || '{dialogue.TREND_QUESTION}' || CASE WHEN c_custkey % 90 >= 50 THEN '{dialogue.TREND_OLDER[1]}' ELSE '{dialogue.TREND_YOUNGER[1]}' END || chr(10) || chr(34) || 'how is ' || c_name || chr(34) || {GAP} || '### end') AS prompt_md5 FROM customer JOIN o ON o_custkey = c_custkey"),
     "last_user_message": (last_user_message, "SELECT conv_id, md5(arg_max(text, turn) FILTER (WHERE role = 'user')) AS question_md5 FROM conversations GROUP BY conv_id"),
     "rewrite_gate": (rewrite_gate, f"WITH c AS (SELECT conv_id, count(*) AS n, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id) SELECT conv_id, n >= 2 AND {PRONOUNS} AS rewrite FROM c"),
     "role_normalised": (role_normalised, "SELECT CASE WHEN lower(role) = 'user' THEN 'user' ELSE 'ai' END AS role, count(*) AS n FROM conversations GROUP BY 1"),

@@ -316,3 +316,12 @@ def test_sections_and_statistics_in_place(spark):
     table_ = df.select("id", F.posexplode("lines").alias("pos", "content"))
     key = lambda d: sorted(tuple(r) for r in d.select("id", "pos", "chunk_index", "chunk_count", "word_count").collect())
     assert key(got) == key(chunk_stats(table_, "id", "pos", "content"))
+
+
+def test_trend_template(spark):
+    """The greeting by age and the first time, notes that are left out if there are none, nulls."""
+    rows = [("An", 65, True, "n"), ("Bình", 49, True, None), ("An", 50, False, ""), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "name string, age int, first boolean, notes string")
+    got = [r.p for r in df.select(dialogue.render_trend(F.lit("s"), F.lit("q?"), F.col("name"), F.col("age"), F.lit("p"), F.lit("d"), F.col("notes"), F.col("first"), "g").alias("p")).collect()]
+    rest = lambda who, notes="": f"### Thông tin bệnh nhân\np\n\n### Dữ liệu sức khỏe\nd\n\n{notes}### Câu hỏi của {who}\n\"q?\"\n\ng"
+    assert got == ["s\n\nChào bác An,\n\n" + rest("bác", "### Ghi chú theo dõi\nn\n\n"), "s\n\nChào anh/chị Bình,\n\n" + rest("anh/chị"), "s\n\nDạ, theo dõi gần đây,\n\n" + rest("bác"), "s\n\nDạ, theo dõi gần đây,\n\n" + rest("anh/chị")]
