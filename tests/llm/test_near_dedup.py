@@ -144,3 +144,29 @@ def test_block_links_across_sides():
     assert block_links(sets, [0, 1, 2, 3], np.zeros(4, bool), 0.8) == [(0, 1), (0, 2)]
     assert block_links(sets, [0, 0, 2, 3], np.array([False, False, True, True]), 0.8) == [(0, 2)]
     assert block_links([], [], np.zeros(0, bool), 0.8) == []
+
+
+def test_recall_of_planted_edits(spark):
+    """250 pairs in each band of similarity, of short and long texts with words replaced, dropped and added: nearly all are one class, and no pair is joined with another."""
+    import random
+
+    rng, levels = random.Random(77), [(0.8, 0.825), (0.825, 0.85), (0.85, 0.9), (0.9, 0.95), (0.95, 1.0)]
+    words = [f"{a}{b}" for a in ("thr", "and", "onl", "ver", "est") for b in range(400)]
+    pairs = {level: [] for level in levels}
+    rows = []
+    while any(len(p) < 250 for p in pairs.values()):
+        one = rng.choices(words, k=rng.choice([60, 120, 300, 800]))
+        two = list(one)
+        for _ in range(max(1, int(len(one) * rng.uniform(0, 0.035)))):
+            i = rng.randrange(len(two))
+            two[i : i + 1] = rng.choice([[f"new{rng.random()}"], [], [two[i], f"add{rng.random()}"]])
+        a, b = shingles(" ".join(one)), shingles(" ".join(two))
+        likeness = sum((a & b).values()) / sum((a | b).values())
+        level = next((x for x in levels if x[0] <= likeness < x[1]), None)
+        if level and len(pairs[level]) < 250:
+            pairs[level].append(len(rows))
+            rows += [(len(rows), " ".join(one)), (len(rows) + 1, " ".join(two))]
+    found = {r.doc_id: (r.class_id, r.class_size) for r in near_classes(documents(spark, rows)).collect()}
+    recall = {level: np.mean([found[i] == found[i + 1] == (i, 2) for i in own]) for level, own in pairs.items()}
+    print(recall)
+    assert all(x >= 0.99 for x in recall.values()), recall
