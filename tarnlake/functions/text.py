@@ -141,7 +141,7 @@ def blocks(c: Column) -> Column:
 def sentences(c: Column) -> Column:
     """Sentences of more than three characters after white space is collapsed."""
     flat = F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
-    return F.filter(F.transform(F.split(flat, r"(?<=[.!?…])\s+"), F.trim), lambda s: F.length(s) > 3)
+    return F.filter(F.transform(F.split(flat, r"(?<=[.!?…])\s+"), lambda s: F.trim(s)), lambda s: F.length(s) > 3)  # F.trim itself would get the index as what to trim
 
 
 def table_markdown(table: Column) -> Column:

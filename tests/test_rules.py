@@ -325,3 +325,9 @@ def test_trend_template(spark):
     got = [r.p for r in df.select(dialogue.render_trend(F.lit("s"), F.lit("q?"), F.col("name"), F.col("age"), F.lit("p"), F.lit("d"), F.col("notes"), F.col("first"), "g").alias("p")).collect()]
     rest = lambda who, notes="": f"### Thông tin bệnh nhân\np\n\n### Dữ liệu sức khỏe\nd\n\n{notes}### Câu hỏi của {who}\n\"q?\"\n\ng"
     assert got == ["s\n\nChào bác An,\n\n" + rest("bác", "### Ghi chú theo dõi\nn\n\n"), "s\n\nChào anh/chị Bình,\n\n" + rest("anh/chị"), "s\n\nDạ, theo dõi gần đây,\n\n" + rest("bác"), "s\n\nDạ, theo dõi gần đây,\n\n" + rest("anh/chị")]
+
+
+def test_sentences_keep_their_digits(spark):
+    """A sentence's number in its text has no part in what is trimmed."""
+    text = "0 first one 0. 148.9.179.11 is second 1! 2 more 22. 33 33 3? 4 last 44"
+    assert value(spark, text, T.sentences) == ["0 first one 0.", "148.9.179.11 is second 1!", "2 more 22.", "33 33 3?", "4 last 44"]
