@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,10 @@ from tarnlake.operators.relational import last_n
 
 #: Rows of a cell, and queries that look into it, which meet in one step.
 BLOCK_POINTS, BLOCK_QUERIES = 8192, 512
+#: Blocks of queries that meet a block of points in one step where all cells are looked into, and pairs scored at once.
+QUERY_BLOCKS, PAIRS = 4, 1 << 16
+#: More than what rounding can add to a cosine, in double and in single precision.
+ROUNDING, SINGLE = 1e-9, 1e-4
 
 
 @dataclass
@@ -42,6 +47,11 @@ class Quantiser:
         codes = [nearest(rest[:, j], self.books[j]) for j in range(len(self.books))]
         return cell, np.stack(codes, axis=1).astype(np.uint8) if codes else np.empty((len(x), 0), np.uint8)
 
+    def decoded(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that cells and codes stand for."""
+        rest = self.books[np.arange(len(self.books)), codes].reshape(len(codes), -1)
+        return self.centers[cell] + rest[:, : self.size]
+
     def looked_up(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Approximate cosines, queries x rows of one cell: tables of a query's products with all codewords, added up by code."""
         tables = np.einsum("qmw,mcw->mqc", self.parts(queries), self.books)
@@ -61,8 +71,8 @@ def k_means(x: np.ndarray, k: int, rounds: int, seed: int, unit: bool = False) -
     centers = rows[np.random.default_rng(seed).permutation(len(rows))[:k]].copy()
     for _ in range(rounds):
         cell = (x @ centers.T).argmax(axis=1) if unit else nearest(x, centers)
-        n, total = np.bincount(cell, minlength=len(centers)), np.zeros_like(centers)
-        np.add.at(total, cell, x)
+        n = np.bincount(cell, minlength=len(centers))
+        total = np.stack([np.bincount(cell, column, len(centers)) for column in x.T], axis=1)
         centers[n > 0] = total[n > 0] / n[n > 0, None]
         if unit:
             centers /= np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
@@ -71,12 +81,21 @@ def k_means(x: np.ndarray, k: int, rounds: int, seed: int, unit: bool = False) -
 
 def unit_vectors(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The rows with `size` dimensions and a length, as unit vectors, and their numbers."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    values = column.flatten()
+    if not column.null_count and not values.null_count and np.all(np.diff(column.offsets.to_numpy()) == size):
+        fits, x = range(len(column)), values.to_numpy(zero_copy_only=False).astype(float).reshape(len(column), size)
+        return _of_length_one(x, fits)
     rows = column.to_pylist()
     fits = [i for i, v in enumerate(rows) if v is not None and len(v) == size and None not in v]
-    x = np.array([rows[i] for i in fits], float).reshape(len(fits), size)
+    return _of_length_one(np.array([rows[i] for i in fits], float).reshape(len(fits), size), fits)
+
+
+def _of_length_one(x: np.ndarray, fits: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.linalg.norm(x, axis=1)
     some = np.isfinite(lengths) & (lengths > 0)
-    return x[some] / lengths[some, None], np.array(fits, np.int64)[some]
+    return x[some] / lengths[some, None], np.array([*fits], np.int64)[some]
 
 
 def fit(points: DataFrame, id_col: str = "id", vector: str = "embedding", cells: int | None = None, sample_rows: int = 16_384, width: int = 2, words: int = 256, rounds: int = 12, seed: int = 7) -> Quantiser:
@@ -187,11 +206,14 @@ def approximate_search(points: DataFrame, indexed: DataFrame, quantiser: Quantis
 
     indexed is index(points, ...), filtered as the search is to be. `share` of the cells are looked into by code, nearest first, and the
     best `rerank` by code are scored exactly, by one join with their vectors: only those pairs meet whole vectors. With
-    share 1 and rerank as many as there are points the result is exact. Scores below the threshold go.
+    share 1 and rerank as many as there are points the result is exact; from a block's points on, `exact_by_code` gives it, as a
+    list of all pairs would grow with their product. Scores below the threshold go.
     """
     if top_k <= 0:
         raise InvalidArgument("TOP_K", "top_k must be over 0")
     count = max(1, int(np.ceil(share * len(quantiser.centers))))
+    if count >= len(quantiser.centers) and rerank >= BLOCK_POINTS:
+        return exact_by_code(points, indexed, quantiser, queries, top_k, threshold, id_col, vector, collection)
     found = candidates(indexed, probes(queries, quantiser, count, vector), quantiser, max(rerank, top_k), id_col, collection)
     named = [F.col(c).alias("_col") for c in ([collection] if collection else [])]
     whole = points.select(F.col(id_col).alias("_id"), F.col(vector).alias("_v"))
@@ -203,6 +225,99 @@ def approximate_search(points: DataFrame, indexed: DataFrame, quantiser: Quantis
     return last_n(rows, ["query", *([collection] if collection else [])], [F.desc("score"), F.col(id_col)], top_k, "rank")
 
 
+def exact_by_code(points: DataFrame, indexed: DataFrame, quantiser: Quantiser, queries: DataFrame, top_k: int = 5, threshold: float | None = None, id_col: str = "id", vector: str = "embedding", collection: str | None = None) -> DataFrame:
+    """approximate_search over all cells and all candidates: exact, and no pair of a query and a point ever is a row.
+
+    Points go with their cells and codes, and with their vectors, as a row each block of queries. A cosine is no further from the
+    looked-up one than the decoded vector is from the point's own, so codes tell which pairs of a block may be among the top_k
+    of their query (and collection) and reach the threshold. Those are scored by their vectors, as functions.vectors.cosine does,
+    and a block hands on its top_k alone: rows grow with queries times blocks, work with queries times points."""
+    by = [collection] if collection else []
+    first = F.min(F.struct("cell", "code")).alias("_s")
+    places = indexed.filter("cell is not null").groupBy(F.col(id_col).alias("_id"), *[F.col(c).alias("_c") for c in by]).agg(first)
+    whole = points.select(F.col(id_col).alias("_own"), F.col(vector).alias("v"))
+    p = places.join(whole, F.col("_id") == F.col("_own")).select("_id", *["_c" for _ in by], "_s.cell", "_s.code", "v")
+    q = queries.select("query", F.col(vector).alias("v")).filter("v is not null")
+    pn, qn = max(1, -(-points.count() // BLOCK_POINTS)), max(1, -(-q.count() // (QUERY_BLOCKS * BLOCK_QUERIES)))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    p = p.withColumns({"pb": F.pmod(F.xxhash64("_id"), F.lit(pn)).cast("int"), "qb": spread(qn)})
+    q = q.withColumns({"qb": F.pmod(F.xxhash64("query"), F.lit(qn)).cast("int"), "pb": spread(pn)})
+    schema = StructType([q.schema["query"], p.schema["_id"], *(p.schema["_c"] for _ in by), StructField("score", DoubleType())])
+    target = to_arrow_schema(schema)
+    shared = points.sparkSession.sparkContext.broadcast(quantiser)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return target.empty_table()
+        known, left = shared.value, left.sort_by([*(("_c", "ascending") for _ in by), ("_id", "ascending")])
+        (x, a), (y, b) = (unit_vectors(t["v"], known.size) for t in (left, right))
+        if not len(a) or not len(b):
+            return target.empty_table()
+        left, right = left.take(pa.array(a)), right.take(pa.array(b))
+        codes = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(left.num_rows, -1)
+        coded = known.decoded(left["cell"].to_numpy(), codes)
+        off = (np.linalg.norm(x - coded, axis=1) + SINGLE).astype(np.float32)
+        own_x, own_y = (np.array(t["v"].combine_chunks().flatten(), float).reshape(t.num_rows, known.size) for t in (left, right))
+        ends = [left.num_rows]
+        if by:
+            kinds = left["_c"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            ends = [*(np.flatnonzero(np.diff(kinds)) + 1).tolist(), *ends]
+        rows, columns, scores = [], [], []
+        coded = coded.astype(np.float32).T
+        for at in range(0, len(y), BLOCK_QUERIES):
+            some = slice(at, at + BLOCK_QUERIES)
+            near = y[some].astype(np.float32) @ coded
+            for begin, end in zip([0, *ends], ends):
+                own = slice(begin, end)
+                r, c, score = _best(near[:, own], off[own], x[own], y[some], own_x[own], own_y[some], top_k, threshold)
+                rows.append(r + at)
+                columns.append(c + begin)
+                scores.append(score)
+        r, c = np.concatenate(rows), np.concatenate(columns)
+        out = [right["query"].take(pa.array(r)), left["_id"].take(pa.array(c)), *([left["_c"].take(pa.array(c))] if by else []), pa.array(np.concatenate(scores))]
+        return pa.Table.from_arrays([z.combine_chunks() if isinstance(z, pa.ChunkedArray) else z for z in out], schema=target)
+
+    found = p.groupBy("pb", "qb").cogroup(q.groupBy("pb", "qb")).applyInArrow(meet, schema)
+    found = found.withColumnsRenamed({"_id": id_col} | {"_c": c for c in by})
+    return last_n(found, ["query", *by], [F.desc("score"), F.col(id_col)], top_k, "rank")
+
+
+def _best(near: np.ndarray, off: np.ndarray, x: np.ndarray, y: np.ndarray, own_x: np.ndarray, own_y: np.ndarray, top_k: int, threshold: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, point and score of the top_k points of each query, by cosines known to `off` (near: queries x points). Points are in
+    the order of their ids. The nearest of each top_k-th part of the points are scored first: a point that can't be as near as
+    the least of these is none of the top_k."""
+    least = -np.inf if threshold is None else threshold
+    floor = np.full(len(near), least - ROUNDING)
+    if len(x) > top_k:
+        parts = (near[:, i::top_k].argmax(axis=1) * top_k + i for i in range(top_k))
+        floor = np.maximum(floor, np.min([np.einsum("ij,ij->i", y, x[p]) for p in parts], axis=0) - ROUNDING)
+    r, c = np.nonzero(near + off >= floor[:, None].astype(np.float32))
+    near = np.concatenate([np.einsum("ij,ij->i", y[r[i : i + PAIRS]], x[c[i : i + PAIRS]]) for i in range(0, len(r), PAIRS)] or [np.empty(0)])
+    kept = near >= floor[r]
+    r, c, near = r[kept], c[kept], near[kept]
+    kept = _top(r, near, top_k, ROUNDING)
+    r, c = r[kept], c[kept]
+    score = np.concatenate([cosines(own_y[r[i : i + PAIRS]], own_x[c[i : i + PAIRS]]) for i in range(0, len(r), PAIRS)] or [np.empty(0)])
+    r, c, score = (z[score >= least] for z in (r, c, score))
+    order = np.lexsort((c, -score, r))
+    r, c, score = r[order], c[order], score[order]
+    kept = np.arange(len(r)) - np.searchsorted(r, r) < top_k
+    return r[kept], c[kept], score[kept]
+
+
+def _top(group: np.ndarray, value: np.ndarray, k: int, within: float) -> np.ndarray:
+    """Whether each value is no more than `within` below the k-th of its group; groups are in order."""
+    order = np.lexsort((-value, group))
+    first, last = np.searchsorted(group, group), np.searchsorted(group, group, "right")
+    return value >= value[order[np.minimum(first + k, last) - 1]] - within
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of rows, added up in the order of their dimensions as functions.vectors.cosine does, so that equal vectors have equal ones."""
+    dot = lambda u, v: np.add.accumulate(u * v, axis=1)[:, -1]
+    return dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b)))
+
+
 def exact_search(points: DataFrame, queries: DataFrame, top_k: int = 5, id_col: str = "id", vector: str = "embedding") -> DataFrame:
     """The top_k points of each query (query, vector) by scoring every pair, with score and rank: points and queries are
     cut into blocks, each pair of which is one matrix product. Vectors that are null, of length zero or of another size

@@ -82,3 +82,20 @@ def test_the_sample_is_bounded(spark):
     points = spark.range(3000).selectExpr("id", "array(cast(sin(id) as float), cast(cos(id * 7) as float)) as embedding")
     cells = ivf.fit(points, sample_rows=160)
     assert len(cells.centers) == 10 and ivf.index(points, cells).filter("cell is null").count() == 0
+
+
+def test_all_cells_and_candidates_without_a_row_a_pair(spark, sf_small, monkeypatch):
+    """Over small blocks the exact way by code gives the SQL's rows, equal vectors by their ids, and hands on queries times blocks rows, not pairs."""
+    monkeypatch.setattr(ivf, "BLOCK_POINTS", 400)
+    monkeypatch.setattr(ivf, "BLOCK_QUERIES", 8)
+    e = table(spark, sf_small, "embeddings")
+    e = e.union(e.withColumn("vec_id", F.col("vec_id") + 100_000))
+    queries, cells = asked(e), ivf.fit(e, "vec_id")
+    found = ivf.approximate_search(e, ivf.index(e, cells, "vec_id"), cells, queries, top_k=3, threshold=0.2, share=1.0, rerank=1 << 30, id_col="vec_id", collection="label")
+    own = e.alias("p").crossJoin(queries.alias("q")).select("query", "label", "vec_id", ivf.cosine(F.col("p.embedding"), F.col("q.embedding")).alias("score")).filter("score >= 0.2")
+    want = ivf.last_n(own, ["query", "label"], [F.desc("score"), F.col("vec_id")], 3, "rank")
+    key = lambda df: sorted((r["query"], r.label, r["rank"], r.vec_id, r.score) for r in df.collect())
+    got = key(found)
+    assert got == key(want) and len(got) > queries.count()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert plan.count("FlatMapCoGroupsInArrow") == 1 and plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") == 1  # points with their codes; no join of pairs
