@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,9 +17,9 @@ LOG = "id {kind}, event_id long, at long, status string, accepted boolean, reaso
 LOOKUPS = "id {kind}, event_id long, at long, hit boolean, computed_at long, value string"
 
 
-def in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """All rows of a key in this batch, by time; of one time, by event."""
-    return pd.concat([*rows]).sort_values(["us", "event_id"], kind="stable")
+def in_order(rows: Iterator[Row]) -> list[Row]:
+    """All rows of a key in this batch, by time; of one time, by event, nulls last."""
+    return sorted(rows, key=lambda r: (r["us"] is None, r["us"] or 0, r["event_id"] is None, r["event_id"] or 0))
 
 
 def step(status: str | None, at: int | None, event: str | None, now: int, timeout: int) -> tuple[str | None, bool, int | None]:
@@ -36,26 +35,21 @@ class JobStates(StatefulProcessor):
     processing and silent for longer than the time-out; events that come later than that find it failed."""
 
     def __init__(self, timeout: int, columns: list[str]):
-        self.timeout, self.columns = timeout, columns
+        self.timeout, self.row = timeout, Row(*columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("job", "status string, at long")
 
-    def row(self, key, event_id, at: int, status, accepted: bool, reason: str | None) -> list:
-        return [key, event_id, at, status, accepted, reason]
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        status, at = self.state.get() if self.state.exists() else (None, None)
-        before, out = (status, at), []
-        events = in_order(rows)
-        for event_id, event, now in zip(events["event_id"], events["event"], events["us"].tolist(), strict=True):
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        status, at = before = self.state.get() or (None, None)
+        for event_id, event, now in ((r["event_id"], r["event"], r["us"]) for r in in_order(rows)):
             after, legal, over = step(status, at, event, now, self.timeout)
             if over is not None:
                 status, at = "failed", over
-                out.append(self.row(key[0], None, over, "failed", True, "timed out"))
+                yield self.row(key[0], None, over, "failed", True, "timed out")
             reason = None if legal else f"{status or 'nothing'} to {event}"
-            out.append(self.row(key[0], event_id, now, after, legal, reason))
+            yield self.row(key[0], event_id, now, after, legal, reason)
             if legal:
                 status, at = after, now
         if (status, at) != before:
@@ -64,18 +58,12 @@ class JobStates(StatefulProcessor):
             if status == "processing":
                 self.handle.registerTimer((at + self.timeout) // 1000 + 1)
             self.state.update((status, at))
-        yield self.frame(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, at = self.state.get() if self.state.exists() else (None, None)
-        out = []
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        status, at = self.state.get() or (None, None)
         if status == "processing" and (at + self.timeout) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
             self.state.update(("failed", at + self.timeout))
-            out.append(self.row(key[0], None, at + self.timeout, "failed", True, "timed out"))
-        yield self.frame(out)
-
-    def frame(self, rows: list[list]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=self.columns).astype({"event_id": "Int64", "at": "int64", "accepted": bool})
+            yield self.row(key[0], None, at + self.timeout, "failed", True, "timed out")
 
     def close(self) -> None:
         pass
@@ -86,33 +74,29 @@ class ExpiringValues(StatefulProcessor):
     one computes anew. A timer of event time forgets what no lookup can hit any more, so state is what the last `age` holds."""
 
     def __init__(self, age: int, compute, columns: list[str]):
-        self.age, self.compute, self.columns = age, compute, columns
+        self.age, self.compute, self.row = age, compute, Row(*columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("value", "value string, computed_at long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        value, computed = self.state.get() if self.state.exists() else (None, None)
-        first, out = computed, []
-        events = in_order(rows)
-        for event_id, now in zip(events["event_id"], events["us"].tolist(), strict=True):
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        value, computed = self.state.get() or (None, None)
+        first = computed
+        for event_id, now in ((r["event_id"], r["us"]) for r in in_order(rows)):
             hit = computed is not None and now - computed <= self.age
             if not hit:
                 value, computed = self.compute(key[0]), now
-            out.append([key[0], event_id, now, hit, computed, value])
+            yield self.row(key[0], event_id, now, hit, computed, value)
         if computed != first:
             self.state.update((value, computed))
             self.handle.registerTimer((computed + self.age) // 1000 + 1)
-        yield self.frame(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists() and (self.state.get()[1] + self.age) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.state.get()
+        if held and (held[1] + self.age) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
             self.state.clear()
-        yield self.frame([])
-
-    def frame(self, rows: list[list]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=self.columns).astype({"event_id": "Int64", "at": "int64", "computed_at": "int64", "hit": bool})
+        yield from ()
 
     def close(self) -> None:
         pass
@@ -122,7 +106,7 @@ def _stated(events: DataFrame, processor, schema: str, delay: str, times: list[s
     """events (id, event_id, at, ...) keyed by id, through the processor, in event time; `times` become timestamps again."""
     events.sparkSession.conf.set(STORE, ROCKS)  # the only store that has timers
     timed = events.withColumn("us", F.unix_micros("at")).withWatermark("at", delay)
-    out = timed.groupBy("id").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    out = timed.groupBy("id").transformWithState(processor, schema, "Append", "EventTime")
     return out.withColumns({c: F.timestamp_micros(c) for c in times})
 
 

@@ -138,3 +138,11 @@ def test_history_of_contents(spark, feed, tmp_path, monkeypatch):
     files = spark.createDataFrame([(str(i), str(i % 30)) for i in range(200)], schema)
     many.add(files, 0)
     assert many.add(files.limit(5).withColumn("path", F.concat(F.lit("z"), "path")), 1).filter("duplicate_of is null").count() == 0
+
+
+def test_state_goes_by_rows():
+    """No frame of pandas is made for a key: a key's rows are put in order as rows, nulls last."""
+    from pyspark.sql import Row
+
+    rows = [Row(us=2, event_id=1), Row(us=1, event_id=None), Row(us=1, event_id=5), Row(us=None, event_id=0), Row(us=1, event_id=4)]
+    assert [tuple(r) for r in states.in_order(iter(rows))] == [(1, 4), (1, 5), (1, None), (2, 1), (None, 0)]
