@@ -68,8 +68,14 @@ class RankIndex:
     keeps the ranges' row counts. A page is then a slice of one or two ranges, found by sums of the counts before: no
     other range is read, however deep the page. The ties given should make the order total; rows they can't tell apart
     share a range.
+
+    Every range is a task, a folder and samples that the driver gets, so there are MOST_RANGES at most. Those of larger tables
+    have more rows, each with its number in the range (`_n`) in its order: Parquet's pages hold range_rows of them, and a page of the
+    listing reads those with its numbers alone.
     """
 
+    MOST_RANGES = 256
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         about = spark.read.parquet(f"{self.path}/about").first()
@@ -82,13 +88,14 @@ class RankIndex:
     @classmethod
     def build(cls, df: DataFrame, path: str, sort_by: str, order: str = "desc", tie: str | list[str] = "_id", range_rows: int = 1 << 16) -> RankIndex:
         spark, tie = df.sparkSession, [tie] if isinstance(tie, str) else tie
-        ranges = max(1, -(-df.count() // range_rows))
+        ranges = min(cls.MOST_RANGES, max(1, -(-df.count() // range_rows)))
         by = ordering(sort_by, order, tie)
         dealt = df.repartitionByRange(ranges, *by).withColumn("_range", F.spark_partition_id())
-        dealt.sortWithinPartitions("_range", *by).write.mode("overwrite").partitionBy("_range").parquet(f"{path}/rows")
-        stored = spark.read.schema(dealt.schema).parquet(f"{path}/rows")
+        numbered = dealt.sortWithinPartitions("_range", *by).withColumn("_n", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+        numbered.write.mode("overwrite").option("parquet.page.row.count.limit", str(range_rows)).partitionBy("_range").parquet(f"{path}/rows")
+        stored = spark.read.schema(numbered.schema).parquet(f"{path}/rows")
         stored.groupBy("_range").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/counts")
-        about = spark.createDataFrame([(sort_by, order, tie, dealt.schema.json())], "sort_by string, order string, tie array<string>, columns string")
+        about = spark.createDataFrame([(sort_by, order, tie, numbered.schema.json())], "sort_by string, order string, tie array<string>, columns string")
         about.write.mode("overwrite").parquet(f"{path}/about")
         return cls(spark, path)
 
@@ -107,4 +114,9 @@ class RankIndex:
     def page(self, page: int = 1, limit: int = 10) -> DataFrame:
         check_page(page, limit, "asc")
         ranges, before = self.ranges_of(page, limit)
-        return self.rows.filter(F.col("_range").isin(ranges)).drop("_range").orderBy(*self.order).offset(before).limit(limit)
+        rows = self.rows.filter(F.col("_range").isin(ranges))
+        if len(ranges) == 1:
+            rows, before = rows.filter((F.col("_n") >= before) & (F.col("_n") < before + limit)), 0
+        elif ranges:  # of the first range its end, of the others (each whole but the last) no more than the page has
+            rows, before = rows.filter(F.when(F.col("_range") == ranges[0], F.col("_n") >= before).otherwise(F.col("_n") < limit)), 0
+        return rows.drop("_range", "_n").orderBy(*self.order).offset(before).limit(limit)

@@ -33,3 +33,15 @@ def test_a_deep_page_reads_few_rows(spark, tmp_path):
     assert index.ranges_of(4001, 10) == ([], 0) and again.page(4001, 10).collect() == []
     empty = RankIndex.build(df.limit(0), f"file://{tmp_path}/e", "v")
     assert empty.total == 0 and empty.page(1, 10).collect() == []
+
+
+def test_few_ranges_however_large_the_table(spark, tmp_path, monkeypatch):
+    """Tasks, folders and samples have a bound; pages equal a full sort, within ranges and over their borders."""
+    monkeypatch.setattr(RankIndex, "MOST_RANGES", 5, raising=False)
+    df = spark.range(3000).select(F.col("id").alias("_id"), F.when(F.col("id") % 10 > 0, F.col("id") * 7 % 400).alias("v"))
+    index = RankIndex.build(df, f"file://{tmp_path}/i", "v", "desc", range_rows=10)
+    assert len(index.ranges) <= 5 and index.total == 3000
+    border = index.ends[0]
+    for page, limit in [(1, 10), (7, 10), (border // 10, 10), (border // 10 + 1, 10), (border // 100 + 1, 100), (border // 99 + 1, 99), (300, 10), (301, 10)]:
+        want = page_of(df, page, limit, "v", "desc", "_id").collect()
+        assert [tuple(r) for r in index.page(page, limit).collect()] == [tuple(r) for r in want], (page, limit)
