@@ -14,9 +14,14 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes and rows of texts that are Python's at once.
+PIECE_BYTES, PIECE_ROWS = 1 << 20, 1000
+
 
 def register_sql(spark: SparkSession) -> None:
     """clean_text, is_noisy, split_sentences and cosine_similarity for spark.sql(), as SQL functions that Catalyst inlines."""
@@ -117,15 +122,31 @@ def cached(model: Callable[[list[str]], list], cache: TimedCache) -> Callable[[l
     return run
 
 
+def pieces(texts: pa.Array, most: int = PIECE_BYTES) -> Iterator[list[str]]:
+    """The texts in order, null as empty, as lists of texts with `most` bytes or a thousand rows at most, or of one text: an Arrow
+    batch has a number of rows, whatever their size, and only one list of it is made Python's at a time."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    begin, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > begin and (held + size > most or i - begin == PIECE_ROWS):
+            yield pc.fill_null(texts.slice(begin, i - begin), "").to_pylist()
+            begin, held = i, 0
+        held += size
+    if begin < len(texts):
+        yield pc.fill_null(texts.slice(begin), "").to_pylist()
+
+
 def embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None, size: int = 768) -> Callable[[Column], Column]:
     """A column function text -> array<float>. load() is called once in each task and gives a function of a list of
-    texts, which gets texts of the task's last 500 distinct ones (TimedCache's size and age) once; without it, hash_vector."""
+    texts, which gets texts of the task's last 500 distinct ones (TimedCache's size and age) once; without it, hash_vector.
+    The model gets `pieces` of a batch, and vectors are kept as Arrow's floats."""
 
-    @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = cached(load() if load else lambda texts: [hash_vector(t, size) for t in texts], TimedCache())
         for batch in batches:
-            yield pd.Series(model(batch.fillna("").tolist()), dtype=object)
+            found = [pa.array(model(texts), pa.list_(pa.float32())) for texts in pieces(batch)]
+            yield pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.float32()))
 
     return embed
 

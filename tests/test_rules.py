@@ -331,3 +331,15 @@ def test_sentences_keep_their_digits(spark):
     """A sentence's number in its text has no part in what is trimmed."""
     text = "0 first one 0. 148.9.179.11 is second 1! 2 more 22. 33 33 3? 4 last 44"
     assert value(spark, text, T.sentences) == ["0 first one 0.", "148.9.179.11 is second 1!", "2 more 22.", "33 33 3?", "4 last 44"]
+
+
+def test_a_batch_is_read_in_pieces_of_bounded_size():
+    """An Arrow batch's texts become Python's a bounded number of bytes at a time, none lost; only a longer text is alone."""
+    import pyarrow as pa
+
+    from tarnlake.functions.registry import pieces
+
+    texts = ["é" * 30, None, "", "x" * 500, *["y" * 40] * 50]
+    got = list(pieces(pa.array(["skipped", *texts]).slice(1), 100))
+    assert [t for p in got for t in p] == [t or "" for t in texts] and all(len(p) == 1 or sum(len(t.encode()) for t in p) <= 100 for p in got)
+    assert list(pieces(pa.array([], pa.string()))) == [] and max(map(len, pieces(pa.array([""] * 2500)))) == 1000
