@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnlake.functions.registry import pieces
 from tarnlake.functions.text import MEDICAL_TERMS, SEPARATOR, word_count
 
-#: Sentences that the model gets at once, but for those of one text that has more.
+#: Sentences that the model gets at once.
 SENTENCES = 4096
 Encode = Callable[[list[str]], "np.ndarray"]
 CHUNK = "struct<content:string,chunk_index:int,word_count:int,section:string,chunking_strategy:string>"
@@ -88,9 +89,7 @@ class Packer:
         several = [i for i, p in enumerate(paragraphs) if len(p) > 1]
         out = [[" ".join(p)] for p in paragraphs]
         if several:
-            v = np.asarray(self.encode([s for i in several for s in paragraphs[i]]), float)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-            apart, at = (v[1:] * v[:-1]).sum(1) < self.threshold, 0
+            apart, at = self.breaks([s for i in several for s in paragraphs[i]]), 0
             for i in several:
                 p = paragraphs[i]
                 ends = [*(np.flatnonzero(apart[at : at + len(p) - 1]) + 1).tolist(), len(p)]
@@ -98,17 +97,32 @@ class Packer:
                 at += len(p)
         return out
 
+    def breaks(self, sentences: list[str]) -> np.ndarray:
+        """Whether each sentence but the first is less like the one before it than the threshold; SENTENCES go to the model at once,
+        and of those before them the last vector alone is kept."""
+        out, last = [], None
+        for i in range(0, len(sentences), SENTENCES):
+            v = np.asarray(self.encode(sentences[i : i + SENTENCES]), float)
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+            if last is not None:
+                out.append((v[:1] * last).sum(1) < self.threshold)
+            out.append((v[1:] * v[:-1]).sum(1) < self.threshold)
+            last = v[-1:].copy()
+        return np.concatenate(out)
+
     def all(self, texts: Iterable[str]) -> Iterator[list[dict]]:
-        """The chunks of each text. Sentences of many texts go to the model at once: texts are gathered until they have
-        SENTENCES of them."""
+        """The chunks of each text. Sentences of many texts go to the model at once: texts are gathered as long as they have
+        SENTENCES of them at most."""
         held: list = []
         count = 0
         for text in texts:
-            held.append(self.prepared(text))
-            count += sum(len(s) for _, _, s in held[-1])
-            if count >= SENTENCES:
+            own = self.prepared(text)
+            size = sum(len(s) for _, _, s in own)
+            if held and count + size > SENTENCES:
                 yield from self._packed(held)
                 held, count = [], 0
+            held.append(own)
+            count += size
         yield from self._packed(held)
 
     def _packed(self, prepared: list) -> Iterator[list[dict]]:
@@ -195,9 +209,11 @@ def chunk_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     def run(batches):
         pack = Packer(encode=load() if load else None, **options)
         for batch in batches:
-            found = list(pack.all(batch.column(1).to_pylist()))
             kind = pa.list_(pa.struct([("content", pa.string()), ("chunk_index", pa.int32()), ("word_count", pa.int32()), ("section", pa.string()), ("chunking_strategy", pa.string())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], [id_col, "chunks"])
+            at = 0
+            for texts in pieces(batch.column(1)):  # each handed on before the next is read
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(list(pack.all(texts)), kind)], [id_col, "chunks"])
+                at += len(texts)
 
     packed = d.mapInArrow(run, f"`{id_col}` {d.schema[id_col].dataType.simpleString()}, chunks array<{CHUNK}>")
     return packed.select(id_col, F.inline("chunks"))
