@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from itertools import product
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -41,6 +43,33 @@ def grams(text: str) -> set[str]:
     return set(map("".join, zip(text, text[1:], text[2:], strict=False)))
 
 
+def grams_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The trigrams of the lowered texts, in order, and of each the texts that have it: where they begin in a list of texts' numbers
+    (and where the last ends), and that list. All letters are taken at once, as numbers."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    if len(codes) < 3:
+        return [], np.zeros(1, np.int32), np.empty(0, np.int64)
+    known = np.flatnonzero(np.bincount(codes))
+    forms, rank = np.unique([ord(_FOLD[c]) for c in known.tolist()], return_inverse=True)
+    place = np.zeros(known[-1] + 1, np.int64)
+    place[known] = rank
+    low, at = place[codes], np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    whole = at[2:] == at[:-2]
+    key, at = ((low[:-2] * len(forms) + low[1:-1]) * len(forms) + low[2:])[whole], at[2:][whole]
+    if len(forms) ** 3 * len(texts) < 1 << 62:
+        pairs = np.sort(key * len(texts) + at)
+        key, at = np.divmod(pairs, len(texts))
+    else:
+        order = np.lexsort((at, key))
+        key, at = key[order], at[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (at[1:] != at[:-1])][: len(key)]
+    key, at = key[new], at[new]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    letters = forms[np.stack([key[starts] // len(forms) ** 2, key[starts] // len(forms) % len(forms), key[starts] % len(forms)], axis=1)]
+    text = letters.astype("<u4").tobytes().decode("utf-32-le")
+    return [text[i : i + 3] for i in range(0, len(text), 3)], np.r_[starts, len(key)].astype(np.int32), at
+
+
 def alternatives(pattern: str) -> list[set[str]] | None:
     """Sets of trigrams of which any match has one set whole, or None if a match may have none.
 
@@ -91,19 +120,26 @@ def index(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc
     target = to_arrow_schema(schema)
 
     def run(batches):
-        held: dict[str, list] = {}
+        ids: list[pa.Array] = []
+        texts: list[str] = []
         size = 0
 
         def batch_of():
-            out = pa.RecordBatch.from_arrays([pa.array([*held], pa.string()), pa.array([*held.values()], target.field(1).type)], schema=target)
-            held.clear()
+            found, offsets, at = grams_of(texts)
+            own = pa.concat_arrays(ids).take(pa.array(at)) if ids else pa.array([], target.field(1).type.value_type)
+            out = pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), own).cast(target.field(1).type)], schema=target)
+            ids.clear()
+            texts.clear()
             return out
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for g in grams(lowered(text)):
-                    held.setdefault(g, []).append(i)
-                size += len(text)
+            begin = 0
+            for i, length in enumerate(pc.binary_length(batch.column(1)).to_pylist(), 1):
+                size += length
+                if size > CHUNK_BYTES or i == batch.num_rows:
+                    ids.append(batch.column(0).slice(begin, i - begin))
+                    texts.extend(batch.column(1).slice(begin, i - begin).to_pylist())
+                    begin = i
                 if size > CHUNK_BYTES:
                     yield batch_of()
                     size = 0

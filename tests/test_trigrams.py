@@ -61,3 +61,19 @@ def test_few_texts_are_read(posted):
         read, hit = candidates(table_, pattern).count(), docs.filter(matches("text", pattern)).count()
         assert read <= 0.25 * docs.count() and read >= hit - 1
     assert candidates(table_, "nowhere at all").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_trigrams_of_many_texts_at_once(seed):
+    """As text by text; letters of many scripts too, of which there are more than fit one number with the texts'."""
+    from tarnlake.operators.trigrams import grams_of
+
+    rng = random.Random(seed)
+    letters = "abAB İıſΣςß" if seed < 5 else [chr(c) for c in range(32, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(rng.choices(letters, k=rng.choice([0, 1, 2, 3, 40]))) for _ in range(seed * 20)] if seed < 5 else ["".join(letters)] * 8
+    want = {}
+    for i, t in enumerate(texts):
+        for g in grams(lowered(t)):
+            want.setdefault(g, []).append(i)
+    found, starts, at = grams_of(texts)
+    assert {g: at[a:b].tolist() for g, a, b in zip(found, starts, starts[1:], strict=False)} == want and len(found) == len(want)
